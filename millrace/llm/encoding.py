@@ -29,7 +29,7 @@ class ChunkEncoder:
 
     SEPARATOR = "<|startoftext|>"
 
-    def __init__(self, path: str, old: int = 300_000, young: int = 300_000) -> None:
+    def __init__(self, path: str, old: int = 200_000, young: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -26,8 +26,10 @@ from .common import WORD_PATTERN
 BUCKETS = 1 << 16
 #: Trusted documents that the target multinomial is fitted on, at most: those of least hash.
 TARGET_DOCUMENTS = 20_000
+#: Counts that each bucket of either side has besides its own.
+SMOOTHING = 5.0
 #: Mean log-likelihood ratio of an n-gram below which a document is dropped.
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 
@@ -101,8 +103,8 @@ def trusted_ids(labels: DataFrame, most: int = TARGET_DOCUMENTS) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = TARGET_DOCUMENTS) -> DataFrame:
     """One row: ``ratios``, for each bucket the log ratio of its target and raw probability.
 
-    Add-half smoothing in both multinomials, so that no bucket is ruled out by
-    what one side happens not to hold.
+    Raw counts are scaled to the target's total and both sides get ``SMOOTHING``
+    counts in every bucket: one that neither side holds often says nothing.
     """
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(trusted_ids(labels, most)), F.col("doc_id") == F.col("trusted_id"), "left"
@@ -112,13 +114,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most:
     # at most one row a bucket from here on
     both = F.struct("bucket", "raw", "target")
     rows = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"), F.map_from_entries(F.collect_list(F.struct("bucket", both))).alias("of"))
-    half = F.lit(0.5)
-    total = F.lit(0.5 * buckets)
+    scale = F.col("all_target") / F.col("all_raw")
 
     def ratio(b: Column) -> Column:
         found = F.try_element_at("of", b)
-        target = (F.coalesce(found["target"], F.lit(0)) + half) / (F.col("all_target") + total)
-        raw = (F.coalesce(found["raw"], F.lit(0)) + half) / (F.col("all_raw") + total)
+        target = F.coalesce(found["target"], F.lit(0)) + F.lit(SMOOTHING)
+        raw = F.coalesce(found["raw"], F.lit(0)) * scale + F.lit(SMOOTHING)
         return F.log(target / raw)
 
     known = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), ratio)

@@ -21,6 +21,7 @@ columns are left out.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as codes
 from re import _parser as parser
@@ -262,11 +263,15 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def of_rank(rank: int) -> Callable[[Column], Column]:
+    return lambda s: s["rank"] == rank
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans of each document."""
     found = scan(docs)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
+    counts = [F.size(F.filter("spans", of_rank(k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
