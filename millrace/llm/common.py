@@ -7,11 +7,11 @@ UTF-8 bytes and never needs a regular expression for it.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,14 +130,24 @@ def range_bounds(docs: DataFrame, column: str, count: int) -> np.ndarray:
 
 
 def range_of(column: Column, bounds: np.ndarray) -> Column:
-    """Number of the range that a value lies in; nulls go to range 0, before all."""
+    """Number of the range that a value lies in; nulls go to range 0, before all.
 
-    @F.pandas_udf("int")
-    def place(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, values.to_numpy(np.int64), side="right").astype(np.int32))
+    A search in two steps of about the square root of the bounds each.
+    """
+    value = F.coalesce(column.cast("long"), F.lit(-(2**63)))
+    if not len(bounds):
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [[int(x) for x in bounds[i : i + step]] for i in range(0, len(bounds), step)]
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b <= value))
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(x).cast("long") for x in values])
 
-    # without nulls the ids reach pandas as exact 64-bit integers
-    return place(F.coalesce(column.cast("long"), F.lit(-(2**63))))
+    group = F.greatest(below(longs([g[0] for g in groups])) - 1, F.lit(0))
+    return (group * step + below(F.get(F.array(*[longs(g) for g in groups]), group))).cast("int")
 
 
 def batches(found: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ BUCKETS = 1 << 16
 #: Trusted documents that the target multinomial is fitted on, at most: those of least hash.
 TARGET_DOCUMENTS = 20_000
 #: Counts that each bucket of either side has besides its own.
-SMOOTHING = 5.0
+SMOOTHING = 10.0
 #: Mean log-likelihood ratio of an n-gram below which a document is dropped.
 THRESHOLD = -0.1
 LEAST_WORDS = 50
