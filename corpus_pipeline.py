@@ -1,3 +1,86 @@
-STAGES = []
+"""A training-corpus pipeline over ``documents``: filter, clean, deduplicate, redact, pack.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``documents``. Between stages the rows are written
+as Parquet into the cluster's shared folder and read again, so a lost executor
+costs at most the stage at hand.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import lines, minhash, packing, quality, secrets
+from millrace.llm.common import shared_dir
+
+#: Lines found in so many documents keep their first occurrence only.
+LINE_DOCUMENTS = 10
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the quality rules."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judge(docs, labels).where("kept").select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops repeats of lines that many documents share; a text that loses all of them stays as an empty one."""
+    columns = docs.columns
+    maps = lines.drop_bitmaps(lines.keyed(docs), LINE_DOCUMENTS, keep_first=True)
+    keep = F.udf(lambda text, bits: b"\n".join(lines.kept_lines(text.encode(), bits)[0]).decode(), "string")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), F.struct("*").alias("row"))
+    # texts without a bitmap, most of them, never leave the JVM
+    kept = F.when(F.col("keep").isNotNull(), keep("text", "keep")).otherwise(F.col("row.text"))
+    out = lines.with_bitmaps(rows, maps).select("row", kept.alias("kept"))
+    return with_text(out, columns, F.col("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of least ``doc_id``, of each class of near-duplicates."""
+    first = minhash.near_classes(docs).where("first").select(F.col("doc_id").alias("first_id"), F.col("key").alias("first_key")).distinct()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), minhash.text_key(F.col("text")).alias("key"), F.struct("*").alias("row"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "key"]).select("row.*")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret in the texts by its kind in brackets."""
+    found = secrets.scan(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    return with_text(found, docs.columns, F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("row.text")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the remaining documents' tokens into sequences."""
+    return packing.pack(docs)
+
+
+def with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:  # noqa: ANN001
+    """The columns of ``row`` with a new text and its length in code points."""
+    new = rows.withColumn("new_text", text)
+    put = {"text": F.col("new_text"), "n_chars": F.when(F.col("new_text").eqNullSafe(F.col("row.text")), F.col("row.n_chars")).otherwise(F.length("new_text").cast("long"))}
+    return new.select(*[put[c].alias(c) if c in put else F.col("row")[c].alias(c) for c in columns])
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("pack_sequences", pack_sequences),
+]
+
+#: Hashes, tokenizers and packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{shared_dir(spark)}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -10,7 +10,7 @@ one compressed bitmap per document; texts are never shuffled by line.
 
 Defined results: a null text is one empty line; a line whose key is empty (only
 white space) is always kept; rows equal in ``doc_id`` and text count as one
-document and get the same bitmap; a null ``doc_id`` is a document id like any
+document, are counted once and get the same bitmap; a null ``doc_id`` is a document id like any
 other; an empty table gives an empty result; columns other than ``doc_id`` and
 ``text`` are left out of the work.
 """
@@ -77,7 +77,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "text_key").mapInArrow(explode, LINE_SCHEMA)
 
 
-def stream_runs(ranged: DataFrame, min_docs: int | None) -> DataFrame:
+def stream_runs(ranged: DataFrame, min_docs: int, keep_first: bool) -> DataFrame:
     """Stream the sorted rows of each partition, run by run of one hash.
 
     Rows of runs inside a partition come out decided (only dropped ones). Rows
@@ -106,12 +106,9 @@ def stream_runs(ranged: DataFrame, min_docs: int | None) -> DataFrame:
             head = np.zeros(run.num_rows, bool)
             head[0] = True
             if not edge:
-                if min_docs is not None:
-                    if docs < min_docs:
-                        return
-                    out = np.ones(run.num_rows, bool)
-                else:
-                    out = ~head
+                if docs < min_docs:
+                    return
+                out = ~head if keep_first else np.ones(run.num_rows, bool)
                 run, head = run.filter(pa.array(out)), head[out]
             yield from tagged(run, pa.nulls(run.num_rows, pa.bool_()) if edge else pa.array(np.ones(run.num_rows, bool)), np.full(run.num_rows, docs), head)
 
@@ -149,7 +146,7 @@ def stream_runs(ranged: DataFrame, min_docs: int | None) -> DataFrame:
                 head = np.zeros(rows.num_rows, bool)
                 head[starts[:-1]] = True
                 each = np.repeat(docs, sizes)
-                out = each >= min_docs if min_docs is not None else ~head
+                out = (each >= min_docs) & ~(head & keep_first)
                 rows = rows.filter(pa.array(out))
                 yield from tagged(rows, pa.array(np.ones(rows.num_rows, bool)), each[out], head[out])
         yield from close(edge=True)
@@ -157,27 +154,29 @@ def stream_runs(ranged: DataFrame, min_docs: int | None) -> DataFrame:
     return ranged.mapInArrow(stream, RUN_SCHEMA)
 
 
-def drop_bitmaps(docs: DataFrame, min_docs: int | None = None) -> DataFrame:
+def drop_bitmaps(docs: DataFrame, min_docs: int = 1, keep_first: bool = True) -> DataFrame:
     """One row per document that loses lines: ``doc_id``, ``text_key``, ``n_lines``, ``keep``.
 
     ``keep`` is a zlib-compressed bitmap, bit p (most significant first) set if
-    line p stays. With ``min_docs`` None the first occurrence of each line in
-    (document, position) order stays; with a number every occurrence of a line
-    found in at least that many documents goes.
+    line p stays. Lines whose key is found in at least ``min_docs`` documents go,
+    all but the first in (document, position) order, or all of them without
+    ``keep_first``.
     """
     spark = docs.sparkSession
     order = ["hi", "lo", "doc_id", "text_key", "pos"]
     # the rows are few bytes a line; written once, the sampling for the range
     # bounds and the deal itself both read them instead of the texts
-    rows = cut(line_rows(docs).dropDuplicates(order) if min_docs is None else line_rows(docs))
+    rows = cut(line_rows(docs))
     ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    runs = cut(stream_runs(ranged, min_docs))
+    runs = cut(stream_runs(ranged, min_docs, keep_first))
     done = runs.where("dropped").select("doc_id", "text_key", "pos", "n_lines")
     edge = runs.where("dropped is null")
     # at most two hashes for each partition, so this side is bounded by the partitions
     sums = edge.where("head").groupBy("hi", "lo").agg(F.sum("n_docs").alias("all_docs"), F.min("part").alias("first_part"))
     waiting = edge.join(F.broadcast(sums), ["hi", "lo"])
-    out = F.col("all_docs") >= min_docs if min_docs is not None else ~(F.col("head") & (F.col("part") == F.col("first_part")))
+    out = F.col("all_docs") >= min_docs
+    if keep_first:
+        out &= ~(F.col("head") & (F.col("part") == F.col("first_part")))
     dropped = done.unionByName(waiting.where(out).select("doc_id", "text_key", "pos", "n_lines"))
     lists = dropped.groupBy("doc_id", "text_key").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
 
@@ -209,7 +208,7 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return docs.join(maps, F.col("doc_id").eqNullSafe(F.col("map_id")) & (F.col("text_key") == F.col("map_key")), "left").drop("map_id", "map_key")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 1, keep_first: bool = True) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_dropped``, ``kept`` (bytes of the kept lines joined by a line feed)."""
     docs = keyed(docs)
 
@@ -223,4 +222,4 @@ def dedup_lines(docs: DataFrame, min_docs: int | None = None) -> DataFrame:
                 kept.append(b"\n".join(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept"])
 
-    return with_bitmaps(docs, drop_bitmaps(docs, min_docs)).select("doc_id", "text", "keep").mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept binary")
+    return with_bitmaps(docs, drop_bitmaps(docs, min_docs, keep_first)).select("doc_id", "text", "keep").mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept binary")

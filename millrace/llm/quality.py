@@ -127,9 +127,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most:
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = TARGET_DOCUMENTS, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` (of which ``doc_id`` and ``text`` are used), the base measures, ``llr``, ``base_failed`` and ``kept``."""
+    """``doc_id``, ``text``, ``row`` (the whole row of ``docs`` as a struct), the base measures, ``llr``, ``base_failed`` and ``kept``."""
     ratios = log_ratios(docs, labels, buckets, most)
-    found = base_rules(with_words(docs.select("doc_id", "text")))
+    found = base_rules(with_words(docs.select("doc_id", "text", F.struct("*").alias("row"))))
     # one row of a fixed number of buckets
     found = found.withColumn("ratios", ratios.scalar())
     total = F.aggregate(gram_buckets(buckets), F.lit(0.0), lambda acc, b: acc + F.get("ratios", b))
@@ -141,4 +141,4 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
-    return judge(docs, labels).select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
+    return judge(docs.select("doc_id", "text"), labels).select(F.col("doc_id").cast("long").alias("doc_id"), *columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, packing, quality, secrets, substrings, token_files
+from . import fingerprints, lines, minhash, packing, quality, secrets, substrings, token_files
 from .common import documents, shared_dir
 
 
@@ -23,8 +23,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(documents(spark, sf_dir), min_docs=10)
+    out = lines.dedup_lines(documents(spark, sf_dir), min_docs=10, keep_first=False)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_files": op8_token_files,
     "op9_substrings": op9_substrings,

@@ -175,10 +175,11 @@ def posting_masks(text: Column, trigrams: list[str]) -> list[Column]:
 
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id``, ``text`` and the bit-sliced postings ``postings_0``, ``postings_1``, ... of all asked trigrams."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    carried = ["row"] if "row" in docs.columns else []
+    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *carried)
     docs = docs.withColumn("folded", F.lower("text"))
     masks = posting_masks(F.col("folded"), asked_trigrams(rules))
-    return docs.select("doc_id", "text", *[m.alias(f"postings_{i}") for i, m in enumerate(masks)])
+    return docs.select("doc_id", "text", *carried, *[m.alias(f"postings_{i}") for i, m in enumerate(masks)])
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -243,7 +244,7 @@ def narrowed(rule: Rule) -> Rule:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id``, ``text`` and ``spans``: array of (start, rank, kind, end), sorted."""
+    """``doc_id``, ``text``, ``row`` if given, and ``spans``: array of (start, rank, kind, end), sorted."""
     trigrams = asked_trigrams(rules)
     found = index(docs, rules)
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
@@ -254,8 +255,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         # a rule without trigrams tests every text; its one cheap test spares the rest the span arithmetic
         candidate = F.col("text").rlike(rule.pattern) if query is True else satisfied(query, trigrams)
         columns.append(F.when(candidate, spans_of(F.col("text"), rule, k)).otherwise(none).alias(f"spans_{k}"))
-    found = found.select("doc_id", "text", *columns)
-    return found.select("doc_id", "text", F.sort_array(F.concat(*[F.col(f"spans_{k}") for k in range(len(rules))])).alias("spans"))
+    carried = ["row"] if "row" in found.columns else []
+    found = found.select("doc_id", "text", *carried, *columns)
+    return found.select("doc_id", "text", *carried, F.sort_array(F.concat(*[F.col(f"spans_{k}") for k in range(len(rules))])).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -269,7 +271,7 @@ def of_rank(rank: int) -> Callable[[Column], Column]:
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans of each document."""
-    found = scan(docs)
+    found = scan(docs.select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     counts = [F.size(F.filter("spans", of_rank(k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
