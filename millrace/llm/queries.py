@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, minhash, packing, pieces, quality, secrets, substrings, token_files
+from . import fingerprints, lines, minhash, packing, pieces, quality, secrets, substrings, suffix_tree, token_files
 from .common import documents, shared_dir
 
 
@@ -15,6 +15,10 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(documents(spark, sf_dir))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
+    "op2_suffix_tree": op2_suffix_tree,
     "op3_pieces": op3_pieces,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
