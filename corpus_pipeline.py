@@ -21,7 +21,9 @@ LINE_DOCUMENTS = 10
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the quality rules."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.judge(docs, labels).where("kept").select("row.*")
+    judged = quality.judge(docs, labels)
+    # not a filter: it would be pushed below the measures, with all of them inside it once more
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
