@@ -111,18 +111,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most:
     )
     grams = with_words(marked).select(F.col("trusted_id").isNotNull().alias("trusted"), F.explode(gram_buckets(buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
-    # at most one row a bucket from here on
-    both = F.struct("bucket", "raw", "target")
-    rows = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"), F.map_from_entries(F.collect_list(F.struct("bucket", both))).alias("of"))
-    scale = F.col("all_target") / F.col("all_raw")
-
-    def ratio(b: Column) -> Column:
-        found = F.try_element_at("of", b)
-        target = F.coalesce(found["target"], F.lit(0)) + F.lit(SMOOTHING)
-        raw = F.coalesce(found["raw"], F.lit(0)) * scale + F.lit(SMOOTHING)
-        return F.log(target / raw)
-
-    known = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), ratio)
+    # one row a bucket from here on
+    zero = F.lit(0)
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    every = every.select("bucket", F.coalesce("raw", zero).alias("raw"), F.coalesce("target", zero).alias("target"))
+    rows = every.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("list"))
+    scale = F.col("all_target") / F.greatest(F.col("all_raw"), F.lit(1))
+    known = F.transform("list", lambda x: F.log((x["target"] + F.lit(SMOOTHING)) / (x["raw"] * scale + F.lit(SMOOTHING))))
     return rows.select(F.when(F.coalesce("all_target", F.lit(0)) > 0, known).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("ratios"))
 
 
