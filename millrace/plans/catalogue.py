@@ -626,9 +626,9 @@ def q_arbiter_index(s: SparkSession, sf: str) -> DataFrame:
     return sets.where(F.col("set").isin("1", "1,2", "2")).select("table_id", "index_id")
 
 
-@query("SELECT p_partkey FROM part ANTI JOIN lineitem ON p_partkey = l_partkey")
+@query("SELECT p_partkey FROM part ANTI JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) l ON p_partkey = l_partkey")
 def q_missing_targets(s: SparkSession, sf: str) -> DataFrame:
-    return table(s, sf, "part").join(table(s, sf, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    return table(s, sf, "part").join(table(s, sf, "lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
 
 
 @query(f"""WITH {d.CDC}, {TABLES} SELECT table_id, bool_and(op <> 'DDL') AS no_ddl, bool_and(op <> 'UNSUPPORTED') AS supported, count(*) FILTER (WHERE status <> 0) AS unreadable, bool_and(op <> 'DDL') AND bool_and(op <> 'UNSUPPORTED') AND count(*) FILTER (WHERE status <> 0) = 0 AS ready FROM log GROUP BY 1""")
