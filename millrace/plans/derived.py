@@ -68,7 +68,7 @@ SAMPLES = "samples AS (SELECT user_id % 50 AS job_id, ts AS sampled_at, event_id
 
 
 def change_source(spark: SparkSession, sf: str) -> DataFrame:
-    price = F.when(F.col("o_orderkey") % 7 == 0, F.round(F.col("o_totalprice") * 1.1, 2)).otherwise(F.col("o_totalprice"))
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") * 1.1).otherwise(F.col("o_totalprice"))
     return table(spark, sf, "orders").where("o_orderkey % 11 <> 0").select("o_orderkey", "o_custkey", "o_orderstatus", price.alias("o_totalprice"))
 
 
@@ -86,7 +86,7 @@ def change_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-CDC = """src AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN round(o_totalprice * 1.1, 2) ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 11 <> 0),
+CDC = """src AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * CAST(1.1 AS DOUBLE) ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 11 <> 0),
 tgt AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 13 <> 0),
 log AS (SELECT event_id AS scn, user_id % 5 AS table_id, CASE WHEN event_id % 101 = 0 THEN 'DDL' WHEN event_id % 103 = 0 THEN 'UNSUPPORTED' ELSE 'UPDATE' END AS op,
   CASE WHEN event_id % 107 = 0 THEN 1 ELSE 0 END AS status, CASE WHEN event_id % 17 <> 0 THEN event_id // 3 END AS old_key,
