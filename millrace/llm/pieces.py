@@ -150,16 +150,12 @@ def blocks(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 def lattice_paths(words: DataFrame, pieces: Pieces, pieces_df: DataFrame) -> DataFrame:
     """``bucket``, ``word``, ``ids`` for the words of ``bucket``, ``word``."""
     text = F.concat(F.lit(SPACE), F.replace("word", F.lit(" "), F.lit(SPACE)))
-    n = F.length("text")
-    ends = F.sequence(F.lit(1), n)
-    spans = F.flatten(F.transform(ends, lambda e: F.transform(
-        F.sequence(F.greatest(e - pieces.longest, F.lit(0)), e - 1), lambda s: F.struct(s.alias("s"), e.alias("e"))
-    )))
-    parts = words.withColumn("text", text).select("bucket", "word", "text", F.explode(spans).alias("x"))
-    parts = parts.select("bucket", "word", "text", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.substring("text", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("piece"))
+    parts = words.withColumn("text", text).select("bucket", "word", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("e"))
+    parts = parts.select("bucket", "word", "text", "e", F.explode(F.sequence(F.lit(1), F.least("e", F.lit(pieces.longest)))).alias("n"))
+    parts = parts.select("bucket", "word", "e", (F.col("e") - F.col("n")).alias("s"), F.substring("text", F.col("e") - F.col("n") + 1, F.col("n")).alias("piece"))
     edges = parts.join(F.broadcast(pieces_df), "piece", "left").where("id is not null or e - s = 1")
     edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
-    grouped = edges.groupBy("bucket", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("text").alias("text"))
+    grouped = edges.groupBy("bucket", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("text", text)
     state = F.struct(
         F.array(F.lit(0.0)).alias("best"), F.array().cast("array<struct<s:int,id:int>>").alias("back"),
         F.lit(1).alias("e"), F.lit(None).cast("double").alias("score"), F.struct(F.lit(0).alias("s"), F.lit(-1).alias("id")).alias("edge"),
