@@ -117,7 +117,7 @@ def with_successor(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     and sorts behind the range's own documents.
     """
     spark = docs.sparkSession
-    ranges = ranges or partitions(spark)
+    ranges = ranges or 4 * partitions(spark)  # several in each Spark partition, so that these are even
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     bounds = range_bounds(docs, "doc_id", ranges)
@@ -128,7 +128,7 @@ def with_successor(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     wanted = F.broadcast(spark.createDataFrame(close, "first_key long, part int"))
     copies = docs.where(key.isin([k for k, _ in close])).join(wanted, key == F.col("first_key")).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
     every = placed.unionByName(copies.withColumn("copy", F.lit(1)))
-    return every.repartition(ranges, "part").sortWithinPartitions("part", "copy", "doc_id", "text").select("part", "copy", "doc_id", "text")
+    return every.repartition(partitions(spark), "part").sortWithinPartitions("part", "copy", "doc_id", "text").select("part", "copy", "doc_id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, anchors: list[str] | None = None, chain: int = 2, distance: int = 1) -> DataFrame:

@@ -33,7 +33,7 @@ def ordered(docs: DataFrame, ranges: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     bounds = range_bounds(docs, "doc_id", ranges)
-    return docs.withColumn("part", range_of(F.col("doc_id"), bounds)).repartition(ranges, "part").sortWithinPartitions("part", "doc_id", "text")
+    return docs.withColumn("part", range_of(F.col("doc_id"), bounds)).repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "doc_id", "text")
 
 
 def write_tokens(
@@ -67,8 +67,7 @@ def write_tokens(
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place, pa.int32()), batch.column(1), pa.array(before, pa.int64()), pa.array(counts, pa.int32()), lists], ["part", "place", "doc_id", "before", "n_tokens", "ids"])
 
-    spark = docs.sparkSession
-    rows = ordered(docs, ranges or partitions(spark)).select("part", "doc_id", "text").mapInArrow(encode, FILE_SCHEMA)
+    rows = ordered(docs, ranges or 4 * partitions(docs.sparkSession)).select("part", "doc_id", "text").mapInArrow(encode, FILE_SCHEMA)
     writer = rows.write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", 2000)
     if encoding == "delta":
         writer = writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
