@@ -84,4 +84,25 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY doc_id
 """
 
-SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1
+), covered AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM again, (SELECT unnest(range(0, 20)) AS j)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id
+), gone AS (
+  SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id) LEFT JOIN gone g USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op9_substrings": OP9_SQL}
