@@ -84,3 +84,22 @@ def coalesce_extents(extents: DataFrame, keys: list[str], n: int) -> DataFrame:
 
     chunks = listed.select(*keys, F.posexplode(F.aggregate("list", start, step, finish)).alias("chunk", "c"))
     return chunks.select(*keys, "chunk", "c.first", "c.last", "c.blocks")
+
+
+def parents_first(children: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """``node``, ``level`` (longest distance from a root) for an acyclic reference graph; ordering by level puts parents first.
+
+    Each round of the recursion is one equi-join of the last level with the
+    references, so no graph is gathered on the driver. Nodes of a cycle have no
+    level and are left out; callers keep their given order.
+    """
+    spark = children.sparkSession
+    edges = children.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child <> parent")
+    roots = edges.select(F.col("parent").alias("node")).join(edges, F.col("node") == F.col("child"), "left_anti").distinct()
+    levels = spark.sql(
+        """WITH RECURSIVE reached(node, level) AS (
+             SELECT node, 0 FROM {roots} UNION ALL SELECT e.child, r.level + 1 FROM reached r JOIN {edges} e ON e.parent = r.node
+           ) SELECT node, max(level) AS level FROM reached GROUP BY node""",
+        roots=roots, edges=edges,
+    )
+    return levels

@@ -676,3 +676,32 @@ def q_batch_summary(s: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {MAPPED} SELECT table_id, count(*) AS columns, count(*) FILTER (WHERE source_type IN ('BLOB','CLOB','LONG','BFILE')) AS lobs, bool_or(name <> lower(name)) AS renamed FROM mapped GROUP BY 1")
 def q_manifest_generate(s: SparkSession, sf: str) -> DataFrame:
     return mapped(s, sf).groupBy("table_id").agg(F.count("*").alias("columns"), F.count_if(F.col("source_type").isin(*types.LOB_TYPES)).alias("lobs"), F.bool_or(F.col("name") != F.lower("name")).alias("renamed"))
+
+
+@query("""WITH RECURSIVE edges AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey <> p_partkey // 3),
+reached(node, level) AS (SELECT DISTINCT parent, 0 FROM edges WHERE parent NOT IN (SELECT child FROM edges) UNION ALL SELECT e.child, r.level + 1 FROM reached r JOIN edges e ON e.parent = r.node)
+SELECT node, max(level) AS level FROM reached GROUP BY node""")
+def q_fk_order(s: SparkSession, sf: str) -> DataFrame:
+    return planning.parents_first(table(s, sf, "part").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 3").alias("parent")))
+
+
+@query(f"""WITH {d.COLUMNS}, {d.CDC}, keyed AS (SELECT table_id, count(*) FILTER (WHERE scale = 0) AS key_columns, count(*) FILTER (WHERE scale = 0 AND position % 6 = 5) AS excluded FROM cols GROUP BY 1),
+points AS (SELECT old_key AS table_id, min(scn) AS start_scn FROM log WHERE old_key IS NOT NULL GROUP BY 1)
+SELECT table_id, start_scn, CASE WHEN start_scn IS NULL THEN 'no start point' WHEN key_columns = 0 THEN 'no key' WHEN excluded > 0 THEN 'key column not copied' ELSE 'ready' END AS state FROM keyed LEFT JOIN points USING (table_id)""")
+def q_cdc_trackable(s: SparkSession, sf: str) -> DataFrame:
+    in_key = F.col("scale") == 0
+    keyed = d.columns(s, sf).groupBy("table_id").agg(F.count_if(in_key).alias("key_columns"), F.count_if(in_key & (F.col("position") % 6 == 5)).alias("excluded"))
+    points = d.change_log(s, sf).where("old_key is not null").groupBy(F.col("old_key").alias("table_id")).agg(F.min("scn").alias("start_scn"))
+    state = F.when(F.col("start_scn").isNull(), "no start point").when(F.col("key_columns") == 0, "no key").when(F.col("excluded") > 0, "key column not copied").otherwise("ready")
+    return keyed.join(points, "table_id", "left").select("table_id", "start_scn", state.alias("state"))
+
+
+@query("""SELECT p_brand AS connection, bool_and(p_size > 1) AS usage_granted, count(*) FILTER (WHERE l.l_partkey IS NULL) AS missing, bool_and(p_size > 1) AND (count(*) FILTER (WHERE l.l_partkey IS NULL) = 0 OR bool_or(p_size > 40)) AS passed
+FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) l ON l.l_partkey = p_partkey GROUP BY 1""")
+def q_preflight(s: SparkSession, sf: str) -> DataFrame:
+    present = table(s, sf, "lineitem").where("l_quantity > 45").select("l_partkey").distinct()
+    both = table(s, sf, "part").join(present, F.col("p_partkey") == F.col("l_partkey"), "left")
+    checks = both.groupBy(F.col("p_brand").alias("connection")).agg(
+        F.every(F.col("p_size") > 1).alias("usage_granted"), F.count_if(F.col("l_partkey").isNull()).alias("missing"), F.bool_or(F.col("p_size") > 40).alias("may_create")
+    )
+    return checks.select("connection", "usage_granted", "missing", (F.col("usage_granted") & ((F.col("missing") == 0) | F.col("may_create"))).alias("passed"))
