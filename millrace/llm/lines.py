@@ -83,7 +83,9 @@ def stream_runs(ranged: DataFrame, min_docs: int, keep_first: bool) -> DataFrame
     Rows of runs inside a partition come out decided (only dropped ones). Rows
     of the partition's first and last run come out undecided (``dropped`` is
     null) with what this partition knows: the run's documents here, whether the
-    row is the run's first here, and the partition's number.
+    row is the run's first here, and the partition's number. Rows equal in all
+    that they are ranged by come from a repeated document and count once; they
+    stand one after the other, and always in one partition.
     """
 
     def stream(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +95,19 @@ def stream_runs(ranged: DataFrame, min_docs: int, keep_first: bool) -> DataFrame
         names = ["hi", "lo", "doc_id", "text_key", "pos", "n_lines"]
         open_run: list[pa.Table] = []  # the run that the next batch may continue
         first = True
+        last_row: list = []
+
+        def once(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """Without the rows that equal the one before, in this batch or the last."""
+            nonlocal last_row
+            doc = batch.column("doc_id")
+            columns = [np.asarray(c) for c in (batch.column("hi"), batch.column("lo"), doc.fill_null(0), doc.is_null(), batch.column("text_key"), batch.column("pos"))]
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = [c[0] for c in columns] != last_row
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            last_row = [c[-1] for c in columns]
+            return batch if new.all() else batch.filter(pa.array(new))
 
         def close(edge: bool) -> Iterator[pa.RecordBatch]:
             nonlocal first
@@ -119,7 +134,7 @@ def stream_runs(ranged: DataFrame, min_docs: int, keep_first: bool) -> DataFrame
                 yield from table.combine_chunks().to_batches()
 
         for batch in found:
-            if not batch.num_rows:
+            if not batch.num_rows or not (batch := once(batch)).num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
             hi, lo = batch.column(0).to_numpy(), batch.column(1).to_numpy()

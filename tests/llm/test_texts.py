@@ -75,6 +75,24 @@ def test_line_dedup(docs, plain):
             assert set(kept) == {k for k in where if k} and max(kept.values()) == 1
 
 
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_repeated_rows_count_once(spark, batch):
+    repeated = [(1, "only here\nand here")] * 10 + [(None, "without an id")] * 10 + [(2, "twice\nthe shared line")] * 2
+    texts = [*repeated, *((i, f"the shared line\nline {i}") for i in range(3, 12))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for least, first in ((10, False), (1, True)):
+            got = Counter((r.doc_id, r.text, r.n_dropped) for r in lines.dedup_lines(df, least, first).selectExpr("doc_id", "cast(kept as string) as text", "n_dropped").collect())
+            want = Counter()
+            for doc, text in texts:
+                kept = [x for x in text.split("\n") if x != "the shared line" or (first and doc == 2)]
+                want[(doc, "\n".join(kept), text.count("\n") + 1 - len(kept))] += 1
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_encoder_equals_library():
     import random
 
