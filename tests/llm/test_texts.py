@@ -233,6 +233,61 @@ def test_suffix_tree(docs, plain):
     assert got == want
 
 
+def brute_scores(texts, least, least_gain):
+    """A suffix tree in plain Python: contexts (newest word first), left-one-out gain, Witten-Bell, longest retained suffix."""
+    import math
+
+    texts = [(d, t.encode().lower().split() + [None]) for d, t in texts]
+    nexts = {}
+    for d, w in texts:
+        if not suffix_tree.held_out(d):
+            for i, x in enumerate(w):
+                for k in range(min(i, 3) + 1):
+                    nexts.setdefault(tuple(w[i - k : i][::-1]), Counter())[x] += 1
+    root = nexts[()]
+    n, v = sum(root.values()), len(root)
+
+    def chance(context, x):
+        if not context:
+            return (root[x] + 0.5) / (n + 0.5 * (v + 1))
+        own = nexts[context]
+        return (own[x] + len(own) * chance(context[:-1], x)) / (sum(own.values()) + len(own))
+
+    states = set()
+    for context, own in nexts.items():
+        total, kinds = sum(own.values()), len(own)
+        if context and total >= least:
+            under = {x: chance(context[:-1], x) for x in own}
+            if sum(c * math.log((c - 1 + kinds * under[x]) / (total - 1 + kinds) / under[x]) for x, c in own.items()) >= least_gain:
+                states |= {context[: k + 1] for k in range(len(context))}
+    scores = {}
+    for d, w in texts:
+        score = 0.0
+        for i, x in enumerate(w):
+            longest = next((k for k in range(min(i, 3), 0, -1) if tuple(w[i - k : i][::-1]) in states), 0)
+            score += math.log10(chance(tuple(w[i - longest : i][::-1]), x))
+        scores[d] = score
+    return scores, states
+
+
+def test_suffix_tree_has_every_context(spark):
+    """Phrases of words that are not among the most frequent, and words too frequent for one bucket."""
+    r = np.random.default_rng(3)
+    texts = []
+    for i in range(120):
+        words = []
+        for _ in range(60):
+            k = int(r.integers(0, 40))
+            words += [[f"w{x}" for x in r.integers(0, 400, 3)], ["the", f"a{k}", f"m{k % 5}", "then", f"c{k}"], ["the", f"w{r.integers(0, 50)}", "the"]][int(r.integers(0, 3))]
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    want, states = brute_scores(texts, suffix_tree.LEAST_COUNT, suffix_tree.LEAST_GAIN)
+    assert all((b"then", b"m%d" % (k % 5), b"a%d" % k) in states for k in range(40))
+    assert any(x[0] == b"the" for x in states)
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(df).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
 def test_suffix_tree_beats_its_root_on_held_out_texts(spark):
     out = suffix_tree.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in out) > 0.97 * sum(r.base_score for r in out)
