@@ -10,17 +10,23 @@ register with a probability of exactly the weighted Jaccard similarity. Points
 later than every register can need are never generated.
 
 Texts that share a band of registers are candidates. Exact copies are one node
-from the start, so no bucket holds two of one text. Small buckets give all their
-pairs. A large bucket first compares each member with its most central one, the
-text with the least share of shingles that no other text in a large bucket has.
-After verified links have been joined into components, members of a large bucket
-that are still apart are compared too, but for those whose own shingles and
-lengths already rule out the similarity sought. So no link inside a bucket is
-lost, and the pairs of a large group of near copies grow with its members: a
-text too far from the centre mostly differs from it by shingles of its own.
-
-With 32 bands of 4 registers, two texts at similarity 0.8 share no band with
-probability 5e-8.
+from the start, so no bucket holds two of one text. A bucket of a few texts
+gives all its pairs. In a larger one the most central text, that with the
+largest buckets over all bands, is the hub of a star: every member is compared
+with it. Members linked to the hub are one class, so what is left to find are
+links of the others. A text is then seen through its difference from the hub,
+the shingles that one of the two has and the other has not. Two texts of which
+one is not linked to the hub can only be linked if their differences overlap by
+a number that follows from their sizes, so they share one of the differences'
+first elements in a common order (shingles that the hub has not come first), and
+the places of that element bound the overlap. Texts that share such an element
+and pass that bound are the further candidates; this loses no link. Where very
+many share one, they are a star of their own, with a hub of their own, and the
+step is done again; its texts agree on one more element each time, so it ends.
+
+Bands and rows follow from the similarity sought: the most rows with which two
+texts at that similarity share no band with a probability below 1e-6. At 0.8
+that is 32 bands of 4 registers and 5e-8.
 
 Defined results: a null text is empty; texts without words are copies of each
 other only if equal; a text of one to four words is one shingle; a null
@@ -31,6 +37,7 @@ left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,19 +45,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, WordHasher, batches, cut, grams, mix, text_bytes
+from .common import WordHasher, batches, cut, grams, mix, text_bytes
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 4
-#: Buckets of up to so many texts give all pairs.
+REGISTERS = 128
+#: Probability with which two texts at the similarity sought may share no band.
+MISSED = 1e-6
+#: Buckets of up to so many texts give all pairs; larger ones find the same links by stars.
 SMALL = 8
+#: Elements that would bring together more pairs than this become stars of their own.
+CROWD = 1 << 18
 #: Chance of e**-SLACK that a signature needs a second, longer look.
 SLACK = 6.0
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def banding(similarity: float, registers: int = REGISTERS) -> tuple[int, int]:
+    """Bands and rows for a similarity."""
+    rows = 1
+    while rows * 2 <= registers and (1 - similarity ** (rows * 2)) ** (registers // (rows * 2)) < MISSED:
+        rows *= 2
+    return registers // rows, rows
+
+
 def shingles(text: bytes, hasher: WordHasher, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of a text and their counts."""
     words = hasher(text.lower().split())
@@ -81,7 +100,7 @@ def intervals(doc: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple[np
     return tuple(np.concatenate(x) for x in (docs, seeds, begins, widths, weights))
 
 
-def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS * ROWS) -> np.ndarray:
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
     """BagMinHash signatures, a row for each bag; every bag must have a shingle."""
     out = np.full((len(bags), registers), np.inf)
     total = np.array([float(c.sum()) for _, c in bags])
@@ -131,7 +150,7 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``doc_id``, ``key``, ``bands`` (hash of each band; null without words)."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,127 +167,149 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
-def ordered_pairs(a: str, b: str):  # noqa: ANN201
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-
-def pairs_within(groups: DataFrame) -> DataFrame:
-    """All pairs of the short lists in ``members``."""
-    first = groups.select("members", F.posexplode("members").alias("at", "x"))
-    return first.select("x", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("y")).select(*ordered_pairs("x", "y"))
-
-
 def buckets_of(texts: DataFrame) -> DataFrame:
     """``band``, ``hash``, ``key``, ``n`` for the buckets with two texts or more."""
     rows = texts.select("key", F.posexplode("bands").alias("band", "hash"))
     return rows.join(rows.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), ["band", "hash"])
 
 
-def crowded(docs: DataFrame, many: DataFrame) -> DataFrame:
-    """``key``, ``size``, ``own`` for the texts of large buckets: their shingles, and those that no other of these texts has."""
-    keys = many.select("key").distinct()
-    texts = docs.join(keys, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+def pairs_within(groups: DataFrame) -> DataFrame:
+    """All pairs of the short lists in ``members``: ``hub``, ``key``."""
+    first = groups.select("members", F.posexplode("members").alias("at", "x"))
+    return first.select("x", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("y")).select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("key"))
 
-    def explode(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches(found, rows=64, size=1 << 20):
-            bags = [shingles(t, hasher) for t in text_bytes(batch.column(1))]
-            owner = np.repeat(np.arange(len(bags)), [len(g) for g, _ in bags])
-            grams_, counts = np.concatenate([g for g, _ in bags]), np.concatenate([c for _, c in bags])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(grams_.view(np.int64)), pa.array(counts.astype(np.int32))], ["key", "shingle", "copies"])
 
-    rows = texts.mapInArrow(explode, "key binary, shingle long, copies int")
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("texts"), F.first("key").alias("key"), F.first("copies").alias("copies")).where("texts = 1")
-    own = alone.groupBy("key").agg(F.sum("copies").alias("own"))
-    words = F.size(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
-    sizes = texts.select("key", F.greatest(words - (SHINGLE - 1), F.lit(1)).alias("size"))
-    return sizes.join(own, "key", "left").select("key", "size", F.coalesce("own", F.lit(0)).alias("own"))
+def stars(members: DataFrame, group: list[str], star: Column) -> DataFrame:
+    """``star`` (its number), ``hub``, ``key``: each group's members with its most central one (greatest ``weight``)."""
+    hubs = members.groupBy(*group).agg(F.max(F.struct("weight", "key")).alias("top"))
+    return members.join(hubs, group).withColumn("hub", F.col("top.key")).where("hub <> key").select(star.alias("star"), "hub", "key")
 
 
-def most_alike(a: str, b: str) -> Column:
-    """Upper bound of the similarity of two crowded texts: neither shares its own shingles."""
-    shared = F.least(F.col(f"size_{a}") - F.col(f"own_{a}"), F.col(f"size_{b}") - F.col(f"own_{b}"))
-    return shared / (F.col(f"size_{a}") + F.col(f"size_{b}") - shared)
+def candidates(buckets: DataFrame, small: int = SMALL) -> DataFrame:
+    """``hub``, ``key``, ``star``: all pairs of small buckets (no star), and the stars of large ones."""
+    few = pairs_within(buckets.where(F.col("n") <= small).groupBy("band", "hash").agg(F.collect_list("key").alias("members")))
+    many = buckets.where(F.col("n") > small)
+    weights = buckets.join(many.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("weight"))
+    around = stars(many.join(weights, "key"), ["band", "hash"], F.xxhash64("hub"))  # buckets with one hub are one star
+    return few.withColumn("star", F.lit(None).cast("long")).unionByName(around).groupBy("hub", "key").agg(F.max("star").alias("star"))
+
+
+def difference(x: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Hashes of the elements (shingle, number of the copy) that one has and the other has not, the hub's last."""
+    grams_, at = np.unique(np.concatenate([x[0], hub[0]]), return_inverse=True)
+    own, other = np.zeros(len(grams_), np.int64), np.zeros(len(grams_), np.int64)
+    own[at[: len(x[0])]], other[at[len(x[0]) :]] = x[1], hub[1]
+    parts = []
+    for more, less in ((own, other), (other, own)):
+        some = np.flatnonzero(more > less)
+        extra = (more - less)[some]
+        copy = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + np.repeat(less[some], extra)
+        parts.append(np.sort(mix(np.repeat(grams_[some], extra) + copy.astype(np.uint64) * GOLDEN)))
+    return np.concatenate(parts)
+
+
+def prefixes(n: int, n_hub: int, d: int, similarity: float) -> tuple[int, int]:
+    """How many first elements of a difference are looked up by, and looked up for, texts that are not linked to the hub.
+
+    The first is 0 for a linked text. Texts of n and m shingles are linked if
+    they differ in at most c * (n + m) elements, so their differences from the
+    hub, d and e elements, must overlap by (d + e - c * (n + m)) / 2 or more. The
+    least of that over all possible partners is taken.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    for_any = max(1, math.ceil((d + c * (n_hub - n)) / 2 - 1e-6))
+    beyond = d - c * (n_hub + n)
+    by = 0 if beyond <= 1e-6 else max(0, d - max(1, math.ceil(beyond / (1 + c) - 1e-6)) + 1)
+    return by, max(0, d - for_any + 1)
 
 
-def candidates(buckets: DataFrame, many: DataFrame, small: int = SMALL) -> DataFrame:
-    """Distinct pairs ``a``, ``b``: all of small buckets, and stars around the most central text of large ones.
+COMPARED = "star long, hub binary, key binary, linked boolean, n int, n_hub int, d int, n_by int, n_for int, elements array<long>"
 
-    ``many``: the rows of large buckets with ``size`` and ``own``.
-    """
-    few = pairs_within(buckets.where(F.col("n") <= small).groupBy("band", "hash").agg(F.collect_list("key").alias("members")))
-    centres = many.groupBy("band", "hash").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("share"), "key")).alias("centre"))
-    stars = many.join(centres, ["band", "hash"]).withColumn("hub", F.col("centre.key")).where("key <> hub").select(*ordered_pairs("key", "hub"))
-    return few.unionByName(stars).distinct()
 
+def compared(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``star``, ``hub``, ``key`` with ``linked``: is their weighted Jaccard similarity of shingles ``similarity`` or more?
 
-def links(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs ``u``, ``v`` whose weighted Jaccard similarity of shingles is ``similarity`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    Pairs of a star have the first elements of their difference too.
+    """
+    wanted = pairs.select(F.explode(F.array("hub", "key")).alias("key")).distinct()
     texts = docs.join(wanted, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
 
     def verify(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         last: tuple[bytes | None, tuple] = (None, ())
         for batch in batches(found, rows=256, size=4 << 20):
-            keys, out = batch.column(0).to_pylist(), []
-            for key, x, y in zip(keys, text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True):
+            out = []
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch.column(3)), text_bytes(batch.column(4)), strict=True)
+            for hub, key, star, x, y in rows:
                 if last[0] != key:
-                    last = (key, shingles(x, hasher))
-                out.append(weighted_jaccard(last[1], shingles(y, hasher)) >= similarity)
-            mask = pa.array(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
-
-    right = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(verify, "u binary, v binary")
-
-
-def apart(many: DataFrame, roots: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
-    """Pairs in large buckets that lie in different components, were not compared and may be similar.
-
-    In each such bucket the texts outside its largest component meet all texts
-    of other components, unless their own shingles and the bucket's shortest
-    text rule out every partner, or both texts' bound rules out the pair. A pair
-    is made in the first band that it shares (if that one's bucket is small, it
-    was compared there). Pairs that share a single band are left out: texts at
-    the similarity sought share about 13.
-    """
-    rows = many.join(roots.select(F.col("u").alias("key"), "root"), "key", "left")
-    rows = rows.select("band", "hash", "key", "size", "own", "bands", F.coalesce("root", "key").alias("root"))
-    parts = rows.groupBy("band", "hash", "root").agg(F.count("*").alias("texts"), F.min("size").alias("least"))
-    main = parts.groupBy("band", "hash").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("texts", "root")).alias("main"), F.min("least").alias("least")).where("parts > 1")
-    mixed = rows.join(main, ["band", "hash"])
-    kept = F.col("size") - F.col("own")
-    hopeful = kept / (F.col("size") + F.greatest(F.col("least"), kept) - kept) >= similarity - 1e-9
-    mixed = mixed.where(hopeful)
-    columns = ("key", "size", "own", "root", "bands")
-    x = mixed.where("root <> main").select("band", "hash", *[F.col(c).alias(f"{c}_x") for c in columns])
-    y = mixed.select("band", "hash", *[F.col(c).alias(f"{c}_y") for c in columns])
-    shared = F.zip_with("bands_x", "bands_y", lambda a, b: a == b)
-    may = (x["band"] == y["band"]) & (x["hash"] == y["hash"]) & (F.col("root_x") != F.col("root_y")) & (most_alike("x", "y") >= similarity - 1e-9)
-    may &= (F.array_position(shared, True) == x["band"] + 1) & (F.size(F.filter(shared, lambda e: e)) > 1)
-    return x.join(y, may).select(*ordered_pairs("key_x", "key_y")).distinct().join(checked, ["a", "b"], "left_anti")
-
-
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    last = (key, shingles(y, hasher))
+                own, other = last[1], shingles(x, hasher)
+                linked = weighted_jaccard(own, other) >= similarity
+                if star is not None:
+                    diff, n, n_hub = difference(own, other), int(own[1].sum()), int(other[1].sum())
+                    n_by, n_for = prefixes(n, n_hub, len(diff), similarity)
+                    n_by = 0 if linked else n_by
+                    out.append((star, hub, key, linked, n, n_hub, len(diff), n_by, n_for, diff[: max(n_by, n_for)].view(np.int64)))
+                elif linked:
+                    out.append((None, hub, key, True, None, None, None, None, None, None))
+            columns = list(zip(*out, strict=True)) or [()] * 10
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.bool_(), *[pa.int32()] * 5, pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in COMPARED.split(", ")])
+
+    right = pairs.join(texts.select(F.col("key").alias("hub"), F.col("text").alias("text_hub")), "hub")
+    both = right.join(texts.select("key", F.col("text").alias("text_key")), "key").select("hub", "key", "star", "text_hub", "text_key")
+    return both.mapInArrow(verify, COMPARED)
+
+
+def late(seen: DataFrame, similarity: float, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """From the compared stars: pairs that may be linked though one of them is not linked to the hub, and crowded elements' stars."""
+    c = (1 - similarity) / (1 + similarity)
+    rows = cut(seen.where("size(elements) > 0").select("star", "key", "n", "d", "n_by", "n_for", F.posexplode("elements").alias("at", "element")))
+    by, for_ = F.col("at") < F.col("n_by"), F.col("at") < F.col("n_for")
+    sizes = rows.groupBy("star", "element").agg(F.count_if(by).alias("all_by"), F.count_if(for_).alias("all_for"), F.count("*").alias("all"))
+    groups = rows.join(sizes.where("all_by > 0 and all_for > 0 and all > 1"), ["star", "element"])
+    few = groups.where(F.col("all_by") * F.col("all_for") <= crowd)
+    x = few.where(by).select("star", "element", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("d").alias("d_x"), F.col("at").alias("at_x"), F.col("n_by").alias("by_x"))
+    y = few.where(for_).select("star", "element", F.col("key").alias("y"), F.col("n").alias("n_y"), F.col("d").alias("d_y"), F.col("at").alias("at_y"), F.col("n_by").alias("by_y"))
+    overlap = (F.col("d_x") + F.col("d_y") - c * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-6
+    most = 1 + F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y")) - 1
+    once = (F.col("by_y") == 0) | (F.col("x") < F.col("y"))  # two texts apart from the hub meet both ways
+    may = (x["star"] == y["star"]) & (x["element"] == y["element"]) & (F.col("x") != F.col("y")) & once & (most >= overlap)
+    pairs = x.join(y, may).select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("key")).distinct()
+    many = groups.where(F.col("all_by") * F.col("all_for") > crowd)
+    weights = many.groupBy("star", "key").agg((F.sum("all") / F.max("d")).alias("weight"))
+    return pairs, stars(many.join(weights, ["star", "key"]), ["star", "element"], F.xxhash64("star", "element"))
+
+
+def all_links(docs: DataFrame, buckets: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
+    """``u``, ``v``: links that join all texts which a chain of links inside the buckets joins."""
+    pairs = cut(candidates(buckets))
+    found = []
+    while True:
+        seen = cut(compared(docs, pairs, similarity))
+        found.append(seen.where("linked"))
+        if seen.where("n_by > 0").isEmpty():
+            break
+        close, more = late(seen, similarity, crowd)
+        found.append(compared(docs, cut(close.withColumn("star", F.lit(None).cast("long"))), similarity).where("linked"))
+        pairs = cut(more)
+    every = found[0]
+    for links in found[1:]:
+        every = every.unionByName(links)
+    return every.select(F.col("hub").alias("u"), F.col("key").alias("v"))
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """``doc_id``, ``key``, ``class_id``, ``first``: each row with the least ``doc_id`` of its class.
 
     ``first`` is true for one row of each class, the one of least ``doc_id``, then
     least text digest; which of rows equal in both is not told apart here.
     """
     docs = with_key(docs)
-    prints = cut(banded(docs, bands, rows))
+    prints = cut(banded(docs, *banding(similarity)))
     texts = prints.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))
     buckets = cut(buckets_of(texts))
-    large = buckets.where(F.col("n") > SMALL)
-    many = cut(large.join(crowded(docs, large).join(texts, "key"), "key"))
-    pairs = cut(candidates(buckets, many))
-    found = cut(links(docs, pairs, similarity))
-    roots = components(found)
-    rest = cut(apart(many, roots, pairs, similarity))
-    if not rest.isEmpty():
-        roots = components(found.unionByName(links(docs, rest, similarity)))
+    roots = components(all_links(docs, buckets, similarity, crowd))
     rows_ = prints.select("doc_id", "key").join(roots.select(F.col("u").alias("key"), "root"), "key", "left")
     rows_ = rows_.select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     ids = rows_.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("head"))

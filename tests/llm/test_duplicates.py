@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from millrace.llm import components, minhash, substrings
 from millrace.llm.common import WordHasher
@@ -22,7 +23,7 @@ def test_bagminhash_is_unbiased():
     assert abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.05
 
 
-def brute_classes(rows):
+def brute_classes(rows, similarity=0.8):
     hasher = WordHasher()
     bags = [minhash.shingles(t.encode(), hasher) for _, t in rows]
     root = list(range(len(rows)))
@@ -34,7 +35,7 @@ def brute_classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][1] == rows[j][1] or minhash.weighted_jaccard(bags[i], bags[j]) >= 0.8:
+            if rows[i][1] == rows[j][1] or minhash.weighted_jaccard(bags[i], bags[j]) >= similarity:
                 root[find(i)] = find(j)
     groups = {}
     for i in range(len(rows)):
@@ -61,6 +62,54 @@ def test_a_large_group_of_near_copies(spark):
     assert Counter((r.doc_id, r.class_id) for r in minhash.near_classes(docs).collect()) == brute_classes(rows)
 
 
+def falling(texts, words, most, seed):
+    """Near copies of one text: words of it replaced, left out, swapped or doubled, from none to ``most`` times."""
+    r = np.random.default_rng(seed)
+    base = [f"w{x}" for x in r.integers(0, 10_000, words)]
+    rows = []
+    for i in range(texts):
+        new = list(base)
+        for _ in range(int(r.integers(0, most + 1))):
+            k, kind = int(r.integers(0, len(new) - 1)), int(r.integers(0, 4))
+            new[k : k + 2] = [[f"e{r.integers(0, 3)}", new[k + 1]], [new[k + 1]], [new[k + 1], new[k]], [new[k], new[k], new[k + 1]]][kind]
+        rows.append((i, " ".join(new)))
+    return rows
+
+
+@pytest.mark.parametrize(("similarity", "most", "crowd"), [(0.8, 9, minhash.CROWD), (0.8, 9, 2000), (0.5, 26, minhash.CROWD)])
+def test_a_bucket_of_falling_similarity(spark, similarity, most, crowd):
+    """Hundreds of texts share buckets, half of them without a link to the hub; small crowds are split again."""
+    rows = falling(550, 120, most, 4)
+    want = brute_classes(rows, similarity)
+    assert 5 < len({c for _, c in want}) < 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter((r.doc_id, r.class_id) for r in minhash.near_classes(docs, similarity, crowd=crowd).collect()) == want
+
+
+def test_no_link_is_lost_beside_the_hub():
+    """The first elements and the bound on their places, against all pairs, from any hub."""
+    hasher = WordHasher()
+    bags = [minhash.shingles(t.encode(), hasher) for _, t in falling(160, 80, 8, 7)]
+    for similarity in (0.5, 0.8, 0.9):
+        for h in (0, 11, 77):
+            hub = bags[h]
+            seen = []
+            for b in bags:
+                d = minhash.difference(b, hub)
+                n_by, n_for = minhash.prefixes(int(b[1].sum()), int(hub[1].sum()), len(d), similarity)
+                apart = minhash.weighted_jaccard(b, hub) < similarity
+                seen.append((apart, set(d[:n_by].tolist()) if apart else set(), set(d[:n_for].tolist())))
+            for i, (apart, by, _) in enumerate(seen):
+                for j, (_, _, for_) in enumerate(seen):
+                    if apart and i != j and minhash.weighted_jaccard(bags[i], bags[j]) >= similarity:
+                        assert by & for_ or not len(minhash.difference(bags[i], bags[j]))
+
+
+def test_banding_follows_the_similarity():
+    assert minhash.banding(0.8) == (32, 4) and minhash.banding(0.5) == (64, 2) and minhash.banding(0.2) == (128, 1)
+    assert all((1 - s**r) ** b < 1e-6 for s in (0.3, 0.5, 0.7, 0.8, 0.9, 0.99) for b, r in [minhash.banding(s)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 200), (300, 300)]
     got = {r.u: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
