@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHasher, batches, cut, grams, mix, text_bytes
@@ -168,9 +168,19 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def buckets_of(texts: DataFrame) -> DataFrame:
-    """``band``, ``hash``, ``key``, ``n`` for the buckets with two texts or more."""
+    """``band``, ``hash``, ``key``, ``n``, ``hub``, ``weight`` for the buckets with two texts or more.
+
+    The hub is the text with the largest buckets over all bands, ``weight`` texts in all.
+    """
     rows = texts.select("key", F.posexplode("bands").alias("band", "hash"))
-    return rows.join(rows.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), ["band", "hash"])
+    rows = rows.join(rows.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), ["band", "hash"])
+    rows = cut(rows.withColumn("weight", F.sum("n").over(Window.partitionBy("key"))))  # a text has a row a band at most
+    return rows.join(hubs_of(rows, ["band", "hash"]), ["band", "hash"]).select("band", "hash", "key", "n", "hub", F.col("top_weight").alias("weight"))
+
+
+def hubs_of(members: DataFrame, group: list[str]) -> DataFrame:
+    """``hub``, ``top_weight``: the member of greatest ``weight`` of each group."""
+    return members.groupBy(*group).agg(F.max(F.struct("weight", "key")).alias("top")).select(*group, F.col("top.key").alias("hub"), F.col("top.weight").alias("top_weight"))
 
 
 def pairs_within(groups: DataFrame) -> DataFrame:
@@ -179,18 +189,17 @@ def pairs_within(groups: DataFrame) -> DataFrame:
     return first.select("x", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("y")).select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("key"))
 
 
-def stars(members: DataFrame, group: list[str], star: Column) -> DataFrame:
-    """``star`` (its number), ``hub``, ``key``: each group's members with its most central one (greatest ``weight``)."""
-    hubs = members.groupBy(*group).agg(F.max(F.struct("weight", "key")).alias("top"))
-    return members.join(hubs, group).withColumn("hub", F.col("top.key")).where("hub <> key").select(star.alias("star"), "hub", "key")
-
-
 def candidates(buckets: DataFrame, small: int = SMALL) -> DataFrame:
     """``hub``, ``key``, ``star``: all pairs of small buckets (no star), and the stars of large ones."""
     few = pairs_within(buckets.where(F.col("n") <= small).groupBy("band", "hash").agg(F.collect_list("key").alias("members")))
-    many = buckets.where(F.col("n") > small)
-    weights = buckets.join(many.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("weight"))
-    around = stars(many.join(weights, "key"), ["band", "hash"], F.xxhash64("hub"))  # buckets with one hub are one star
+    many = buckets.where(F.col("n") > small).select("key", "hub", "weight")
+    # a hub most of whose buckets have another hub hands its own over to that one; any hub serves, a central one serves best
+    ruled = many.join(many.select(F.col("hub").alias("key")).distinct(), "key", "left_semi").groupBy("key", "hub").agg(F.count("*").alias("bands"), F.max("weight").alias("weight"))
+    hubs = ruled.groupBy("key").agg(F.max(F.struct("bands", "weight", "hub")).alias("top"))
+    tops = hubs.select(F.col("key").alias("hub"), F.col("top.hub").alias("top"))
+    for _ in range(2):
+        tops = cut(tops.join(tops.select(F.col("hub").alias("top"), F.col("top").alias("next")), "top").select("hub", F.col("next").alias("top")))
+    around = many.select("hub", "key").distinct().join(tops, "hub").where("key <> top").select(F.xxhash64("top").alias("star"), F.col("top").alias("hub"), "key")
     return few.withColumn("star", F.lit(None).cast("long")).unionByName(around).groupBy("hub", "key").agg(F.max("star").alias("star"))
 
 
@@ -278,7 +287,9 @@ def late(seen: DataFrame, similarity: float, crowd: int = CROWD) -> tuple[DataFr
     pairs = x.join(y, may).select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("key")).distinct()
     many = groups.where(F.col("all_by") * F.col("all_for") > crowd)
     weights = many.groupBy("star", "key").agg((F.sum("all") / F.max("d")).alias("weight"))
-    return pairs, stars(many.join(weights, ["star", "key"]), ["star", "element"], F.xxhash64("star", "element"))
+    many = many.join(weights, ["star", "key"])
+    group = ["star", "element"]
+    return pairs, many.join(hubs_of(many, group), group).where("key <> hub").select(F.xxhash64(*group).alias("star"), "hub", "key")
 
 
 def all_links(docs: DataFrame, buckets: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
