@@ -19,7 +19,8 @@ ALIASES = {
 FAMILIES = {
     "character varying": "string", "character": "string", "text": "string", "smallint": "integer", "integer": "integer", "bigint": "integer",
     "real": "float", "double precision": "float", "numeric": "numeric", "boolean": "boolean", "date": "date", "bytea": "binary", "xml": "xml",
-    "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamp", "interval": "interval", "uuid": "uuid", "json": "json", "jsonb": "json",
+    "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamp", "interval": "interval", "uuid": "uuid",
+    "time without time zone": "time", "time with time zone": "time", "json": "json", "jsonb": "json",
 }
 LOB_TYPES = ("BLOB", "CLOB", "NCLOB", "LONG", "LONG RAW", "BFILE")
 LONGEST_VARCHAR = 10_485_760
@@ -61,6 +62,11 @@ def map_type(source: Column, length: Column, precision: Column, scale: Column, s
     )
 
 
+def with_mapped_type(columns: DataFrame, out: str = "want_type") -> DataFrame:
+    """Adds the destination type of ``source_type``, ``length``, ``precision``, ``scale``."""
+    return columns.withColumn(out, map_type(F.col("source_type"), F.col("length"), F.col("precision"), F.col("scale")))
+
+
 def lookup(values: dict[str, str], key: Column) -> Column:
     """The value of a key in a small fixed table, null if it has none."""
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
@@ -105,19 +111,22 @@ def with_compatibility(df: DataFrame, source: str, target: str, out: str = "verd
 def compatibility() -> Column:
     family, other, base, into = (F.col(c) for c in ("from_family", "to_family", "from_base", "to_base"))
     a1, a2, b1, b2 = (F.col(c) for c in ("from_1", "from_2", "to_1", "to_2"))
-    strings = (
-        F.when(other != "string", "block").when(b1.isNotNull() & (a1.isNull() | (a1 > b1)), "block")
-        .when((into == "character") & (base != "character"), "warn").otherwise("ok")
-    )
+
+    def into_string(longest: Column) -> Column:
+        return (
+            F.when(other != "string", "block").when(b1.isNotNull() & (longest.isNull() | (longest > b1)), "block")
+            .when(into == "character", "warn").otherwise("ok")
+        )
+
     s2, t2 = F.coalesce(a2, F.lit(0)), F.coalesce(b2, F.lit(0))
     numerics = F.when(other != "numeric", "block").when(b1.isNull(), "ok").when(a1.isNull() | (t2 < s2) | (b1 - t2 < a1 - s2), "block").otherwise("ok")
     stamps = F.when((other != "timestamp") | (base != into), "block").when(F.coalesce(b1, F.lit(6)) < F.coalesce(a1, F.lit(6)), "warn").otherwise("ok")
     return (
-        F.when(other == "unknown", "block")
-        .when(family == "string", strings)
+        F.when((family == "unknown") | (other == "unknown"), "block")
+        .when(family == "string", into_string(a1))
         .when(family.isin("integer", "float"), F.when(base == into, "ok").otherwise("block"))
         .when(family == "numeric", numerics)
         .when(family == "timestamp", stamps)
-        .when(family == "xml", F.when(other.isin("xml", "string"), "ok").otherwise("block"))
+        .when(family == "xml", F.when(other == "xml", "ok").otherwise(into_string(F.lit(None).cast("int"))))  # text of any length
         .otherwise(F.when(base == into, "ok").otherwise("block"))
     )

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Transient error codes of the source and of the destination.
-SOURCE_TRANSIENT = (3113, 3114, 3135, 12170, 12537, 12541, 12547, 12560, 12571, 50000)
+SOURCE_TRANSIENT = (
+    3113, 3114, 3135, 12153, 12170, 12514, 12516, 12518, 12519, 12520, 12521, 12528, 12537, 12541, 12543, 12545, 12547, 12560, 12570, 12571, 12582, 50000,
+)
 TARGET_TRANSIENT = ("57P01", "57P02", "57P03", "53300")
+# Parts of messages that tell of a lost connection.
+CONNECTION_MESSAGES = ("failed to connect", "tns:packet reader failure")
+# Labels of run states, and advice for errors of a read as of an earlier moment.
+STATUS_LABELS = {
+    "Draft": "Draft", "Pending": "Waiting", "Queued": "Waiting", "Creating": "Preparing", "Planning": "Planning", "Loading": "Copying",
+    "Copying": "Copying changes", "Running": "Running", "Validating": "Checking rows", "Paused": "Paused", "Completed": "Finished",
+    "CompletedWithErrors": "Finished with errors", "Failed": "Failed", "Cancelled": "Cancelled", "Done": "Done",
+}
+READ_ADVICE = {1466: "run again in a minute", 1555: "run again, then raise the undo retention", 1591: "resolve the transaction in doubt", 1031: "grant reads of earlier moments"}
 FILTER_DENIED = r"(?i);|--|/\*|\*/|\b(insert|update|delete|merge|drop|alter|create|truncate|grant|revoke|exec|execute)\b"
 
 
@@ -65,27 +78,65 @@ def retry_delay(attempt: Column) -> Column:
     return F.when(attempt <= 1, 30).when(attempt == 2, 60).when(attempt == 3, 120).otherwise(300)
 
 
-def worth_retrying(source_code: Column, target_state: Column, attempt: Column, stalled: Column) -> Column:
-    source = source_code.isin(*SOURCE_TRANSIENT) | ((source_code == 8103) & (attempt <= 1))
+def worth_retrying(source_code: Column, target_state: Column, attempt: Column, stalled: Column, io_failure: Column | None = None, message: Column | None = None) -> Column:
+    """Did the connection fail rather than the data? A stalled read or an I/O failure did; then the error's code decides, and its message only where there is no code."""
+    source = F.when(source_code == 8103, attempt < 2).otherwise(source_code.isin(*SOURCE_TRANSIENT))
     target = target_state.startswith("08") | target_state.isin(*TARGET_TRANSIENT)
-    return stalled | F.coalesce(source, F.lit(False)) | F.coalesce(target, F.lit(False))
+    text = F.lower(F.lit("") if message is None else F.coalesce(message, F.lit("")))
+    told = text.contains(CONNECTION_MESSAGES[0]) | text.contains(CONNECTION_MESSAGES[1])
+    lost = F.lit(False) if io_failure is None else F.coalesce(io_failure, F.lit(False))
+    return F.when(F.coalesce(stalled, F.lit(False)) | lost, True).when(source_code.isNotNull(), source).when(target_state.isNotNull(), target).otherwise(told)
 
 
 def checked_filter(text: str) -> Column:
-    """A user's row filter as a Column; anything that is not one plain expression is refused."""
-    import re
+    """A user's row filter as a Column; anything that is not one plain expression is refused.
 
-    if re.search(FILTER_DENIED, text):
+    What stands in quotes is a value or a name and may hold any word or mark.
+    """
+    plain = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`", "''", text)
+    if re.search(FILTER_DENIED, plain) or plain.replace("''", "").count("'") % 2:
         raise ValueError(f"this row filter is not allowed: {text}")
     return F.expr(f"({text})")
 
 
+def fixed_point(n: Column, unit: int, places: int) -> Column:
+    """``n / unit`` with so many decimals, halves up, in whole-number arithmetic."""
+    scale = 10**places
+    twice = n.cast("long") * (2 * scale) + unit
+    parts = ((twice - twice % (2 * unit)) / (2 * unit)).cast("long")
+    return F.concat(F.floor(parts / scale).cast("long").cast("string"), F.lit("."), F.lpad((parts % scale).cast("string"), places, "0"))
+
+
 def human_bytes(n: Column) -> Column:
+    """Bytes in the unit that keeps the number small: two decimals from a MB on, one for KB."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
-        out = F.when(n >= 1024**power, F.concat(F.round(n / 1024**power, 0).cast("long").cast("string"), F.lit(f" {unit}"))).otherwise(out)
+    for least, places, unit in ((1 << 10, 1, "KB"), (1 << 20, 2, "MB"), (1 << 30, 2, "GB")):
+        out = F.when(n >= least, F.concat(fixed_point(n, least, places), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n.isNull(), "Unknown").otherwise(out)
 
 
+def human_age(seconds: Column) -> Column:
+    """Time since a figure was taken."""
+    s = F.greatest(seconds, F.lit(0)).cast("long")
+    days = F.floor(s / 86400)
+    return (
+        F.when(s.isNull(), "").when(s < 60, "just now").when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit(" min ago")))
+        .when(s < 86400, F.concat(F.floor(s / 3600).cast("string"), F.lit(" h ago"))).when(days == 1, "1 day ago").otherwise(F.concat(days.cast("string"), F.lit(" days ago")))
+    )
+
+
+def status_label(c: Column) -> Column:
+    """The label of a state; an unknown state is its own label."""
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv]), c)
+    return F.when(F.coalesce(c, F.lit("")) == "", "—").otherwise(F.coalesce(known, c))
+
+
+def read_advice(code: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for number, text in READ_ADVICE.items():
+        out = F.when(code == number, text).otherwise(out)
+    return out
+
+
 def first_line(c: Column, most: int = 500) -> Column:
     return F.left(F.substring_index(c, "\n", 1), F.lit(most))

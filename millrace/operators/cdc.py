@@ -87,3 +87,32 @@ def object_drift(before: DataFrame, now: DataFrame) -> DataFrame:
     """Objects that were dropped, or whose data id changed (truncated or moved)."""
     joined = before.join(now.select("object_id", F.col("data_id").alias("now_id")), "object_id", "left")
     return joined.select("object_id", F.when(F.col("now_id").isNull(), "dropped").when(F.col("now_id") != F.col("data_id"), "truncated or moved").otherwise("same").alias("drift"))
+
+
+def upserted_rows(target: DataFrame, keys: DataFrame, rows: DataFrame, key: list[str], settable: list[str]) -> DataFrame:
+    """The target after an upsert: a row that is there takes the settable columns only, a new row takes all, a changed key without a row goes.
+
+    Key, identity and generated columns are not settable. Without a settable column a row that is there stays as it is.
+    """
+    columns = [c for c in target.columns if c not in key]
+    old = target.select(*key, F.struct(*columns).alias("old"))
+    new = rows.select(*key, F.struct(*columns).alias("new"))
+    both = old.join(new, key, "full").join(keys.select(*key).distinct().withColumn("changed", F.lit(True)), key, "left")
+    left = both.where(F.col("new").isNotNull() | F.col("changed").isNull())
+
+    def value(c: str) -> Column:
+        put = F.col("new").isNotNull() & (F.lit(True) if c in settable else F.col("old").isNull())
+        return F.when(put, F.col("new")[c]).otherwise(F.col("old")[c]).alias(c)
+
+    return left.select(*[F.col(c) if c in key else value(c) for c in target.columns])
+
+
+def upsert_counts(target: DataFrame, keys: DataFrame, rows: DataFrame, key: list[str], settable: list[str]) -> DataFrame:
+    """``written`` (new rows, and rows whose settable values really change) and ``deleted``."""
+    picked = F.struct(*settable) if settable else F.lit(True)
+    old = target.select(*key, picked.alias("old"), F.lit(True).alias("was"))
+    new = rows.select(*key, picked.alias("new"), F.lit(True).alias("now"))
+    both = old.join(new, key, "full").join(keys.select(*key).distinct().withColumn("changed", F.lit(True)), key, "left")
+    written = F.col("now").isNotNull() & (F.col("was").isNull() | ~F.col("old").eqNullSafe(F.col("new")))
+    deleted = F.col("was").isNotNull() & F.col("now").isNull() & F.col("changed").isNotNull()
+    return both.agg(F.count_if(written).alias("written"), F.count_if(deleted).alias("deleted"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.checkpoints import cut
+
 
 def batch_count(rows: Column, has_lobs: Column, per_batch: int = 200_000, per_lob_batch: int = 25_000, most: int = 2_000, unknown: int = 16) -> Column:
     size = F.when(has_lobs, per_lob_batch).otherwise(per_batch)
@@ -87,19 +89,48 @@ def coalesce_extents(extents: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def parents_first(children: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """``node``, ``level`` (longest distance from a root) for an acyclic reference graph; ordering by level puts parents first.
-
-    Each round of the recursion is one equi-join of the last level with the
-    references, so no graph is gathered on the driver. Nodes of a cycle have no
-    level and are left out; callers keep their given order.
+    """``node``, ``level``: ordering by level puts parents first.
+
+    A node's level is its longest distance from a node without parents. Nodes
+    of a cycle, and all below them, share the level behind the last, where their
+    given order holds. A reference to the node itself counts for nothing; a null
+    parent makes its child a node without that parent. Each round takes the nodes
+    whose parents are all placed, as one pre-aggregated join, so rows never grow
+    with the number of paths and no graph is gathered on the driver.
     """
-    spark = children.sparkSession
-    edges = children.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child <> parent")
-    roots = edges.select(F.col("parent").alias("node")).join(edges, F.col("node") == F.col("child"), "left_anti").distinct()
-    levels = spark.sql(
-        """WITH RECURSIVE reached(node, level) AS (
-             SELECT node, 0 FROM {roots} UNION ALL SELECT e.child, r.level + 1 FROM reached r JOIN {edges} e ON e.parent = r.node
-           ) SELECT node, max(level) AS level FROM reached GROUP BY node""",
-        roots=roots, edges=edges,
+    edges = children.select(F.col(child).alias("child"), F.col(parent).alias("parent"))
+    nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).where("node is not null").distinct()
+    edges = cut(edges.where("child <> parent").distinct())
+    left, level, placed = cut(nodes), 0, []
+    while not left.isEmpty():
+        waiting = edges.join(left.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        state = cut(left.join(waiting.withColumn("waits", F.lit(True)), "node", "left"))
+        ready = state.where("waits is null").select("node", F.lit(level).alias("level"))
+        left = state.where("waits").select("node")
+        if ready.isEmpty():  # a cycle and what hangs on it
+            placed.append(left.select("node", F.lit(level).alias("level")))
+            break
+        placed.append(ready)
+        level += 1
+    out = placed[0] if placed else left.select("node", F.lit(0).alias("level"))
+    for more in placed[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def partition_plan(df: DataFrame, part: str, n: int) -> DataFrame:
+    """``part``, ``rows``, ``position``, ``chunks``: each partition's share of ``n`` chunks by its rows, one at least."""
+    sizes = df.groupBy(part).agg(F.count("*").alias("rows"))
+    whole = sizes.agg(F.sum("rows")).scalar()
+    w = Window.orderBy(part)  # a row for each partition
+    share = F.greatest(F.round(F.col("rows") * n / whole, 0).cast("int"), F.lit(1))
+    return sizes.select(part, "rows", (F.row_number().over(w) - 1).alias("position"), share.alias("chunks"))
+
+
+def chunk_strategy(index_only: Column, partitioned: Column, has_partitions: Column, has_extents: Column, numeric_key: Column) -> Column:
+    """How a table is cut: by its key where only an index holds it, by partition, by range of the files, else by key or hash; one chunk if nothing fits."""
+    by_key = F.when(numeric_key, "key range")
+    return (
+        F.when(index_only, F.coalesce(by_key, F.lit("single"))).when(partitioned, F.when(has_partitions, "partition").otherwise("single"))
+        .when(has_extents, "range").otherwise(F.coalesce(by_key, F.lit("hash")))
     )
-    return levels

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import types, values
@@ -90,12 +90,14 @@ def q_count_target(s: SparkSession, sf: str) -> DataFrame:
     return d.change_target(s, sf).agg(F.count("*").alias("target_rows"))
 
 
-@query(f"""WITH {d.CDC} SELECT o_orderstatus, a.n AS source_rows, b.n AS target_rows, a.n = b.n AS passed
-FROM (SELECT o_orderstatus, count(*) n FROM src GROUP BY 1) a JOIN (SELECT o_orderstatus, count(*) n FROM tgt GROUP BY 1) b USING (o_orderstatus)""")
+@query(f"""WITH {d.CDC}, one AS (SELECT * FROM src WHERE o_orderkey % 10 <> 3), two AS (SELECT * FROM tgt WHERE o_orderkey % 10 <> 4)
+SELECT coalesce(a.k, b.k) AS o_part, coalesce(a.n, 0) AS source_rows, coalesce(b.n, 0) AS target_rows, coalesce(a.n, 0) = coalesce(b.n, 0) AS passed
+FROM (SELECT o_orderkey % 10 AS k, count(*) n FROM one GROUP BY 1) a FULL JOIN (SELECT o_orderkey % 10 AS k, count(*) n FROM two GROUP BY 1) b ON a.k = b.k""")
 def q_validate_rowcount(s: SparkSession, sf: str) -> DataFrame:
-    a = d.change_source(s, sf).groupBy("o_orderstatus").agg(F.count("*").alias("source_rows"))
-    b = d.change_target(s, sf).groupBy("o_orderstatus").agg(F.count("*").alias("target_rows"))
-    return a.join(b, "o_orderstatus").withColumn("passed", F.col("source_rows") == F.col("target_rows"))
+    """One part is missing on either side."""
+    part = (F.col("o_orderkey") % 10).alias("o_part")
+    source, target = d.change_source(s, sf).select("*", part).where("o_part <> 3"), d.change_target(s, sf).select("*", part).where("o_part <> 4")
+    return monitor.validated_counts(source, target, ["o_part"])
 
 
 @query(f"WITH {d.CHUNKS} SELECT chunk_id, run_id FROM chunks c ANTI JOIN (SELECT chunk_id FROM chunks WHERE status = 'Done') f USING (chunk_id)")
@@ -153,7 +155,11 @@ def q_chunk_plan(s: SparkSession, sf: str) -> DataFrame:
     return planning.key_ranges(planning.ntile_bounds(table(s, sf, "orders"), "o_orderkey", 12))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey % 500 AS object_id, l_orderkey * 8 + l_linenumber AS position, CAST(round(l_quantity) AS BIGINT) AS blocks FROM lineitem),
+x AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY position, blocks) AS r, ceil(sum(blocks) OVER (PARTITION BY object_id) / 8.0) AS target FROM e),
+f AS (SELECT object_id, r, position, 0 AS chunk, blocks AS held, target FROM x WHERE r = 1
+ UNION ALL SELECT x.object_id, x.r, x.position, CASE WHEN f.held >= f.target THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.held >= f.target THEN x.blocks ELSE f.held + x.blocks END, x.target FROM f JOIN x ON x.object_id = f.object_id AND x.r = f.r + 1)
+SELECT object_id, chunk, min(position) AS first, max(position) AS last, max(held) AS blocks FROM f GROUP BY 1, 2""")
 def q_coalesce_extents(s: SparkSession, sf: str) -> DataFrame:
     extents = table(s, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("object_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"), F.round("l_quantity").cast("long").alias("blocks"))
     return planning.coalesce_extents(extents, ["object_id"], 8)
@@ -193,23 +199,22 @@ PARTS = f"""{MAPPED}, based AS (SELECT *, {base_sql('want_type')} AS wb, {base_s
  TRY_CAST(nullif(regexp_extract(want_type, '\\(\\s*(\\d+)', 1), '') AS INTEGER) AS a1, TRY_CAST(nullif(regexp_extract(want_type, '\\(\\s*\\d+\\s*,\\s*(\\d+)', 1), '') AS INTEGER) AS a2,
  TRY_CAST(nullif(regexp_extract(live_type, '\\(\\s*(\\d+)', 1), '') AS INTEGER) AS b1, TRY_CAST(nullif(regexp_extract(live_type, '\\(\\s*\\d+\\s*,\\s*(\\d+)', 1), '') AS INTEGER) AS b2 FROM mapped),
 fam AS (SELECT *, {family_sql('wb')} AS wf, {family_sql('lb')} AS lf FROM based),
-compat AS (SELECT *, CASE WHEN lf = 'unknown' THEN 'block'
- WHEN wf = 'string' THEN CASE WHEN lf <> 'string' THEN 'block' WHEN b1 IS NOT NULL AND (a1 IS NULL OR a1 > b1) THEN 'block' WHEN lb = 'character' AND wb <> 'character' THEN 'warn' ELSE 'ok' END
+compat AS (SELECT *, CASE WHEN lf = 'unknown' OR wf = 'unknown' THEN 'block'
+ WHEN wf = 'string' OR (wf = 'xml' AND lf <> 'xml') THEN CASE WHEN lf <> 'string' THEN 'block' WHEN b1 IS NOT NULL AND (wf = 'xml' OR a1 IS NULL OR a1 > b1) THEN 'block' WHEN lb = 'character' THEN 'warn' ELSE 'ok' END
  WHEN wf IN ('integer','float') THEN CASE WHEN wb = lb THEN 'ok' ELSE 'block' END
  WHEN wf = 'numeric' THEN CASE WHEN lf <> 'numeric' THEN 'block' WHEN b1 IS NULL THEN 'ok' WHEN a1 IS NULL OR coalesce(b2,0) < coalesce(a2,0) OR b1 - coalesce(b2,0) < a1 - coalesce(a2,0) THEN 'block' ELSE 'ok' END
  WHEN wf = 'timestamp' THEN CASE WHEN lf <> 'timestamp' OR wb <> lb THEN 'block' WHEN coalesce(b1,6) < coalesce(a1,6) THEN 'warn' ELSE 'ok' END
- WHEN wf = 'xml' THEN CASE WHEN lf IN ('xml','string') THEN 'ok' ELSE 'block' END
  WHEN wb = lb THEN 'ok' ELSE 'block' END AS verdict FROM fam)"""
 
 
 def mapped(s: SparkSession, sf: str) -> DataFrame:
-    c = d.columns(s, sf)
-    return c.withColumn("want_type", types.map_type(F.col("source_type"), F.col("length"), F.col("precision"), F.col("scale")))
+    return types.with_mapped_type(d.columns(s, sf))
 
 
 @query(f"WITH {MAPPED} SELECT source_type, length, precision, scale, want_type AS target_type, count(*) AS n FROM mapped GROUP BY ALL")
 def q_type_map(s: SparkSession, sf: str) -> DataFrame:
-    return mapped(s, sf).groupBy("source_type", "length", "precision", "scale", F.col("want_type").alias("target_type")).agg(F.count("*").alias("n"))
+    kinds = d.columns(s, sf).groupBy("source_type", "length", "precision", "scale").agg(F.count("*").alias("n"))
+    return types.with_mapped_type(kinds).withColumnRenamed("want_type", "target_type")
 
 
 @query(f"WITH {PARTS} SELECT DISTINCT live_type, lb AS base, lf AS family, b1 AS arg1, b2 AS arg2 FROM fam")
@@ -220,7 +225,8 @@ def q_type_parse(s: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PARTS} SELECT want_type, live_type, verdict, count(*) AS n FROM compat GROUP BY ALL")
 def q_type_compat(s: SparkSession, sf: str) -> DataFrame:
-    return types.with_compatibility(mapped(s, sf), "want_type", "live_type").groupBy("want_type", "live_type", "verdict").agg(F.count("*").alias("n"))
+    pairs = mapped(s, sf).groupBy("want_type", "live_type").agg(F.count("*").alias("n"))  # each pair of types is judged once
+    return types.with_compatibility(pairs, "want_type", "live_type")
 
 
 def manifest_and_live(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -232,20 +238,23 @@ def manifest_and_live(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return manifest, live
 
 
-@query(f"""WITH {PARTS}, manifest AS (SELECT table_id, name, min(want_type) AS want_type, bool_or(nullable) AS nullable FROM mapped WHERE position % 6 <> 5 GROUP BY 1, 2),
+DIFF = f"""{PARTS}, manifest AS (SELECT table_id, name, min(want_type) AS want_type, bool_or(nullable) AS nullable FROM mapped WHERE position % 6 <> 5 GROUP BY 1, 2),
 live AS (SELECT table_id, CASE WHEN position % 3 = 0 THEN lower(name) ELSE name END AS name, min(live_type) AS live_type, bool_or(scale = 0) AS not_null, bool_or(scale = 3) AS has_default FROM mapped WHERE position % 6 <> 4 GROUP BY 1, 2),
 near AS (SELECT table_id, lower(name) AS folded, min(name) AS near_name FROM live GROUP BY 1, 2),
-rules AS (SELECT want_type, live_type, min(verdict) AS verdict FROM (SELECT c.* FROM compat c) GROUP BY 1, 2),
+rules AS (SELECT w.want_type, l.live_type, min(c.verdict) AS verdict FROM manifest w JOIN live l USING (table_id, name) JOIN judged c ON c.want_type = w.want_type AND c.live_type = l.live_type GROUP BY 1, 2),
 j AS (SELECT coalesce(m.table_id, l.table_id) AS table_id, coalesce(m.name, l.name) AS name, m.want_type, m.nullable, l.live_type, l.not_null, l.has_default FROM manifest m FULL JOIN live l ON m.table_id = l.table_id AND m.name = l.name),
-k AS (SELECT j.*, n.near_name FROM j LEFT JOIN near n ON n.table_id = j.table_id AND n.folded = lower(j.name))
-SELECT table_id, name, CASE WHEN live_type IS NULL AND near_name IS NOT NULL THEN 'missing, spelt otherwise' WHEN live_type IS NULL THEN 'missing'
- WHEN want_type IS NULL AND not_null AND NOT has_default THEN 'extra and required' WHEN want_type IS NULL THEN 'extra' ELSE 'both' END AS verdict FROM k""")
+k AS (SELECT j.*, n.near_name FROM j LEFT JOIN near n ON n.table_id = j.table_id AND n.folded = lower(j.name)),
+diff AS (SELECT k.table_id, k.name, CASE WHEN k.live_type IS NULL AND near_name IS NOT NULL THEN 'missing, spelt otherwise' WHEN k.live_type IS NULL THEN 'missing'
+ WHEN k.want_type IS NULL AND not_null AND NOT has_default THEN 'extra and required' WHEN k.want_type IS NULL THEN 'extra' WHEN r.verdict <> 'ok' THEN r.verdict
+ WHEN nullable AND not_null THEN 'nulls into not null' ELSE 'ok' END AS verdict FROM k LEFT JOIN rules r ON r.want_type = k.want_type AND r.live_type = k.live_type)"""
+
+
+@query(f"WITH {DIFF} SELECT * FROM diff")
 def q_schema_diff(s: SparkSession, sf: str) -> DataFrame:
-    found = schema.schema_diff(*manifest_and_live(s, sf), ["table_id"])
-    return found.withColumn("verdict", F.when(F.col("verdict").isin("ok", "warn", "block", "nulls into not null"), "both").otherwise(F.col("verdict")))
+    return schema.schema_diff(*manifest_and_live(s, sf), ["table_id"])
 
 
-@query()
+@query(f"WITH {DIFF} SELECT verdict, count(*) AS n FROM diff GROUP BY 1")
 def q_schema_diff_types(s: SparkSession, sf: str) -> DataFrame:
     return schema.schema_diff(*manifest_and_live(s, sf), ["table_id"]).groupBy("verdict").agg(F.count("*").alias("n"))
 
@@ -274,7 +283,7 @@ def q_identifier_check(s: SparkSession, sf: str) -> DataFrame:
     return table(s, sf, "part").select("p_partkey", values.is_identifier(n).alias("valid"), values.quoted(n).alias("quoted"))
 
 
-@query()
+@query("SELECT doc_id, text[1:list_max(list_filter(range(0, 64), n -> n <= length(text) AND octet_length(encode(text[1:n])) <= 63))] AS name FROM documents")
 def q_truncate63(s: SparkSession, sf: str) -> DataFrame:
     return table(s, sf, "documents").select("doc_id", values.truncated63(F.col("text")).alias("name"))
 
@@ -286,13 +295,25 @@ def q_key_text(s: SparkSession, sf: str) -> DataFrame:
     return df.select("o_orderkey", F.concat_ws("|", *parts).alias("key_text"))
 
 
-@query("""SELECT event_id, CASE a WHEN 1 THEN 30 WHEN 2 THEN 60 WHEN 3 THEN 120 ELSE 300 END AS delay, stalled OR coalesce(code IN (3113,3114,3135,12170,12537,12541,12547,12560,12571,50000) OR (code = 8103 AND a <= 1), false) OR coalesce(state LIKE '08%' OR state IN ('57P01','57P02','57P03','53300'), false) AS retry
-FROM (SELECT event_id, event_id % 5 + 1 AS a, user_id % 7 = 0 AS stalled, CASE WHEN event_id % 2 = 0 THEN ([3113, 1722, 8103, 942, 12541])[user_id % 5 + 1] END AS code, CASE WHEN event_id % 2 = 1 THEN (['08006', '57P01', '23505', '53300'])[user_id % 4 + 1] END AS state FROM events)""")
+CODES = (3113, 1722, 8103, 942, 12541, 12153, 12514, 12528, 12543, 12582, 50000)
+STATES = ("08006", "57P01", "23505", "53300", "57P02", "57P03", "42601", "53301")
+MESSAGES = ("Failed to connect to host", "TNS:packet reader failure", "value too long")
+
+
+@query(f"""SELECT event_id, CASE a WHEN 1 THEN 30 WHEN 2 THEN 60 WHEN 3 THEN 120 ELSE 300 END AS delay, CASE WHEN stalled OR io THEN true
+ WHEN code IS NOT NULL THEN CASE WHEN code = 8103 THEN a < 2 ELSE code IN {values.SOURCE_TRANSIENT} END
+ WHEN state IS NOT NULL THEN state LIKE '08%' OR state IN {values.TARGET_TRANSIENT} ELSE message ILIKE '%failed to connect%' OR message ILIKE '%tns:packet reader failure%' END AS retry
+FROM (SELECT event_id, event_id % 5 + 1 AS a, user_id % 7 = 0 AS stalled, event_id % 31 = 0 AS io, CASE WHEN event_id % 3 = 0 THEN ({list(CODES)})[event_id // 3 % {len(CODES)} + 1] END AS code,
+ CASE WHEN event_id % 3 = 1 THEN ({list(STATES)})[event_id // 3 % {len(STATES)} + 1] END AS state, ({list(MESSAGES)})[event_id // 3 % {len(MESSAGES)} + 1] AS message FROM events)""")
 def q_retry_policy(s: SparkSession, sf: str) -> DataFrame:
-    code = F.when(F.col("event_id") % 2 == 0, F.get(F.array(*map(F.lit, (3113, 1722, 8103, 942, 12541))), (F.col("user_id") % 5).cast("int")))
-    state = F.when(F.col("event_id") % 2 == 1, F.get(F.array(*map(F.lit, ("08006", "57P01", "23505", "53300"))), (F.col("user_id") % 4).cast("int")))
-    attempt = F.col("event_id") % 5 + 1
-    return table(s, sf, "events").select("event_id", values.retry_delay(attempt).alias("delay"), values.worth_retrying(code, state, attempt, F.col("user_id") % 7 == 0).alias("retry"))
+    e, third = F.col("event_id"), F.expr("event_id div 3")
+
+    def one_of(listed: tuple) -> Column:
+        return F.get(F.array(*map(F.lit, listed)), (third % len(listed)).cast("int"))
+
+    code, state = F.when(e % 3 == 0, one_of(CODES)), F.when(e % 3 == 1, one_of(STATES))
+    retry = values.worth_retrying(code, state, e % 5 + 1, F.col("user_id") % 7 == 0, e % 31 == 0, one_of(MESSAGES))
+    return table(s, sf, "events").select("event_id", values.retry_delay(e % 5 + 1).alias("delay"), retry.alias("retry"))
 
 
 @query("""SELECT event_id, user_id, event_type FROM events""")
@@ -462,15 +483,6 @@ def q_job_totals(s: SparkSession, sf: str) -> DataFrame:
     return d.chunks(s, sf).groupBy("job_id").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count_if(F.col("status") == "Pending").alias("waiting"))
 
 
-@query(f"""WITH {d.CHUNKS}, m AS (SELECT max(leased_until) AS now FROM chunks) SELECT CAST(sum(rows) FILTER (WHERE status = 'Done' AND leased_until >= now - INTERVAL 30 DAY) AS BIGINT) AS copied, count(DISTINCT run_id) FILTER (WHERE status = 'Pending') AS running FROM chunks, m""")
-def q_dashboard_summary(s: SparkSession, sf: str) -> DataFrame:
-    chunks = d.chunks(s, sf)
-    now = chunks.agg(F.max("leased_until").alias("now"))
-    recent = (F.col("status") == "Done") & (F.col("leased_until") >= F.col("now") - F.expr("INTERVAL 30 DAY"))
-    one = chunks.join(F.broadcast(now))  # a single row
-    return one.agg(F.sum(F.when(recent, F.col("rows"))).alias("copied"), F.countDistinct(F.when(F.col("status") == "Pending", F.col("run_id"))).alias("running"))
-
-
 TSTAT = f"{d.CHUNKS}, ts AS (SELECT run_id, min(job_id) AS job_id, CASE WHEN bool_or(status IN ('Pending','Running')) THEN 'InProgress' WHEN bool_or(status = 'Failed') THEN 'Failed' ELSE 'Validating' END AS table_status FROM chunks GROUP BY 1)"
 
 
@@ -501,9 +513,32 @@ def q_rates(s: SparkSession, sf: str) -> DataFrame:
     return monitor.rates(d.samples(s, sf), "job_id", "sampled_at", "total")
 
 
-@query(f"WITH {d.SAMPLES} SELECT job_id, sampled_at, total FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sampled_at DESC, total DESC) AS r FROM samples) WHERE r = 1")
+RATES = f"""{d.SAMPLES}, rated AS (SELECT job_id, sampled_at, total, coalesce(greatest((total - lag(total) OVER w) / greatest(epoch(sampled_at) - lag(epoch(sampled_at)) OVER w, 0.5), 0.0), 0.0) AS rate
+ FROM samples WINDOW w AS (PARTITION BY job_id ORDER BY sampled_at, total)), moment AS (SELECT max(sampled_at) AS now FROM samples)"""
+LATEST = "SELECT job_id, sampled_at, total, rate FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sampled_at DESC, total DESC) AS r FROM rated, moment WHERE job_id % 3 <> 0 AND sampled_at >= now - INTERVAL 3 HOUR) WHERE r = 1"
+
+
+def running_jobs(s: SparkSession, sf: str) -> DataFrame:
+    return d.samples(s, sf).where("job_id % 3 <> 0").select("job_id").distinct()
+
+
+@query(f"WITH {RATES} {LATEST}")
 def q_latest_metric(s: SparkSession, sf: str) -> DataFrame:
-    return monitor.latest(d.samples(s, sf), "job_id", "sampled_at", ["total"])
+    """The given events are minutes apart, so a sample of three hours counts as recent."""
+    rated = monitor.rates(d.samples(s, sf), "job_id", "sampled_at", "total")
+    now = d.samples(s, sf).agg(F.max("sampled_at")).scalar()
+    return monitor.recent_metrics(rated, running_jobs(s, sf), "job_id", "sampled_at", ["total", "rate"], now, 3 * 3600)
+
+
+@query(f"""WITH {d.CHUNKS}, {RATES}, m AS (SELECT max(leased_until) AS upto FROM chunks),
+done AS (SELECT sum(rows) AS rows, sum(bytes) AS bytes FROM chunks, m WHERE status = 'Done' AND leased_until >= upto - INTERVAL 24 HOUR),
+speed AS (SELECT sum(rate) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sampled_at DESC, rate DESC) AS r FROM rated, moment WHERE job_id % 3 <> 0 AND sampled_at >= now - INTERVAL 30 SECOND) WHERE r = 1)
+SELECT (SELECT count(DISTINCT job_id) FROM samples WHERE job_id % 3 <> 0) AS runs_in_progress, CAST(coalesce(rows, 0) AS BIGINT) AS copied_rows, CAST(coalesce(bytes, 0) AS BIGINT) AS copied_bytes, coalesce(rate, 0.0) AS rows_per_second FROM done, speed""")
+def q_dashboard_summary(s: SparkSession, sf: str) -> DataFrame:
+    chunks = d.chunks(s, sf).withColumnRenamed("leased_until", "completed_at")
+    rated = monitor.rates(d.samples(s, sf), "job_id", "sampled_at", "total")
+    now, sampled = chunks.agg(F.max("completed_at")).scalar(), d.samples(s, sf).agg(F.max("sampled_at")).scalar()
+    return monitor.dashboard(chunks, rated, running_jobs(s, sf), now, sampled)
 
 
 @query(f"WITH {d.CHUNKS} SELECT job_id, count(*) AS chunks, CAST(sum(rows) FILTER (WHERE chunk_id % 6 <> 0) AS BIGINT) AS known_rows, count(*) FILTER (WHERE chunk_id % 6 = 0) AS unknown FROM chunks GROUP BY 1")
@@ -517,8 +552,7 @@ FULL JOIN (SELECT c_custkey, c_custkey % 2 = 0 AS included, 'seg = ' || c_mktseg
 def q_selection_merge(s: SparkSession, sf: str) -> DataFrame:
     c = table(s, sf, "customer")
     old = c.where("c_custkey % 3 <> 0").select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("included"), F.concat(F.lit("seg = "), "c_mktsegment").alias("row_filter"))
-    both = c.where("c_custkey % 5 <> 0").select("c_custkey").join(old, "c_custkey", "full")
-    return both.select("c_custkey", F.coalesce("included", F.lit(True)).alias("included"), F.coalesce("row_filter", F.lit("")).alias("row_filter"))
+    return monitor.merged_selection(old, c.where("c_custkey % 5 <> 0"), "c_custkey", {"included": F.lit(True), "row_filter": F.lit("")})
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE (lower(p_name) LIKE '%1%' OR lower(p_brand) LIKE '%1%') AND p_size > 10")
@@ -653,17 +687,20 @@ def q_cdc_eligibility(s: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT c_custkey, c_custkey * 2 AS rows FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey, c_custkey * 2 + 1 AS rows, CASE WHEN c_custkey % 7 = 0 THEN 'timeout' END AS error FROM customer WHERE c_custkey % 2 = 0) n USING (c_custkey)""")
 def q_count_merge(s: SparkSession, sf: str) -> DataFrame:
     c, k = table(s, sf, "customer"), F.col("c_custkey")
-    old = c.where(k % 3 != 0).select(k, (k * 2).alias("old"))
-    new = c.where(k % 2 == 0).select(k, (k * 2 + 1).alias("new"), F.when(k % 7 == 0, "timeout").alias("error"), F.lit(True).alias("fresh"))
-    both = old.join(new, "c_custkey", "full")
-    return both.select("c_custkey", F.when(F.col("error").isNotNull() | F.col("fresh").isNull(), F.col("old")).otherwise(F.col("new")).alias("rows"), "error")
+    old = c.where(k % 3 != 0).select(k, (k * 2).alias("rows"))
+    return monitor.merged_counts(old, c.where(k % 2 == 0).select(k, (k * 2 + 1).alias("rows"), F.when(k % 7 == 0, "timeout").alias("error")), "c_custkey")
+
+
+def fixed_sql(unit: int, places: int) -> str:
+    parts = f"((b * {2 * 10**places} + {unit}) // {2 * unit})"
+    return f"({parts} // {10**places}) || '.' || lpad(CAST({parts} % {10**places} AS VARCHAR), {places}, '0')"
 
 
-@query("""SELECT l_orderkey, CASE WHEN b IS NULL THEN 'Unknown' WHEN b >= 1073741824 THEN CAST(round(b / 1073741824.0) AS BIGINT) || ' GB' WHEN b >= 1048576 THEN CAST(round(b / 1048576.0) AS BIGINT) || ' MB' WHEN b >= 1024 THEN CAST(round(b / 1024.0) AS BIGINT) || ' KB' ELSE b || ' B' END AS size
-FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN CAST(round(l_extendedprice) AS BIGINT) * (l_linenumber * l_linenumber * 10) END AS b FROM lineitem)""")
+@query(f"""SELECT l_orderkey, CASE WHEN b IS NULL THEN 'Unknown' WHEN b >= 1073741824 THEN {fixed_sql(1 << 30, 2)} || ' GB' WHEN b >= 1048576 THEN {fixed_sql(1 << 20, 2)} || ' MB' WHEN b >= 1024 THEN {fixed_sql(1024, 1)} || ' KB' ELSE b || ' B' END AS size
+FROM (SELECT l_orderkey, CASE WHEN l_linenumber <> 3 THEN CAST(round(l_extendedprice) AS BIGINT) * (CAST(l_linenumber AS BIGINT) * l_linenumber * l_linenumber * l_linenumber * 100) // 500 END AS b FROM lineitem)""")
 def q_format(s: SparkSession, sf: str) -> DataFrame:
-    n = F.col("l_linenumber")
-    b = F.when(n != 3, F.round("l_extendedprice").cast("long") * (n * n * 10))
+    n = F.col("l_linenumber").cast("long")
+    b = F.when(n != 3, F.expr("cast(round(l_extendedprice) as bigint) * (cast(l_linenumber as bigint) * l_linenumber * l_linenumber * l_linenumber * 100) div 500"))
     return table(s, sf, "lineitem").select("l_orderkey", values.human_bytes(b).alias("size"))
 
 
@@ -678,11 +715,19 @@ def q_manifest_generate(s: SparkSession, sf: str) -> DataFrame:
     return mapped(s, sf).groupBy("table_id").agg(F.count("*").alias("columns"), F.count_if(F.col("source_type").isin(*types.LOB_TYPES)).alias("lobs"), F.bool_or(F.col("name") != F.lower("name")).alias("renamed"))
 
 
-@query("""WITH RECURSIVE edges AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey <> p_partkey // 3),
-reached(node, level) AS (SELECT DISTINCT parent, 0 FROM edges WHERE parent NOT IN (SELECT child FROM edges) UNION ALL SELECT e.child, r.level + 1 FROM reached r JOIN edges e ON e.parent = r.node)
-SELECT node, max(level) AS level FROM reached GROUP BY node""")
+@query("""WITH RECURSIVE edges AS (SELECT p_partkey AS child, CASE WHEN p_partkey % 30 = 7 THEN p_partkey ELSE p_partkey // 3 END AS parent FROM part UNION SELECT p_partkey, p_partkey * 3 FROM part WHERE p_partkey % 20 = 9 AND p_partkey * 3 IN (SELECT p_partkey FROM part)),
+real AS (SELECT * FROM edges WHERE child <> parent), nodes AS (SELECT child AS node FROM edges UNION SELECT parent FROM edges),
+looped AS (SELECT DISTINCT child AS node FROM real WHERE parent = child * 3 UNION SELECT parent FROM real WHERE parent = child * 3),
+below(node) AS (SELECT node FROM looped UNION SELECT e.child FROM below b JOIN real e ON e.parent = b.node),
+reached(node, level) AS (SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT child FROM real) UNION SELECT e.child, r.level + 1 FROM reached r JOIN real e ON e.parent = r.node WHERE e.child NOT IN (SELECT node FROM below)),
+levels AS (SELECT node, max(level) AS level FROM reached GROUP BY node)
+SELECT node, level FROM levels UNION ALL SELECT node, (SELECT max(level) + 1 FROM levels) FROM below""")
 def q_fk_order(s: SparkSession, sf: str) -> DataFrame:
-    return planning.parents_first(table(s, sf, "part").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 3").alias("parent")))
+    part = table(s, sf, "part").select("p_partkey")
+    up = F.when(F.col("p_partkey") % 30 == 7, F.col("p_partkey")).otherwise(F.expr("p_partkey div 3"))
+    back = part.where("p_partkey % 20 = 9").select(F.col("p_partkey").alias("child"), (F.col("p_partkey") * 3).alias("parent"))
+    back = back.join(part, F.col("parent") == F.col("p_partkey"), "left_semi")
+    return planning.parents_first(part.select(F.col("p_partkey").alias("child"), up.alias("parent")).unionByName(back))
 
 
 @query(f"""WITH {d.COLUMNS}, {d.CDC}, keyed AS (SELECT table_id, count(*) FILTER (WHERE scale = 0) AS key_columns, count(*) FILTER (WHERE scale = 0 AND position % 6 = 5) AS excluded FROM cols GROUP BY 1),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,11 +20,34 @@ def jdbc(spark: SparkSession, url: str, name: str, predicates: list[str] | None
     return spark.read.jdbc(url, name, properties=settings)
 
 
+def quoted_name(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def literal(value: object) -> str:
+    """A value as a typed SQL literal."""
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, int | decimal.Decimal):
+        return str(value)
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS DOUBLE PRECISION)"
+    if isinstance(value, datetime.datetime):
+        return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
+    if isinstance(value, datetime.date):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(value, bytes):
+        return f"X'{value.hex()}'"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    raise TypeError(f"no literal for {type(value).__name__}")
+
+
 def range_predicates(column: str, bounds: list) -> list[str]:
     """Half-open SQL predicates from consecutive bounds, open at both ends."""
     lows, highs = [None, *bounds], [*bounds, None]
-    out = []
+    name, out = quoted_name(column), []
     for low, high in zip(lows, highs, strict=True):
-        parts = ([f"{column} > {low!r}"] if low is not None else []) + ([f"{column} <= {high!r}"] if high is not None else [])
+        parts = ([f"{name} > {literal(low)}"] if low is not None else []) + ([f"{name} <= {literal(high)}"] if high is not None else [])
         out.append(" AND ".join(parts) or "1 = 1")
     return out
