@@ -120,7 +120,7 @@ def human_age(seconds: Column) -> Column:
     s = F.greatest(seconds, F.lit(0)).cast("long")
     days = F.floor(s / 86400)
     return (
-        F.when(s.isNull(), "").when(s < 60, "just now").when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit(" min ago")))
+        F.when(seconds.isNull(), "").when(s < 60, "just now").when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit(" min ago")))
         .when(s < 86400, F.concat(F.floor(s / 3600).cast("string"), F.lit(" h ago"))).when(days == 1, "1 day ago").otherwise(F.concat(days.cast("string"), F.lit(" days ago")))
     )
 

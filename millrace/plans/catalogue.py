@@ -195,9 +195,11 @@ def family_sql(base: str) -> str:
     return f"CASE {base} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in types.FAMILIES.items()) + " ELSE 'unknown' END"
 
 
-PARTS = f"""{MAPPED}, based AS (SELECT *, {base_sql('want_type')} AS wb, {base_sql('live_type')} AS lb,
+def judged_sql(pairs: str) -> str:
+    """CTEs ``based``, ``fam`` and ``compat`` over a table with ``want_type`` and ``live_type``."""
+    return f"""based AS (SELECT *, {base_sql('want_type')} AS wb, {base_sql('live_type')} AS lb,
  TRY_CAST(nullif(regexp_extract(want_type, '\\(\\s*(\\d+)', 1), '') AS INTEGER) AS a1, TRY_CAST(nullif(regexp_extract(want_type, '\\(\\s*\\d+\\s*,\\s*(\\d+)', 1), '') AS INTEGER) AS a2,
- TRY_CAST(nullif(regexp_extract(live_type, '\\(\\s*(\\d+)', 1), '') AS INTEGER) AS b1, TRY_CAST(nullif(regexp_extract(live_type, '\\(\\s*\\d+\\s*,\\s*(\\d+)', 1), '') AS INTEGER) AS b2 FROM mapped),
+ TRY_CAST(nullif(regexp_extract(live_type, '\\(\\s*(\\d+)', 1), '') AS INTEGER) AS b1, TRY_CAST(nullif(regexp_extract(live_type, '\\(\\s*\\d+\\s*,\\s*(\\d+)', 1), '') AS INTEGER) AS b2 FROM {pairs}),
 fam AS (SELECT *, {family_sql('wb')} AS wf, {family_sql('lb')} AS lf FROM based),
 compat AS (SELECT *, CASE WHEN lf = 'unknown' OR wf = 'unknown' THEN 'block'
  WHEN wf = 'string' OR (wf = 'xml' AND lf <> 'xml') THEN CASE WHEN lf <> 'string' THEN 'block' WHEN b1 IS NOT NULL AND (wf = 'xml' OR a1 IS NULL OR a1 > b1) THEN 'block' WHEN lb = 'character' THEN 'warn' ELSE 'ok' END
@@ -207,6 +209,9 @@ compat AS (SELECT *, CASE WHEN lf = 'unknown' OR wf = 'unknown' THEN 'block'
  WHEN wb = lb THEN 'ok' ELSE 'block' END AS verdict FROM fam)"""
 
 
+PARTS = f"{MAPPED}, {judged_sql('mapped')}"
+
+
 def mapped(s: SparkSession, sf: str) -> DataFrame:
     return types.with_mapped_type(d.columns(s, sf))
 
@@ -238,15 +243,15 @@ def manifest_and_live(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return manifest, live
 
 
-DIFF = f"""{PARTS}, manifest AS (SELECT table_id, name, min(want_type) AS want_type, bool_or(nullable) AS nullable FROM mapped WHERE position % 6 <> 5 GROUP BY 1, 2),
+DIFF = f"""{MAPPED}, manifest AS (SELECT table_id, name, min(want_type) AS want_type, bool_or(nullable) AS nullable FROM mapped WHERE position % 6 <> 5 GROUP BY 1, 2),
 live AS (SELECT table_id, CASE WHEN position % 3 = 0 THEN lower(name) ELSE name END AS name, min(live_type) AS live_type, bool_or(scale = 0) AS not_null, bool_or(scale = 3) AS has_default FROM mapped WHERE position % 6 <> 4 GROUP BY 1, 2),
 near AS (SELECT table_id, lower(name) AS folded, min(name) AS near_name FROM live GROUP BY 1, 2),
-rules AS (SELECT w.want_type, l.live_type, min(c.verdict) AS verdict FROM manifest w JOIN live l USING (table_id, name) JOIN judged c ON c.want_type = w.want_type AND c.live_type = l.live_type GROUP BY 1, 2),
 j AS (SELECT coalesce(m.table_id, l.table_id) AS table_id, coalesce(m.name, l.name) AS name, m.want_type, m.nullable, l.live_type, l.not_null, l.has_default FROM manifest m FULL JOIN live l ON m.table_id = l.table_id AND m.name = l.name),
 k AS (SELECT j.*, n.near_name FROM j LEFT JOIN near n ON n.table_id = j.table_id AND n.folded = lower(j.name)),
+pairs AS (SELECT DISTINCT want_type, live_type FROM j WHERE want_type IS NOT NULL AND live_type IS NOT NULL), {judged_sql('pairs')},
 diff AS (SELECT k.table_id, k.name, CASE WHEN k.live_type IS NULL AND near_name IS NOT NULL THEN 'missing, spelt otherwise' WHEN k.live_type IS NULL THEN 'missing'
  WHEN k.want_type IS NULL AND not_null AND NOT has_default THEN 'extra and required' WHEN k.want_type IS NULL THEN 'extra' WHEN r.verdict <> 'ok' THEN r.verdict
- WHEN nullable AND not_null THEN 'nulls into not null' ELSE 'ok' END AS verdict FROM k LEFT JOIN rules r ON r.want_type = k.want_type AND r.live_type = k.live_type)"""
+ WHEN nullable AND not_null THEN 'nulls into not null' ELSE 'ok' END AS verdict FROM k LEFT JOIN compat r ON r.want_type = k.want_type AND r.live_type = k.live_type)"""
 
 
 @query(f"WITH {DIFF} SELECT * FROM diff")
@@ -283,7 +288,7 @@ def q_identifier_check(s: SparkSession, sf: str) -> DataFrame:
     return table(s, sf, "part").select("p_partkey", values.is_identifier(n).alias("valid"), values.quoted(n).alias("quoted"))
 
 
-@query("SELECT doc_id, text[1:list_max(list_filter(range(0, 64), n -> n <= length(text) AND octet_length(encode(text[1:n])) <= 63))] AS name FROM documents")
+@query("SELECT doc_id, text[1:list_max(list_filter(range(0, 64), lambda n: n <= length(text) AND octet_length(encode(text[1:n])) <= 63))] AS name FROM documents")
 def q_truncate63(s: SparkSession, sf: str) -> DataFrame:
     return table(s, sf, "documents").select("doc_id", values.truncated63(F.col("text")).alias("name"))
 
