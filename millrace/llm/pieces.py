@@ -1,27 +1,37 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
-Texts are cut into words at spaces (no piece of the table goes on behind one).
-Distinct words become a table; their substrings of bounded length are exploded
-and equi-joined to the piece table, which gives the edges of each word's
-lattice; edges are grouped by word, and a Spark higher-order aggregate folds
-them into the best path (greatest sum of piece scores; of equal sums the one
-whose last piece is longest). A character that no piece covers is spelt in byte
-pieces. So the lattice work grows with the vocabulary, not with the text.
+Texts are cut into words at spaces (no piece of the table goes on behind one),
+and words where two characters stand side by side that no piece holds side by
+side: no piece can cross such a place, so nothing is lost. Distinct segments
+become a table; their substrings of bounded length are exploded and equi-joined
+to the piece table, which gives the edges of each segment's lattice; edges are
+grouped by segment, and a Spark higher-order aggregate folds them into the best
+path (greatest sum of scores; of equal sums the one whose last piece is
+longest). A character that no piece covers is spelt in byte pieces. So the
+lattice work grows with the vocabulary, not with the text.
+
+Scores. The public model is a merge model: its piece scores are ranks, whose sum
+says nothing about a path (it would prefer many early pieces to a few late
+ones). A piece of rank r costs ``PIECE_COST + ln(2 + r)`` here: few pieces first,
+early merges before late ones. The ids are therefore those of the best path, not
+always those of the library's merges: see the README for how often they agree. A
+model whose scores are log probabilities keeps them (``scores="model"``).
 
 Documents travel as packed blocks of a scan batch. A block asks for its distinct
-words, bucket by bucket, and gets their ids back in the same order; no word list
-is broadcast. Only the piece table, whose size is the model's, is.
+segments, bucket by bucket, and gets their ids back in the same order; no word
+list is broadcast. Only the piece table, whose size is the model's, is.
 
 Defined results: a null text is empty and has no pieces; U+2581 in a text is a
 space, as in the model; repeated rows are encoded each; a null ``doc_id`` is
-carried; an empty table gives no rows; further columns are left out. Words
-longer than ``LONG_WORD`` characters are folded by the same recurrence in
-Python, where the fold is linear.
+carried; an empty table gives no rows; further columns are left out. Segments
+longer than ``LONG_SEGMENT`` characters are folded by the same recurrence in
+Python, where the fold is linear; ids are the same either way.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +44,9 @@ from .common import batches, partitions, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-LONG_WORD = 256
+LONG_SEGMENT = 256
+#: What each piece of a merge model costs beside the logarithm of its rank.
+PIECE_COST = 5.0
 #: What an uncovered character costs below the least score of a piece.
 UNKNOWN_COST = 10.0
 PIECE_SCHEMA = "piece string, id int, score double"
@@ -49,12 +61,13 @@ def model_path(name: str = MODEL) -> str:
 class Pieces:
     """The piece table of a model file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, scores: str = "ranks") -> None:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(m.get_piece_size())
-        self.plain = [(m.id_to_piece(i), i, m.get_score(i)) for i in ids if not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i) or m.is_byte(i))]
+        score = (lambda i: m.get_score(i)) if scores == "model" else (lambda i: -PIECE_COST - math.log(2 - m.get_score(i)))
+        self.plain = [(m.id_to_piece(i), i, score(i)) for i in ids if not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i) or m.is_byte(i))]
         self.bytes = {int(m.id_to_piece(i)[3:5], 16): i for i in ids if m.is_byte(i)}
         self.longest = max(len(p) for p, _, _ in self.plain)
         self.unknown = min(s for _, _, s in self.plain) - UNKNOWN_COST
@@ -62,25 +75,41 @@ class Pieces:
         if crossing:
             raise ValueError(f"pieces go on behind a space: {crossing[:3]}")
         self.table = {p: (i, s) for p, i, s in self.plain}
-        self.surface = {i: p.replace(SPACE, " ").encode() for p, i, _ in self.plain} | {i: bytes([b]) for b, i in self.bytes.items()}
-
-    def viterbi(self, word: str) -> list[int]:
-        """The same fold in Python, for very long words and for tests."""
+        #: pairs of neighbouring characters that some piece holds, as sorted numbers
+        self.joined = np.unique(np.array([ord(a) << 21 | ord(b) for p, _, _ in self.plain for a, b in zip(p, p[1:], strict=False)], np.int64))
+        self.small = len(ids) < 65536
+
+    def segments(self, words: list[bytes]) -> tuple[list[str], np.ndarray]:
+        """The segments of all words in a row, and where each word's begin (and the last's end)."""
+        text = "".join([SPACE + w.decode().replace(" ", SPACE) for w in words])
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        lengths = np.array([len(w) if w.isascii() else len(w.decode()) for w in words], np.int64) + 1
+        begins = np.concatenate([[0], np.cumsum(lengths)])
+        pairs = chars[:-1] << 21 | chars[1:]
+        at = np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)
+        cut = np.ones(len(chars) + 1, bool)
+        cut[1:-1] = self.joined[at] != pairs
+        cut[begins] = True
+        ends = np.flatnonzero(cut)
+        return [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.searchsorted(ends, begins)
+
+    def viterbi(self, segment: str) -> list[int]:
+        """The fold in Python, for very long segments."""
         best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
-        for end in range(1, len(word) + 1):
+        for end in range(1, len(segment) + 1):
             found: tuple[float, int, int] | None = None
             for start in range(max(0, end - self.longest), end):
-                hit = self.table.get(word[start:end])
+                hit = self.table.get(segment[start:end])
                 if hit is None and end - start == 1:
                     hit = (-1, self.unknown)
                 if hit and (found is None or best[start][0] + hit[1] > found[0]):
                     found = (best[start][0] + hit[1], start, hit[0])
             best.append(found)
         out: list[list[int]] = []
-        end = len(word)
+        end = len(segment)
         while end:
             _, start, piece = best[end]
-            out.append([self.bytes[b] for b in word[start:end].encode()] if piece < 0 else [piece])
+            out.append([self.bytes[b] for b in segment[start:end].encode()] if piece < 0 else [piece])
             end = start
         return [i for part in reversed(out) for i in part]
 
@@ -102,13 +131,15 @@ def words_of(text: bytes) -> list[bytes]:
     return [*out, b" " * (run - 1)] if run else out
 
 
-def asked(texts: list[bytes], buckets: int) -> tuple[list[list[bytes]], list[list[bytes]]]:
-    """Words of each text, and the distinct words of all in sorted lists, one for each bucket."""
+def asked(texts: list[bytes], pieces: Pieces, buckets: int) -> tuple[list[list[bytes]], list[bytes], list[str], np.ndarray, list[list[str]]]:
+    """Words of each text; all distinct words; their segments and where each word's begin; the distinct segments in sorted lists, one for each bucket."""
     words = [words_of(t) for t in texts]
-    lists: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in sorted(set().union(*map(set, words))):
-        lists[zlib.crc32(w) % buckets].append(w)
-    return words, lists
+    distinct = sorted(set().union(*map(set, words)))
+    segments, begins = pieces.segments(distinct)
+    lists: list[list[str]] = [[] for _ in range(buckets)]
+    for s in sorted(set(segments)):
+        lists[zlib.crc32(s.encode()) % buckets].append(s)
+    return words, distinct, segments, begins, lists
 
 
 def packed(table: pa.Table) -> bytes:
@@ -122,8 +153,8 @@ def unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def blocks(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(``block``, ``docs``) and (``bucket``, ``block``, ``words``), packed."""
+def blocks(docs: DataFrame, path: str, scores: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(``block``, ``docs``) and (``bucket``, ``block``, ``segments``), packed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def numbered(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -138,24 +169,24 @@ def blocks(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed(pa.Table.from_batches([batch]))], pa.binary())], ["block", "docs"])
 
     def ask(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(path, scores)
         for block, batch in numbered(found):
-            _, lists = asked(text_bytes(batch.column(1)), buckets)
+            lists = asked(text_bytes(batch.column(1)), pieces, buckets)[-1]
             used = [b for b, ws in enumerate(lists) if ws]
-            rows = [packed(pa.table([pa.array(lists[b], pa.binary())], ["w"])) for b in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "block", "words"])
+            rows = [packed(pa.table([pa.array(lists[b], pa.string())], ["s"])) for b in used]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "block", "segments"])
 
-    return docs.mapInArrow(hold, "block long, docs binary"), docs.mapInArrow(ask, "bucket int, block long, words binary")
+    return docs.mapInArrow(hold, "block long, docs binary"), docs.mapInArrow(ask, "bucket int, block long, segments binary")
 
 
-def lattice_paths(words: DataFrame, pieces: Pieces, pieces_df: DataFrame) -> DataFrame:
-    """``bucket``, ``word``, ``ids`` for the words of ``bucket``, ``word``."""
-    text = F.concat(F.lit(SPACE), F.replace("word", F.lit(" "), F.lit(SPACE)))
-    parts = words.withColumn("text", text).select("bucket", "word", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("e"))
-    parts = parts.select("bucket", "word", "text", "e", F.explode(F.sequence(F.lit(1), F.least("e", F.lit(pieces.longest)))).alias("n"))
-    parts = parts.select("bucket", "word", "e", (F.col("e") - F.col("n")).alias("s"), F.substring("text", F.col("e") - F.col("n") + 1, F.col("n")).alias("piece"))
+def lattice_paths(segments: DataFrame, pieces: Pieces, pieces_df: DataFrame) -> DataFrame:
+    """``bucket``, ``segment``, ``ids`` for the distinct ``bucket``, ``segment``."""
+    parts = segments.select("bucket", "segment", F.explode(F.sequence(F.lit(1), F.length("segment"))).alias("e"))
+    parts = parts.select("bucket", "segment", "e", F.explode(F.sequence(F.lit(1), F.least("e", F.lit(pieces.longest)))).alias("n"))
+    parts = parts.select("bucket", "segment", "e", (F.col("e") - F.col("n")).alias("s"), F.substring("segment", F.col("e") - F.col("n") + 1, F.col("n")).alias("piece"))
     edges = parts.join(F.broadcast(pieces_df), "piece", "left").where("id is not null or e - s = 1")
     edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
-    grouped = edges.groupBy("bucket", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("text", text)
+    grouped = edges.groupBy("bucket", "segment").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     state = F.struct(
         F.array(F.lit(0.0)).alias("best"), F.array().cast("array<struct<s:int,id:int>>").alias("back"),
         F.lit(1).alias("e"), F.lit(None).cast("double").alias("score"), F.struct(F.lit(0).alias("s"), F.lit(-1).alias("id")).alias("edge"),
@@ -177,7 +208,7 @@ def lattice_paths(words: DataFrame, pieces: Pieces, pieces_df: DataFrame) -> Dat
 
         return F.get(F.transform(F.array(moved), better), F.lit(0))
 
-    folded = grouped.select("bucket", "word", "text", F.aggregate("edges", state, step, lambda acc: F.concat(acc["back"], F.array(acc["edge"]))).alias("back"))
+    folded = grouped.select("bucket", "segment", F.aggregate("edges", state, step, lambda acc: F.concat(acc["back"], F.array(acc["edge"]))).alias("back"))
     spelt = F.create_map(*[x for b, i in sorted(pieces.bytes.items()) for x in (F.lit(f"{b:02X}"), F.lit(i))])
 
     def as_bytes(c: Column) -> Column:
@@ -186,74 +217,119 @@ def lattice_paths(words: DataFrame, pieces: Pieces, pieces_df: DataFrame) -> Dat
 
     def trace(acc: Column, _: Column) -> Column:
         edge = F.get("back", acc["at"] - 1)
-        ids = F.when(edge["id"] < 0, as_bytes(F.substring("text", acc["at"], F.lit(1)))).otherwise(F.array(edge["id"]))
+        ids = F.when(edge["id"] < 0, as_bytes(F.substring("segment", acc["at"], F.lit(1)))).otherwise(F.array(edge["id"]))
         return F.when(acc["at"] == 0, acc).otherwise(F.struct(edge["s"].alias("at"), F.concat(ids, acc["ids"]).alias("ids")))
 
     begin = F.struct(F.size("back").alias("at"), F.array().cast("array<int>").alias("ids"))
-    return folded.select("bucket", "word", F.aggregate("back", begin, trace, lambda acc: acc["ids"]).alias("ids"))
+    return folded.select("bucket", "segment", F.aggregate("back", begin, trace, lambda acc: acc["ids"]).alias("ids"))
 
 
-def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_tokens``, ``ids_crc32`` (ids as little-endian unsigned 32-bit), ``decoded_sha256``, ``round_trip``."""
+def encode_ids(docs: DataFrame, model: str | None = None, scores: str = "ranks") -> DataFrame:
+    """``doc_id``, ``text`` (null: empty), ``n_words``, ``ids`` of each document."""
     spark = docs.sparkSession
     path = model or model_path()
-    pieces = Pieces(path)
+    pieces = Pieces(path, scores)
     buckets = partitions(spark)
-    held, requests = blocks(docs, buckets)
+    held, requests = blocks(docs, path, scores, buckets)
+    number = pa.uint16() if pieces.small else pa.uint32()
 
-    def distinct_words(key: tuple, table: pa.Table) -> pa.Table:
-        found = sorted(set().union(*(unpacked(x).column("w").to_pylist() for x in table.column("words").to_pylist())))
-        return pa.table([pa.array([key[0].as_py()] * len(found), pa.int32()), pa.array(found, pa.binary()).cast(pa.string())], ["bucket", "word"])
+    def distinct_segments(key: tuple, table: pa.Table) -> pa.Table:
+        found = sorted(set().union(*(unpacked(x).column("s").to_pylist() for x in table.column("segments").to_pylist())))
+        return pa.table([pa.array([key[0].as_py()] * len(found), pa.int32()), pa.array(found, pa.string())], ["bucket", "segment"])
 
-    words = requests.groupBy("bucket").applyInArrow(distinct_words, "bucket int, word string").repartition(buckets, "word")
+    segments = requests.groupBy("bucket").applyInArrow(distinct_segments, "bucket int, segment string").repartition(buckets, "segment")
     table = spark.createDataFrame(pieces.plain, PIECE_SCHEMA)
-    short = lattice_paths(words.where(F.length("word") < LONG_WORD), pieces, table)
+    short = lattice_paths(segments.where(F.length("segment") < LONG_SEGMENT), pieces, table)
 
     def fold_long(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(path)
+        own = Pieces(path, scores)
         for batch in found:
-            ids = [own.viterbi(SPACE + w.replace(" ", SPACE)) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["bucket", "word", "ids"])
+            ids = [own.viterbi(s) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["bucket", "segment", "ids"])
 
-    long = words.where(F.length("word") >= LONG_WORD).mapInArrow(fold_long, "bucket int, word string, ids array<int>")
+    long = segments.where(F.length("segment") >= LONG_SEGMENT).mapInArrow(fold_long, "bucket int, segment string, ids array<int>")
     encoded = short.unionByName(long)
 
     def give(key: tuple, wanted: pa.Table, known: pa.Table) -> pa.Table:
-        order = {w: i for i, w in enumerate(known.column("word").cast(pa.binary()).to_pylist())}
+        order = {s: i for i, s in enumerate(known.column("segment").to_pylist())}
         ids = known.column("ids").combine_chunks()
         rows = []
-        for x in wanted.column("words").to_pylist():
-            take = pa.array([order[w] for w in unpacked(x).column("w").to_pylist()], pa.int32())
-            rows.append(packed(pa.table([ids.take(take).cast(pa.list_(pa.uint16() if len(pieces.surface) < 65536 else pa.uint32()))], ["ids"])))
+        for x in wanted.column("segments").to_pylist():
+            take = pa.array([order[s] for s in unpacked(x).column("s").to_pylist()], pa.int32())
+            rows.append(packed(pa.table([ids.take(take).cast(pa.list_(number))], ["ids"])))
         return pa.table([wanted.column("block"), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["block", "bucket", "ids"])
 
     answers = requests.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInArrow(give, "block long, bucket int, ids binary")
 
     def assemble(key: tuple, mine: pa.Table, answered: pa.Table) -> pa.Table:
-        names, n_words, n_tokens, crcs, digests, same = [], [], [], [], [], []
+        own = Pieces(path, scores)
+        names, kept, n_words, raws = [], [], [], []
         for data in mine.column("docs").to_pylist():
             batch = unpacked(data)
             texts = text_bytes(batch.column(1))
-            words, lists = asked(texts, buckets)
-            known: dict[bytes, bytes] = {}
+            words, distinct, segments_, begins, lists = asked(texts, own, buckets)
+            of_segment: dict[str, bytes] = {}
             for b, x in zip(answered.column("bucket").to_pylist(), answered.column("ids").to_pylist(), strict=True):
                 ids = unpacked(x).column("ids").combine_chunks()
                 flat = ids.values.to_numpy().astype("<u4").tobytes()
                 at = (ids.offsets.to_numpy() * 4).tolist()
-                known.update(zip(lists[b], (flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True))
-            surface = [pieces.surface.get(i, b"") for i in range(max(pieces.surface) + 1)]
+                of_segment.update(zip(lists[b], (flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True))
+            found = list(map(of_segment.__getitem__, segments_))
+            ends = begins.tolist()
+            known = dict(zip(distinct, (found[i] if j == i + 1 else b"".join(found[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)), strict=True))
             names += batch.column(0).to_pylist()
-            for text, ws in zip(texts, words, strict=True):
-                raw = b"".join(map(known.__getitem__, ws))
-                decoded = b"".join(map(surface.__getitem__, np.frombuffer(raw, "<u4").tolist()))[1:]
-                n_words.append(len(ws))
-                n_tokens.append(len(raw) // 4)
-                crcs.append(zlib.crc32(raw))
-                digests.append(hashlib.sha256(decoded).hexdigest())
-                same.append(decoded == text.replace(SPACE.encode(), b" "))
-        columns = [pa.array(names, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
-        return pa.table(columns, ["doc_id", "n_words", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
-
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        assemble, "doc_id long, n_words long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
-    )
+            kept += texts
+            n_words += [len(ws) for ws in words]
+            raws += [b"".join(map(known.__getitem__, ws)) for ws in words]
+        offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raws])])
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raws), "<i4")))
+        return pa.table([pa.array(names, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), ids], ["doc_id", "text", "n_words", "ids"])
+
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, text string, n_words long, ids array<int>")
+
+
+def decode(tokens: DataFrame, model: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds the text of a column of ids, as the library decodes them.
+
+    Null ids stay null, no ids are an empty text, and control, unknown and
+    out-of-table ids are nothing. Bytes that are no UTF-8 become U+FFFD. Other
+    columns are carried; one named as the output is replaced.
+    """
+    path = model or model_path()
+    names = [c for c in tokens.columns if c != out]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*names).schema.fields) + f", `{out}` string"
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(path)
+        surface = {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces.plain} | {i: bytes([b]) for b, i in pieces.bytes.items()}
+        for batch in found:
+            lists = batch.column(names.index(ids)).to_pylist()
+            texts = [None if x is None else b"".join([surface.get(i, b"") for i in x]).removeprefix(b" ").decode("utf-8", "replace") for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
+
+    return tokens.select(*names).mapInArrow(run, schema)
+
+
+REPORT = "doc_id long, n_words long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+
+
+def report(docs: DataFrame, model: str | None = None, scores: str = "ranks") -> DataFrame:
+    """Each document's digests: of its ids (little-endian unsigned 32-bit) and of the text decoded from them; does that equal the given text?"""
+    decoded = decode(encode_ids(docs, model, scores), model)
+
+    def digest(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            lists = batch.column(3)
+            raw = memoryview(np.ascontiguousarray(lists.values.to_numpy()).astype("<u4", copy=False)).cast("B")
+            at = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            texts, back = text_bytes(batch.column(1)), text_bytes(batch.column(4))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(2), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array(crcs, pa.int64()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
+                ],
+                [c.split()[0] for c in REPORT.split(", ")],
+            )
+
+    return decoded.select("doc_id", "text", "n_words", "ids", "decoded").mapInArrow(digest, REPORT)
