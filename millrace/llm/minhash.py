@@ -56,7 +56,7 @@ MISSED = 1e-6
 #: Buckets of up to so many texts give all pairs; larger ones find the same links by stars.
 SMALL = 8
 #: Elements that would bring together more pairs than this become stars of their own.
-CROWD = 1 << 18
+CROWD = 1 << 22
 #: Chance of e**-SLACK that a signature needs a second, longer look.
 SLACK = 6.0
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
