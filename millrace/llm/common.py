@@ -150,6 +150,12 @@ def range_of(column: Column, bounds: np.ndarray) -> Column:
     return (group * step + below(F.get(F.array(*[longs(g) for g in groups]), group))).cast("int")
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges in a row."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def batches(found: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``size`` bytes."""
     for batch in found:

@@ -33,14 +33,16 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, partitions, text_bytes
+from .common import batches, partitions, ranges, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -78,6 +80,19 @@ class Pieces:
         #: pairs of neighbouring characters that some piece holds, as sorted numbers
         self.joined = np.unique(np.array([ord(a) << 21 | ord(b) for p, _, _ in self.plain for a, b in zip(p, p[1:], strict=False)], np.int64))
         self.small = len(ids) < 65536
+        surface = {i: p.replace(SPACE, " ").encode() for p, i, _ in self.plain} | {i: bytes([b]) for b, i in self.bytes.items()}
+        spelt = [surface.get(i, b"") for i in ids]
+        self.surface = np.frombuffer(b"".join(spelt), np.uint8)
+        self.surface_lengths = np.array([len(x) for x in spelt], np.int64)
+        self.surface_starts = np.cumsum(self.surface_lengths) - self.surface_lengths
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Decoded lists of ids, which begin (and the last ends) at ``offsets``; a text's first space mark is none of it."""
+        ids = np.where((ids >= 0) & (ids < len(self.surface_lengths)), ids, 0)  # 0 is the unknown piece, which is nothing
+        lengths = self.surface_lengths[ids]
+        flat = self.surface[ranges(self.surface_starts[ids], lengths)].tobytes()
+        at = np.concatenate([[0], np.cumsum(lengths)])[offsets].tolist()
+        return [flat[a:b].removeprefix(b" ") for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def segments(self, words: list[bytes]) -> tuple[list[str], np.ndarray]:
         """The segments of all words in a row, and where each word's begin (and the last's end)."""
@@ -131,15 +146,43 @@ def words_of(text: bytes) -> list[bytes]:
     return [*out, b" " * (run - 1)] if run else out
 
 
-def asked(texts: list[bytes], pieces: Pieces, buckets: int) -> tuple[list[list[bytes]], list[bytes], list[str], np.ndarray, list[list[str]]]:
-    """Words of each text; all distinct words; their segments and where each word's begin; the distinct segments in sorted lists, one for each bucket."""
+PIECES: dict[tuple[str, str], Pieces] = {}
+
+
+def pieces_of(path: str, scores: str = "ranks") -> Pieces:
+    """One table for each Python worker and model."""
+    if (path, scores) not in PIECES:
+        PIECES[path, scores] = Pieces(path, scores)
+    return PIECES[path, scores]
+
+
+@dataclass
+class Block:
+    """The words of a block's texts as numbers of distinct words, and these as numbers of distinct segments."""
+
+    lists: list[list[str]]  # distinct segments by bucket; they are numbered in this order
+    n_words: np.ndarray  # of each text
+    word: np.ndarray  # of each place in all texts
+    n_segments: np.ndarray  # of each distinct word
+    segment: np.ndarray  # of each place in all distinct words
+
+
+def read_block(texts: list[bytes], pieces: Pieces, buckets: int) -> Block:
     words = [words_of(t) for t in texts]
-    distinct = sorted(set().union(*map(set, words)))
+    distinct = list(set().union(*words))
+    number = dict(zip(distinct, range(len(distinct)), strict=True))
+    word = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
     segments, begins = pieces.segments(distinct)
     lists: list[list[str]] = [[] for _ in range(buckets)]
     for s in sorted(set(segments)):
         lists[zlib.crc32(s.encode()) % buckets].append(s)
-    return words, distinct, segments, begins, lists
+    place = {s: i for i, s in enumerate(chain.from_iterable(lists))}
+    return Block(lists, np.array([len(w) for w in words], np.int64), word, np.diff(begins), np.fromiter(map(place.__getitem__, segments), np.int64))
+
+
+def lean(values: np.ndarray) -> pa.Array:
+    """Numbers from 0 on in as few bytes each as the largest needs."""
+    return pa.array(values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8))
 
 
 def packed(table: pa.Table) -> bytes:
@@ -154,29 +197,31 @@ def unpacked(data: bytes) -> pa.Table:
 
 
 def blocks(docs: DataFrame, path: str, scores: str, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(``block``, ``docs``) and (``bucket``, ``block``, ``segments``), packed."""
+    """(``block``, ``docs``, ``words``, ``segments``) and (``bucket``, ``block``, ``asked``), packed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def numbered(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    def numbered(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes], Block]]:
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(batches(found, rows=4096, size=12 << 20)):
-            yield first + k, batch
+        first, pieces = TaskContext.get().partitionId() << 32, pieces_of(path, scores)
+        for k, batch in enumerate(batches(found, rows=4096, size=8 << 20)):
+            texts = text_bytes(batch.column(1))
+            yield first + k, batch, texts, read_block(texts, pieces, buckets)
 
     def hold(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in numbered(found):
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed(pa.Table.from_batches([batch]))], pa.binary())], ["block", "docs"])
+        for block, batch, texts, b in numbered(found):
+            digests = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
+            rows = packed(pa.table([batch.column(0), lean(b.n_words), digests], ["id", "n", "digest"]))
+            columns = [rows, packed(pa.table([lean(b.word)], ["w"])), packed(pa.table([lean(b.n_segments)], ["n"])) , packed(pa.table([lean(b.segment)], ["s"]))]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in columns)], ["block", "docs", "words", "n_segments", "segments"])
 
     def ask(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, scores)
-        for block, batch in numbered(found):
-            lists = asked(text_bytes(batch.column(1)), pieces, buckets)[-1]
-            used = [b for b, ws in enumerate(lists) if ws]
-            rows = [packed(pa.table([pa.array(lists[b], pa.string())], ["s"])) for b in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "block", "segments"])
+        for block, _, _, b in numbered(found):
+            used = [k for k, some in enumerate(b.lists) if some]
+            rows = [packed(pa.table([pa.array(b.lists[k], pa.string())], ["s"])) for k in used]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "block", "asked"])
 
-    return docs.mapInArrow(hold, "block long, docs binary"), docs.mapInArrow(ask, "bucket int, block long, segments binary")
+    return docs.mapInArrow(hold, "block long, docs binary, words binary, n_segments binary, segments binary"), docs.mapInArrow(ask, "bucket int, block long, asked binary")
 
 
 def lattice_paths(segments: DataFrame, pieces: Pieces, pieces_df: DataFrame) -> DataFrame:
@@ -224,8 +269,19 @@ def lattice_paths(segments: DataFrame, pieces: Pieces, pieces_df: DataFrame) ->
     return folded.select("bucket", "segment", F.aggregate("back", begin, trace, lambda acc: acc["ids"]).alias("ids"))
 
 
-def encode_ids(docs: DataFrame, model: str | None = None, scores: str = "ranks") -> DataFrame:
-    """``doc_id``, ``text`` (null: empty), ``n_words``, ``ids`` of each document."""
+@dataclass
+class Encoded:
+    """A block's documents: ids in a row, and where each document's begin (and the last's end)."""
+
+    names: pa.Array
+    n_words: pa.Array
+    digests: pa.Array  # of the given texts
+    ids: np.ndarray
+    offsets: np.ndarray
+
+
+def encoded(docs: DataFrame, finish: Callable[[Encoded], pa.Table], schema: str, model: str | None = None, scores: str = "ranks") -> DataFrame:
+    """What ``finish`` makes of each block of encoded documents."""
     spark = docs.sparkSession
     path = model or model_path()
     pieces = Pieces(path, scores)
@@ -234,7 +290,7 @@ def encode_ids(docs: DataFrame, model: str | None = None, scores: str = "ranks")
     number = pa.uint16() if pieces.small else pa.uint32()
 
     def distinct_segments(key: tuple, table: pa.Table) -> pa.Table:
-        found = sorted(set().union(*(unpacked(x).column("s").to_pylist() for x in table.column("segments").to_pylist())))
+        found = sorted(set().union(*(unpacked(x).column("s").to_pylist() for x in table.column("asked").to_pylist())))
         return pa.table([pa.array([key[0].as_py()] * len(found), pa.int32()), pa.array(found, pa.string())], ["bucket", "segment"])
 
     segments = requests.groupBy("bucket").applyInArrow(distinct_segments, "bucket int, segment string").repartition(buckets, "segment")
@@ -242,50 +298,52 @@ def encode_ids(docs: DataFrame, model: str | None = None, scores: str = "ranks")
     short = lattice_paths(segments.where(F.length("segment") < LONG_SEGMENT), pieces, table)
 
     def fold_long(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(path, scores)
+        own = pieces_of(path, scores)
         for batch in found:
             ids = [own.viterbi(s) for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["bucket", "segment", "ids"])
 
     long = segments.where(F.length("segment") >= LONG_SEGMENT).mapInArrow(fold_long, "bucket int, segment string, ids array<int>")
-    encoded = short.unionByName(long)
+    paths = short.unionByName(long)
 
     def give(key: tuple, wanted: pa.Table, known: pa.Table) -> pa.Table:
         order = {s: i for i, s in enumerate(known.column("segment").to_pylist())}
         ids = known.column("ids").combine_chunks()
         rows = []
-        for x in wanted.column("segments").to_pylist():
+        for x in wanted.column("asked").to_pylist():
             take = pa.array([order[s] for s in unpacked(x).column("s").to_pylist()], pa.int32())
             rows.append(packed(pa.table([ids.take(take).cast(pa.list_(number))], ["ids"])))
         return pa.table([wanted.column("block"), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["block", "bucket", "ids"])
 
-    answers = requests.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInArrow(give, "block long, bucket int, ids binary")
+    answers = requests.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(give, "block long, bucket int, ids binary")
 
     def assemble(key: tuple, mine: pa.Table, answered: pa.Table) -> pa.Table:
-        own = Pieces(path, scores)
-        names, kept, n_words, raws = [], [], [], []
-        for data in mine.column("docs").to_pylist():
-            batch = unpacked(data)
-            texts = text_bytes(batch.column(1))
-            words, distinct, segments_, begins, lists = asked(texts, own, buckets)
-            of_segment: dict[str, bytes] = {}
-            for b, x in zip(answered.column("bucket").to_pylist(), answered.column("ids").to_pylist(), strict=True):
-                ids = unpacked(x).column("ids").combine_chunks()
-                flat = ids.values.to_numpy().astype("<u4").tobytes()
-                at = (ids.offsets.to_numpy() * 4).tolist()
-                of_segment.update(zip(lists[b], (flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True))
-            found = list(map(of_segment.__getitem__, segments_))
-            ends = begins.tolist()
-            known = dict(zip(distinct, (found[i] if j == i + 1 else b"".join(found[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)), strict=True))
-            names += batch.column(0).to_pylist()
-            kept += texts
-            n_words += [len(ws) for ws in words]
-            raws += [b"".join(map(known.__getitem__, ws)) for ws in words]
-        offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raws])])
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raws), "<i4")))
-        return pa.table([pa.array(names, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), ids], ["doc_id", "text", "n_words", "ids"])
-
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, text string, n_words long, ids array<int>")
+        docs_, word, n_segments, segment = (unpacked(mine.column(c)[0].as_py()) for c in ("docs", "words", "n_segments", "segments"))
+        word, n_segments, segment = (t.column(0).to_numpy().astype(np.int64) for t in (word, n_segments, segment))
+        told = answered.column("ids").to_pylist()
+        lists = [unpacked(told[i]).column("ids").combine_chunks() for i in np.argsort(answered.column("bucket").to_numpy())]
+        flat = np.concatenate([np.zeros(0, np.int32), *(x.values.to_numpy().astype(np.int32) for x in lists)])
+        lengths = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()).astype(np.int64) for x in lists)])
+        starts = np.cumsum(lengths) - lengths
+        # distinct words first, then all words
+        ids = flat[ranges(starts[segment], lengths[segment])]
+        ends = np.concatenate([[0], np.cumsum(lengths[segment])])[np.concatenate([[0], np.cumsum(n_segments)])]
+        sizes = np.diff(ends)
+        every = ids[ranges(ends[:-1][word], sizes[word])]
+        n_words = docs_.column("n").to_numpy().astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes[word])])[np.concatenate([[0], np.cumsum(n_words)])]
+        return finish(Encoded(docs_.column("id"), pa.array(n_words), docs_.column("digest"), every, offsets))
+
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, schema)
+
+
+def encode_ids(docs: DataFrame, model: str | None = None, scores: str = "ranks") -> DataFrame:
+    """``doc_id``, ``n_words``, ``ids`` of each document."""
+
+    def lists(e: Encoded) -> pa.Table:
+        return pa.table([e.names, e.n_words, pa.ListArray.from_arrays(pa.array(e.offsets, pa.int32()), pa.array(e.ids, pa.int32()))], ["doc_id", "n_words", "ids"])
+
+    return encoded(docs, lists, "doc_id long, n_words long, ids array<int>", model, scores)
 
 
 def decode(tokens: DataFrame, model: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -300,11 +358,12 @@ def decode(tokens: DataFrame, model: str | None = None, ids: str = "ids", out: s
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*names).schema.fields) + f", `{out}` string"
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
-        surface = {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces.plain} | {i: bytes([b]) for b, i in pieces.bytes.items()}
+        pieces = pieces_of(path)
         for batch in found:
-            lists = batch.column(names.index(ids)).to_pylist()
-            texts = [None if x is None else b"".join([surface.get(i, b"") for i in x]).removeprefix(b" ").decode("utf-8", "replace") for x in lists]
+            lists = batch.column(names.index(ids))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            texts = [None if none else t.decode("utf-8", "replace") for t, none in zip(pieces.texts(flat, offsets), lists.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
     return tokens.select(*names).mapInArrow(run, schema)
@@ -315,21 +374,15 @@ REPORT = "doc_id long, n_words long, n_tokens long, ids_crc32 long, decoded_sha2
 
 def report(docs: DataFrame, model: str | None = None, scores: str = "ranks") -> DataFrame:
     """Each document's digests: of its ids (little-endian unsigned 32-bit) and of the text decoded from them; does that equal the given text?"""
-    decoded = decode(encode_ids(docs, model, scores), model)
+    path = model or model_path()
 
-    def digest(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            lists = batch.column(3)
-            raw = memoryview(np.ascontiguousarray(lists.values.to_numpy()).astype("<u4", copy=False)).cast("B")
-            at = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
-            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            texts, back = text_bytes(batch.column(1)), text_bytes(batch.column(4))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(2), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array(crcs, pa.int64()),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
-                ],
-                [c.split()[0] for c in REPORT.split(", ")],
-            )
-
-    return decoded.select("doc_id", "text", "n_words", "ids", "decoded").mapInArrow(digest, REPORT)
+    def digest(e: Encoded) -> pa.Table:
+        raw = memoryview(e.ids.astype("<u4")).cast("B")
+        at = (4 * e.offsets).tolist()
+        crcs = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        back = [hashlib.sha256(t).digest() for t in pieces_of(path, scores).texts(e.ids, e.offsets)]
+        same = [a == b for a, b in zip(back, e.digests.to_pylist(), strict=True)]
+        columns = [e.names, e.n_words, pa.array(np.diff(e.offsets)), pa.array(crcs, pa.int64()), pa.array([d.hex() for d in back], pa.string()), pa.array(same, pa.bool_())]
+        return pa.table(columns, [c.split()[0] for c in REPORT.split(", ")])
+
+    return encoded(docs, digest, REPORT, model, scores)
