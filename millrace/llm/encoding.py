@@ -35,6 +35,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
+        self.bare = Tokenizer(self.tokenizer.model)  # the merges alone: a-z need no normaliser and are one pre-token
         # ids that end a pre-token, so that words encoded in one call can be told apart
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -51,18 +52,27 @@ class ChunkEncoder:
     def _joined(self, words: list[str], by: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([by.join(words)], add_special_tokens=False)[0].ids, "<u4")
 
-    def _encode(self, stems: list[bytes], others: list[bytes]) -> dict[bytes, bytes]:
-        """stems: of letters only, so one pre-token each."""
-        out = {}
+    def _cut(self, out: dict[bytes, bytes], words: list[bytes], ids: np.ndarray) -> bool:
+        """Give each word its ids, if every word has one end among them."""
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return False
+        raw, ends = ids.tobytes(), (4 * cuts).tolist()
+        out.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
+        return True
+
+    def _encode(self, plain: list[bytes], stems: list[bytes], others: list[bytes]) -> dict[bytes, bytes]:
+        """plain: of a-z only; stems: of letters only, so one pre-token each."""
+        out: dict[bytes, bytes] = {}
+        for start in range(0, len(plain), 8192):
+            part = plain[start : start + 8192]
+            found = self.bare.encode_batch_fast([[w.decode() for w in part]], is_pretokenized=True, add_special_tokens=False)[0].ids
+            if not self._cut(out, part, np.array(found, "<u4")):
+                stems = stems + part
         for start in range(0, len(stems), 8192):
             part = stems[start : start + 8192]
-            ids = self._joined([w.decode() for w in part], " ")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part) or self.separator is None:
+            if self.separator is None or not self._cut(out, part, self._joined([w.decode() for w in part], " ")):
                 others = others + part
-                continue
-            raw, ends = ids.tobytes(), (4 * cuts).tolist()
-            out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
         for start in range(0, len(others), 8192):
             part = others[start : start + 8192]
             if self.separator is None or any(b"<|" in w for w in part):
@@ -75,22 +85,29 @@ class ChunkEncoder:
         return out
 
     def _learn(self, missing: set[bytes]) -> None:
-        known = self.known
+        known, marks = self.known, self.marks
         # a word of plain letters and the mark behind it are separate tokens
         marked: dict[bytes, bytes] = {}
-        stems, others = set(), []
+        plain, stems, others = set(), set(), []
         for w in missing:
-            stem = w[:-1] if w[-1:] in self.marks else w
-            if w.isalpha() or (text := stem.decode().lower()).isalpha() and max(text) < "ɐ":
-                if stem is not w:
-                    marked[w] = stem
-                if stem not in known:
-                    stems.add(stem)
+            if w.isalpha():
+                (plain if w.islower() else stems).add(w)
+                continue
+            stem = w[:-1] if w[-1:] in marks else w
+            if stem.isalpha():
+                kind = plain if stem.islower() else stems
+            elif (text := stem.decode().lower()).isalpha() and max(text) < "ɐ":
+                kind = stems
             else:
                 others.append(w)
-        new = self._encode(list(stems), others)
+                continue
+            if stem is not w:
+                marked[w] = stem
+            if stem not in known:
+                kind.add(stem)
+        new = self._encode(list(plain), list(stems), others)
         known.update(new)
-        new.update((w, known[stem] + self.marks[w[-1:]]) for w, stem in marked.items())
+        new.update((w, known[stem] + marks[w[-1:]]) for w, stem in marked.items())
         known.update(new)
         if len(known) > self.old:
             self.recent.extend(new)
@@ -105,23 +122,13 @@ class ChunkEncoder:
         # Lower-casing A-Z first changes nothing that this vocabulary's own
         # normaliser would not, unless a combining mark (their UTF-8 begins with
         # CC or CD) composes with the letter or a special token is spelt out.
-        get = self.known.__getitem__
-        out: list[bytes] = []
-        waiting: list[tuple[int, list[bytes]]] = []
-        missing: set[bytes] = set()
-        for text in texts:
-            words = (text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()).split()
-            try:
-                out.append(b"".join(map(get, words)))
-            except KeyError:
-                missing.update([w for w in words if w not in self.known])
-                waiting.append((len(out), words))
-                out.append(b"")
+        lists = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()).split() for t in texts]
+        missing = set().union(*lists).difference(self.known)
         if missing:
             self._learn(missing)
-            for i, words in waiting:
-                out[i] = b"".join(map(get, words))
-            self._forget()
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in lists]
+        self._forget()
         return out
 
 

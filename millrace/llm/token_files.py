@@ -1,14 +1,16 @@
 """Token ids of every document as Parquet list columns, in document order.
 
-Documents are dealt into ranges of ``doc_id`` (approximate quantiles, so the
-ranges hold about equal rows), sorted inside their range, encoded in that order
-and written by Spark's own Parquet writer: ids as ``list<int>``, dictionary- or
-delta-encoded, with small row groups and data pages so that the page index lets
-a reader fetch single documents, or the metadata columns without the ids.
+Documents are range-partitioned by ``doc_id`` and a hash of the text, so that
+even one id, or a missing one, that a third of all rows hold is spread over many
+ranges. Each range is sorted, encoded in that order and written by Spark's own
+Parquet writer: ids as ``list<int>``, dictionary- or delta-encoded, with small
+row groups and data pages so that the page index lets a reader fetch single
+documents, or the metadata columns without the ids.
 
 Defined results: a null text is empty and has the end id only; a null ``doc_id``
-sorts before all others; rows of one ``doc_id`` are ordered by text; an empty
-table writes files without rows; further columns are left out.
+sorts before all others; rows of one ``doc_id`` are ordered by the text's hash,
+then the text; an empty table writes files without rows; further columns are
+left out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, partitions, range_bounds, range_of, shared_dir, text_bytes
+from .common import batches, partitions, text_bytes
 from .encoding import encoder, vocabulary
 
 END_ID = 2
@@ -29,11 +31,10 @@ FILE_SCHEMA = "part int, place int, doc_id long, before long, n_tokens int, ids
 
 
 def ordered(docs: DataFrame, ranges: int) -> DataFrame:
-    """``part``, ``doc_id``, ``text`` in Spark partitions of whole, sorted ranges of ``doc_id``."""
+    """``doc_id``, ``text`` in sorted ranges, one in each Spark partition, in the partitions' order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    bounds = range_bounds(docs, "doc_id", ranges)
-    return docs.withColumn("part", range_of(F.col("doc_id"), bounds)).repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    return docs.repartitionByRange(ranges, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
 
 def write_tokens(
@@ -50,24 +51,23 @@ def write_tokens(
     tokenizer = tokenizer or vocabulary()
 
     def encode(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, place, before = TaskContext.get().partitionId(), 0, 0
         tail = np.array([end_id], "<u4").tobytes()
         encode_ids = encoder(tokenizer).ids
-        at: dict[int, list[int]] = {}  # documents and ids of each range so far
         for batch in batches(found, rows=512, size=4 << 20):
-            ids = encode_ids(text_bytes(batch.column(2)))
-            counts = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-            values = np.frombuffer(tail.join([*ids, b""]), "<i4")
-            place, before = [], []
-            for part, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
-                so_far = at.setdefault(part, [0, 0])
-                place.append(so_far[0])
-                before.append(so_far[1])
-                so_far[0] += 1
-                so_far[1] += n
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place, pa.int32()), batch.column(1), pa.array(before, pa.int64()), pa.array(counts, pa.int32()), lists], ["part", "place", "doc_id", "before", "n_tokens", "ids"])
-
-    rows = ordered(docs, ranges or 4 * partitions(docs.sparkSession)).select("part", "doc_id", "text").mapInArrow(encode, FILE_SCHEMA)
+            n = batch.num_rows
+            ids = encode_ids(text_bytes(batch.column(1)))
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 + 1 for x in ids])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(tail.join([*ids, b""]), "<i4")))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n, dtype=np.int32)), batch.column(0), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets).astype(np.int32)), lists],
+                ["part", "place", "doc_id", "before", "n_tokens", "ids"],
+            )
+            place, before = place + n, before + int(offsets[-1])
+
+    rows = ordered(docs, ranges or partitions(docs.sparkSession)).mapInArrow(encode, FILE_SCHEMA)
     writer = rows.write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", 2000)
     if encoding == "delta":
         writer = writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
@@ -82,6 +82,11 @@ def token_metadata(spark: SparkSession, path: str) -> DataFrame:
     return starts(spark.read.schema(FILE_SCHEMA).parquet(path)).select("doc_id", "start", "n_tokens")
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """``doc_id``, ``ids`` of single documents: the filter reaches the files, which skip the row groups and pages without them."""
+    return spark.read.schema(FILE_SCHEMA).parquet(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
+
+
 def starts(rows: DataFrame) -> DataFrame:
     """Adds ``base``, the ids of all ranges before, and ``start``, those of all documents before."""
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))  # one small row for each range
