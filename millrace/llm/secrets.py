@@ -1,13 +1,12 @@
 """Secret scans through a trigram index, with DataFrame functions only.
 
 Every rule's regular expression yields a Boolean query over trigrams that each
-match must contain. The index of a table segment holds, for every trigram that
-some rule asks for, its postings as a bitmap over the segment's documents; it
-is kept bit-sliced, as one mask a document, so intersecting and uniting
-postings are ``&`` and ``=`` on a column, no posting is ever shuffled, and a
-trigram found in a third of all documents costs no more than a rare one. Only
-documents that satisfy a rule's query are verified with its expression. A rule
-without mandatory trigrams is run over every text.
+match must contain. The index has the postings of every trigram that some rule
+asks for: the distinct texts that hold it. It is built and stored first; then
+each query's posting lists are intersected and united, and only texts that
+satisfy a rule's query are verified with its expression. A rule without
+mandatory trigrams is run over every text. Entries are distinct texts, so a text
+of which there are very many copies is indexed once.
 
 Offsets are code points of the text, the end exclusive. Matches are leftmost
 and do not overlap within a kind; a match that fails the rule's length test is
@@ -23,12 +22,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from re import _constants as codes
-from re import _parser as parser
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,7 +52,7 @@ EXTRA_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"),
 )
 RULES = BASE_RULES + EXTRA_RULES
 
@@ -84,69 +84,161 @@ def of_string(text: str) -> object:
     return out
 
 
+# A pattern is read into ("chars", set or None: any), ("repeat", low, high, part), ("all", parts) and ("one", parts).
+
+#: What stands behind a backslash for a whole class of characters, or for none.
+CLASSES = "dDwWsSbBAZzhHvVRpP"
+CONTROLS = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "0": "\0"}
+
+
+class Reader:
+    """The part of regular expressions that rules are written in; what it does not know may be any text."""
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern, self.at = pattern, 0
+
+    def here(self, size: int = 1) -> str:
+        return self.pattern[self.at : self.at + size]
+
+    def one_of(self) -> tuple:
+        parts = [self.sequence()]
+        while self.here() == "|":
+            self.at += 1
+            parts.append(self.sequence())
+        return parts[0] if len(parts) == 1 else ("one", parts)
+
+    def sequence(self) -> tuple:
+        parts = []
+        while self.here() and self.here() not in "|)":
+            parts.append(self.repeated(self.single()))
+        return ("all", parts)
+
+    def repeated(self, part: tuple) -> tuple:
+        while found := re.compile(r"([*+?]|\{(\d+)(?:(,)(\d*))?\})[?+]?").match(self.pattern, self.at):
+            self.at = found.end()
+            low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(found[1], (0, 0))
+            if found[2]:
+                low = int(found[2])
+                high = low if not found[3] else int(found[4]) if found[4] else None
+            part = ("repeat", low, high, part)
+        return part
+
+    def single(self) -> tuple:
+        c = self.here()
+        self.at += 1
+        if c == "(":
+            return self.group()
+        if c == "[":
+            return ("chars", self.bracket())
+        if c == "\\":
+            return self.escaped()
+        return ("all", []) if c in "^$" else ("chars", None) if c == "." else ("chars", {c})
+
+    def group(self) -> tuple:
+        look = re.compile(r"\?(?:[a-z]*:|<[A-Za-z]\w*>|P<\w+>|>|(<?[=!])|([a-z]+)\))").match(self.pattern, self.at)
+        if look:
+            self.at = look.end()
+        if look and "x" in look[0].split("<")[0]:
+            raise ValueError(f"no comments in patterns: {self.pattern}")
+        if look and look[2]:  # flags alone
+            return ("all", [])
+        inside = self.one_of()
+        if self.here() != ")":
+            raise ValueError(f"unbalanced: {self.pattern}")
+        self.at += 1
+        return ("all", []) if look and look[1] else inside
+
+    def escaped(self) -> tuple:
+        c = self.here()
+        self.at += 1
+        if c == "x":
+            self.at += 2
+            return ("chars", {chr(int(self.pattern[self.at - 2 : self.at], 16))})
+        if c in "bBAZz":
+            return ("all", [])
+        if c.isdigit() and c != "0":
+            return ("repeat", 0, None, ("chars", None))  # what a group has held
+        if c in CLASSES:
+            return ("chars", None)
+        if c.isalpha() and c not in CONTROLS:
+            raise ValueError(f"unknown \\{c}: {self.pattern}")
+        return ("chars", {CONTROLS.get(c, c)})
+
+    def bracket(self) -> set[str] | None:
+        """The characters of a class, None if they are many."""
+        found: set[str] | None = set()
+        if self.here() == "^":
+            found = None
+            self.at += 1
+        begin = self.at
+        while self.here() != "]" or self.at == begin:
+            if not self.here():
+                raise ValueError(f"unbalanced: {self.pattern}")
+            if self.here() == "[" or self.here(2) == "&&":
+                raise ValueError(f"no classes inside classes: {self.pattern}")
+            first = self.single_of_class()
+            if self.here() == "-" and self.here(2) != "-]":  # a range is large
+                self.at += 1
+                self.single_of_class()
+                first = None
+            found = None if found is None or first is None else found | first
+        self.at += 1
+        return found
+
+
+    def single_of_class(self) -> set[str] | None:
+        c = self.here()
+        self.at += 1
+        if c != "\\":
+            return {c}
+        node = self.escaped()
+        return node[1] if node[0] == "chars" else None
+
+
 #: More alternatives than this of exact strings are cut into queries.
 MOST_STRINGS = 16
 
 
-def analyse(tree: object) -> tuple[object, list[str] | None]:
-    """A query that each match satisfies, and the exact strings it may be (None: too many)."""
+def analyse(tree: tuple) -> tuple[object, list[str] | None]:
+    """A query that each match satisfies, and the exact strings that a match may be (None: others too)."""
+    kind = tree[0]
+    if kind == "chars":
+        return True, sorted(tree[1]) if tree[1] and len(tree[1]) <= 8 else None
+    if kind == "repeat":
+        low, high, (query, exact) = tree[1], tree[2], analyse(tree[3])
+        if exact is not None and (low, high) == (0, 1):
+            return True, ["", *exact]
+        if exact is not None and low == high and len(exact) == 1:
+            return query, [exact[0] * low]
+        return query if low else True, None
+    if kind == "one":
+        found = [analyse(t) for t in tree[1]]
+        if all(e is not None for _, e in found):
+            strings = [s for _, e in found for s in e]
+            return either([of_string(s) for s in strings]), strings
+        return either([both(q, either([of_string(s) for s in e]) if e is not None else True) for q, e in found]), None
     query: object = True
-    exact: list[str] | None = [""]
-
-    def flush() -> None:
-        nonlocal query, exact
-        if exact is not None:
-            query = both(query, either([of_string(s) for s in exact]))
-        exact = [""]
-
-    def append(strings: list[str]) -> None:
-        nonlocal exact
-        grown = [a + b for a in (exact or [""]) for b in strings]
-        if len(grown) > MOST_STRINGS:
-            flush()
-            grown = strings if len(strings) <= MOST_STRINGS else [""]
-        exact = grown
-
-    whole = True  # exact holds the whole match so far
-    for op, arg in tree:
-        if op is codes.LITERAL:
-            append([chr(arg)])
-        elif op is codes.SUBPATTERN or op is codes.BRANCH:
-            branches = arg[1] if op is codes.BRANCH else [arg[-1]]
-            found = [analyse(b) for b in branches]
-            if all(e is not None for _, e in found):
-                append([s for _, e in found for s in e])
-            else:
-                flush()
-                whole = False
-                query = both(query, either([q for q, _ in found]))
-        elif op in (codes.MAX_REPEAT, codes.MIN_REPEAT, codes.POSSESSIVE_REPEAT):
-            low, high, inner = arg
-            inner_query, inner_exact = analyse(inner)
-            if low == 0 and high == 1 and inner_exact is not None:
-                append(["", *inner_exact])
-            elif low == high and inner_exact is not None and len(inner_exact) == 1:
-                append([inner_exact[0] * low])
-            else:
-                flush()
-                whole = False
-                if low:
-                    query = both(query, inner_query)
-        elif op is codes.IN and len(arg) <= 8 and all(kind is codes.LITERAL for kind, _ in arg):
-            append([chr(c) for _, c in arg])
-        else:  # a large class, an assertion or any character
-            flush()
-            whole = False
-    if whole:
-        strings = exact
-        return either([of_string(s) for s in strings]), strings
-    flush()
-    return query, None
+    run, whole = [""], True  # the strings that the parts since the last gap may be; is there no gap yet?
+    for part in tree[1]:
+        inner, exact = analyse(part)
+        grown = [a + b for a in run for b in exact] if exact is not None else None
+        if grown is None or len(grown) > MOST_STRINGS:
+            query, whole = both(both(query, inner), either([of_string(s) for s in run])), False
+            run = exact if exact is not None and len(exact) <= MOST_STRINGS else [""]
+        else:
+            run = grown
+    query = both(query, either([of_string(s) for s in run]))
+    return query, run if whole else None
 
 
+@cache
 def trigram_query(pattern: str) -> object:
     """The Boolean query of a regular expression; True if it has no mandatory trigram."""
-    return analyse(parser.parse(pattern))[0]
+    reader = Reader(pattern)
+    tree = reader.one_of()
+    if reader.here():
+        raise ValueError(f"unbalanced: {pattern}")
+    return analyse(tree)[0]
 
 
 def trigrams_of(query: object) -> set[str]:
@@ -162,35 +254,38 @@ def asked_trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
 # --- the index and its use ---------------------------------------------------
 
 
-def posting_masks(text: Column, trigrams: list[str]) -> list[Column]:
-    """Masks of up to 62 trigrams each: bit k is set if the text holds trigram k in any case."""
-    out = []
-    for start in range(0, len(trigrams), 62):
-        mask = F.lit(0).cast("long")
-        for k, t in enumerate(trigrams[start : start + 62]):
-            mask = mask.bitwiseOR(F.when(F.contains(text, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-        out.append(mask)
-    return out
+def text_key(text: Column) -> Column:
+    """What names a text in the index: equal texts are indexed once."""
+    return F.unhex(F.md5(text))
 
 
-def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id``, ``text`` and the bit-sliced postings ``postings_0``, ``postings_1``, ... of all asked trigrams."""
-    carried = ["row"] if "row" in docs.columns else []
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *carried)
-    docs = docs.withColumn("folded", F.lower("text"))
-    masks = posting_masks(F.col("folded"), asked_trigrams(rules))
-    return docs.select("doc_id", "text", *carried, *[m.alias(f"postings_{i}") for i, m in enumerate(masks)])
+def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The inverted index of the trigrams that the rules ask for: a row ``trigram``, ``key`` for each distinct text of ``key``, ``text`` that holds it in any case."""
+    folded = texts.select("key", F.lower("text").alias("folded"))
+    held = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in asked_trigrams(rules)]))
+    return folded.select("key", held.alias("held")).where(F.size("held") > 0).select(F.explode("held").alias("trigram"), "key").distinct()
+
 
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``key``, ``candidate``: for each text with a posting list entry, which rules' queries it satisfies (those without trigrams none).
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The inverted lists spelt out, for inspection: a row ``trigram``, ``doc_id`` for each posting."""
+    The lists that a query names are intersected and united by key: every entry
+    is one bit, and the bits of a text are added up where its entries meet, on
+    either side of one shuffle by key.
+    """
     trigrams = asked_trigrams(rules)
-    marks = [F.when(F.col(f"postings_{i // 62}").bitwiseAND(F.lit(1 << i % 62)) != 0, F.lit(t)) for i, t in enumerate(trigrams)]
-    return index(docs, rules).select("doc_id", F.explode(F.array_compact(F.array(*marks))).alias("trigram"))
+    none = F.lit(0).cast("long")
+    bits = []
+    for k, start in enumerate(range(0, len(trigrams), 62)):
+        bit = F.create_map(*[x for i, t in enumerate(trigrams[start : start + 62]) for x in (F.lit(t), F.lit(1 << i).cast("long"))])
+        bits.append(F.bit_or(F.coalesce(F.try_element_at(bit, F.col("trigram")), none)).alias(f"postings_{k}"))
+    met = index.groupBy("key").agg(*bits)
+    tests = [F.lit(False) if (q := trigram_query(narrowed(r).pattern)) is True else satisfied(q, trigrams) for r in rules]
+    return met.select("key", F.array(*tests).alias("candidate")).where(F.exists("candidate", lambda c: c))
 
 
 def satisfied(query: object, trigrams: list[str]) -> Column:
-    """The query over the posting masks; conjunctions of trigrams are one mask test."""
+    """The query over the posting bits; conjunctions of trigrams are one test."""
     if query is True:
         return F.lit(True)
     if isinstance(query, str):
@@ -243,19 +338,25 @@ def narrowed(rule: Rule) -> Rule:
     return rule
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id``, ``text``, ``row`` if given, and ``spans``: array of (start, rank, kind, end), sorted."""
-    trigrams = asked_trigrams(rules)
-    found = index(docs, rules)
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """``doc_id``, ``text``, ``row`` if given, and ``spans``: array of (start, rank, kind, end), sorted.
+
+    ``index``: the stored ``postings`` of these texts and rules; built here if it is not given.
+    """
+    carried = ["row"] if "row" in docs.columns else []
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), text_key(text).alias("key"), *carried)
+    if index is None:
+        index = cut(postings(docs.select("key", "text"), rules))
+    # few texts are candidates; Spark picks the join by measured size, and splits the key of many copies
+    found = docs.join(candidates(index, rules), "key", "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     columns = []
     for k, rule in enumerate(rules):
         rule = narrowed(rule)
-        query = trigram_query(rule.pattern)
         # a rule without trigrams tests every text; its one cheap test spares the rest the span arithmetic
-        candidate = F.col("text").rlike(rule.pattern) if query is True else satisfied(query, trigrams)
+        candidate = F.col("text").rlike(rule.pattern) if trigram_query(rule.pattern) is True else F.coalesce(F.get("candidate", F.lit(k)), F.lit(False))
         columns.append(F.when(candidate, spans_of(F.col("text"), rule, k)).otherwise(none).alias(f"spans_{k}"))
-    carried = ["row"] if "row" in found.columns else []
     found = found.select("doc_id", "text", *carried, *columns)
     return found.select("doc_id", "text", *carried, F.sort_array(F.concat(*[F.col(f"spans_{k}") for k in range(len(rules))])).alias("spans"))
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import encoding, fingerprints, lines, packing, pieces, quality, secrets, suffix_tree, token_files
@@ -244,10 +245,67 @@ def test_trigram_queries():
     assert secrets.trigram_query("(abc)*") is True
 
 
-def test_postings_spell_out_the_index(docs, plain):
-    got = {(r.doc_id, r.trigram) for r in secrets.postings(docs).collect()}
-    asked = secrets.asked_trigrams()
-    assert got == {(d, t) for d, text in plain for t in asked if t in text.lower()}
+def test_postings_are_the_inverted_index(spark, docs, plain):
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(plain)], "key int, text string")
+    got = {(r.key, r.trigram) for r in secrets.postings(texts).collect()}
+    assert got == {(i, t) for i, (_, text) in enumerate(plain) for t in secrets.asked_trigrams() if t in text.lower()}
+    found = {r.key: r.candidate for r in secrets.candidates(secrets.postings(texts)).collect()}
+    for i, (_, text) in enumerate(plain):
+        for k, rule in enumerate(secrets.RULES):
+            if re.search(rule.pattern, text) and secrets.trigram_query(rule.pattern) is not True:
+                assert found[i][k]
+
+
+def holds(query, text):
+    if query is True or isinstance(query, str):
+        return query is True or query in text.lower()
+    return (all if query[0] == "and" else any)(holds(q, text) for q in query[1])
+
+
+def random_expression(r, depth=3):
+    """An expression and a text that it matches."""
+    kind = r.randint(0, 6 if depth else 2)
+    if kind == 0:
+        text = "".join(r.choice("abcXYZ-") for _ in range(r.randint(1, 5)))
+        return re.escape(text), text
+    if kind == 1:
+        chars = [r.choice("abcdefgh") for _ in range(r.randint(1, 3))]
+        return "[" + "".join(chars) + "]", r.choice(chars)
+    if kind == 2:
+        return "[a-f]", r.choice("abcdef")
+    parts = [random_expression(r, depth - 1) for _ in range(r.randint(1, 4))]
+    if kind == 3:
+        return "(" + "|".join(p for p, _ in parts) + ")", r.choice(parts)[1]
+    if kind == 4:
+        pattern, text = parts[0]
+        low, more = r.randint(0, 3), r.randint(0, 2)
+        return f"(?:{pattern}){{{low},{low + more}}}", text * r.randint(low, low + more)
+    if kind == 5:
+        pattern, text = parts[0]
+        return f"(?:{pattern})?", r.choice(["", text])
+    return "".join(p for p, _ in parts), "".join(t for _, t in parts)
+
+
+def test_every_match_satisfies_its_query():
+    import random
+
+    r = random.Random(11)
+    some = 0
+    for _ in range(4000):
+        pattern, text = random_expression(r)
+        assert re.search(f"(?:{pattern})", text)
+        query = secrets.trigram_query(pattern)
+        some += query is not True
+        assert holds(query, text), (pattern, text, query)
+    assert some > 500
+    assert holds(secrets.trigram_query("q([ab][cd][ef][gh][ij])z"), "qacegiz")
+
+
+def test_a_whole_key_is_one_span(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/=\nabc\n-----END RSA PRIVATE KEY-----"
+    df = spark.createDataFrame([(1, f"a {key} b"), (2, "-----BEGIN PRIVATE KEY----- cut off")], "doc_id long, text string")
+    out = {r.doc_id: r.redacted for r in secrets.scan(df).select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("redacted")).collect()}
+    assert out == {1: "a [pem] b", 2: "[pem] cut off"}
 
 
 def test_quality_measures(spark, docs, plain):
