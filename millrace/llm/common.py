@@ -8,6 +8,7 @@ UTF-8 bytes and never needs a regular expression for it.
 from __future__ import annotations
 
 import math
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.checkpoints import checkpoint_dir, cut  # noqa: F401  operators take ``cut`` from here
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -26,31 +29,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``).
-
-    A folder of our own is set only where the session names none (tests, local
-    runs).
-    """
-    checkpoint_dir(spark)
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/millrace-{uuid.uuid4().hex}"
-
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's folder, or one for tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
 def partitions(spark: SparkSession) -> int:
@@ -150,6 +130,31 @@ def range_of(column: Column, bounds: np.ndarray) -> Column:
     return (group * step + below(F.get(F.array(*[longs(g) for g in groups]), group))).cast("int")
 
 
+CODEC = pa.Codec("zstd")
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on: as few bytes each as the largest needs, all first bytes before all second ones, compressed."""
+    out = []
+    for c in columns:
+        c = c.astype(np.min_scalar_type(int(c.max())) if len(c) else np.uint8)
+        planes = np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes()
+        data = CODEC.compress(planes, asbytes=True)
+        out += [struct.pack("<BQQ", c.itemsize, len(c), len(data)), data]
+    return b"".join(out)
+
+
+def columns_of(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        width, n, size = struct.unpack_from("<BQQ", data, at)
+        at += 17
+        planes = np.frombuffer(CODEC.decompress(data[at : at + size], width * n, asbytes=True), np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").reshape(n).astype(np.int64))
+        at += size
+    return out
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all ranges in a row."""
     ends = np.cumsum(lengths)

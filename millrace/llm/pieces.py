@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, partitions, ranges, text_bytes
+from .common import batches, columns_of, mix, pack, partitions, ranges, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -77,8 +77,14 @@ class Pieces:
         if crossing:
             raise ValueError(f"pieces go on behind a space: {crossing[:3]}")
         self.table = {p: (i, s) for p, i, s in self.plain}
-        #: pairs of neighbouring characters that some piece holds, as sorted numbers
-        self.joined = np.unique(np.array([ord(a) << 21 | ord(b) for p, _, _ in self.plain for a, b in zip(p, p[1:], strict=False)], np.int64))
+        # which characters stand side by side in some piece; 0 is any character that no piece has
+        used = sorted({c for p in self.table for c in p})
+        self.character = np.zeros(0x110000, np.int32)
+        self.character[[ord(c) for c in used]] = np.arange(1, len(used) + 1)
+        self.joined = np.zeros((len(used) + 1, len(used) + 1), bool)
+        for p in self.table:
+            at = self.character[[ord(c) for c in p]]
+            self.joined[at[:-1], at[1:]] = True
         self.small = len(ids) < 65536
         surface = {i: p.replace(SPACE, " ").encode() for p, i, _ in self.plain} | {i: bytes([b]) for b, i in self.bytes.items()}
         spelt = [surface.get(i, b"") for i in ids]
@@ -94,19 +100,20 @@ class Pieces:
         at = np.concatenate([[0], np.cumsum(lengths)])[offsets].tolist()
         return [flat[a:b].removeprefix(b" ") for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def segments(self, words: list[bytes]) -> tuple[list[str], np.ndarray]:
-        """The segments of all words in a row, and where each word's begin (and the last's end)."""
+    def segments(self, words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The segments of all words in a row, a hash of each, and where each word's begin (and the last's end)."""
         text = "".join([SPACE + w.decode().replace(" ", SPACE) for w in words])
         chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         lengths = np.array([len(w) if w.isascii() else len(w.decode()) for w in words], np.int64) + 1
-        begins = np.concatenate([[0], np.cumsum(lengths)])
-        pairs = chars[:-1] << 21 | chars[1:]
-        at = np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)
+        begins = np.concatenate([[0], np.cumsum(lengths)]) if len(words) else np.zeros(1, np.int64)
+        at = self.character[chars]
         cut = np.ones(len(chars) + 1, bool)
-        cut[1:-1] = self.joined[at] != pairs
+        cut[1:-1] = ~self.joined[at[:-1], at[1:]]
         cut[begins] = True
         ends = np.flatnonzero(cut)
-        return [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.searchsorted(ends, begins)
+        place = np.arange(len(chars)) - np.repeat(ends[:-1], np.diff(ends))
+        hashes = np.add.reduceat(mix(chars.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)), ends[:-1]) if len(words) else np.zeros(0, np.uint64)
+        return [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], mix(hashes), np.searchsorted(ends, begins)
 
     def viterbi(self, segment: str) -> list[int]:
         """The fold in Python, for very long segments."""
@@ -168,21 +175,29 @@ class Block:
 
 
 def read_block(texts: list[bytes], pieces: Pieces, buckets: int) -> Block:
+    """All orders follow the texts, so a block that is read again is numbered the same; frequent words have small numbers."""
     words = [words_of(t) for t in texts]
-    distinct = list(set().union(*words))
-    number = dict(zip(distinct, range(len(distinct)), strict=True))
+    number = dict.fromkeys(chain.from_iterable(words))
+    distinct = list(number)
+    number.update(zip(distinct, range(len(distinct)), strict=True))
     word = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
-    segments, begins = pieces.segments(distinct)
-    lists: list[list[str]] = [[] for _ in range(buckets)]
-    for s in sorted(set(segments)):
-        lists[zlib.crc32(s.encode()) % buckets].append(s)
-    place = {s: i for i, s in enumerate(chain.from_iterable(lists))}
-    return Block(lists, np.array([len(w) for w in words], np.int64), word, np.diff(begins), np.fromiter(map(place.__getitem__, segments), np.int64))
-
-
-def lean(values: np.ndarray) -> pa.Array:
-    """Numbers from 0 on in as few bytes each as the largest needs."""
-    return pa.array(values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8))
+    order = np.argsort(-np.bincount(word, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    segments, hashes, begins = pieces.segments([distinct[i] for i in order.tolist()])
+    known = dict.fromkeys(segments)
+    names = list(known)
+    known.update(zip(names, range(len(names)), strict=True))
+    segment = np.fromiter(map(known.__getitem__, segments), np.int64)
+    bucket = np.empty(len(names), np.int64)
+    bucket[segment] = (hashes % np.uint64(buckets)).astype(np.int64)
+    by_bucket = np.argsort(bucket, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[by_bucket] = np.arange(len(names))
+    names = [names[i] for i in by_bucket.tolist()]
+    cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1)).tolist()
+    lists = [names[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return Block(lists, np.array([len(w) for w in words], np.int64), rank[word], np.diff(begins), place[segment])
 
 
 def packed(table: pa.Table) -> bytes:
@@ -197,23 +212,22 @@ def unpacked(data: bytes) -> pa.Table:
 
 
 def blocks(docs: DataFrame, path: str, scores: str, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(``block``, ``docs``, ``words``, ``segments``) and (``bucket``, ``block``, ``asked``), packed."""
+    """(``block``, ``docs``, ``words``) and (``bucket``, ``block``, ``asked``), packed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def numbered(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes], Block]]:
         from pyspark import TaskContext
 
         first, pieces = TaskContext.get().partitionId() << 32, pieces_of(path, scores)
-        for k, batch in enumerate(batches(found, rows=4096, size=8 << 20)):
+        for k, batch in enumerate(batches(found, rows=4096, size=5 << 20)):
             texts = text_bytes(batch.column(1))
             yield first + k, batch, texts, read_block(texts, pieces, buckets)
 
     def hold(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch, texts, b in numbered(found):
             digests = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
-            rows = packed(pa.table([batch.column(0), lean(b.n_words), digests], ["id", "n", "digest"]))
-            columns = [rows, packed(pa.table([lean(b.word)], ["w"])), packed(pa.table([lean(b.n_segments)], ["n"])) , packed(pa.table([lean(b.segment)], ["s"]))]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([c], pa.binary()) for c in columns)], ["block", "docs", "words", "n_segments", "segments"])
+            rows = packed(pa.table([batch.column(0), digests], ["id", "digest"]))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([rows], pa.binary()), pa.array([pack(b.n_words, b.word, b.n_segments, b.segment)], pa.binary())], ["block", "docs", "words"])
 
     def ask(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, b in numbered(found):
@@ -221,7 +235,7 @@ def blocks(docs: DataFrame, path: str, scores: str, buckets: int) -> tuple[DataF
             rows = [packed(pa.table([pa.array(b.lists[k], pa.string())], ["s"])) for k in used]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "block", "asked"])
 
-    return docs.mapInArrow(hold, "block long, docs binary, words binary, n_segments binary, segments binary"), docs.mapInArrow(ask, "bucket int, block long, asked binary")
+    return docs.mapInArrow(hold, "block long, docs binary, words binary"), docs.mapInArrow(ask, "bucket int, block long, asked binary")
 
 
 def lattice_paths(segments: DataFrame, pieces: Pieces, pieces_df: DataFrame) -> DataFrame:
@@ -318,8 +332,8 @@ def encoded(docs: DataFrame, finish: Callable[[Encoded], pa.Table], schema: str,
     answers = requests.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(give, "block long, bucket int, ids binary")
 
     def assemble(key: tuple, mine: pa.Table, answered: pa.Table) -> pa.Table:
-        docs_, word, n_segments, segment = (unpacked(mine.column(c)[0].as_py()) for c in ("docs", "words", "n_segments", "segments"))
-        word, n_segments, segment = (t.column(0).to_numpy().astype(np.int64) for t in (word, n_segments, segment))
+        docs_ = unpacked(mine.column("docs")[0].as_py())
+        n_words, word, n_segments, segment = columns_of(mine.column("words")[0].as_py())
         told = answered.column("ids").to_pylist()
         lists = [unpacked(told[i]).column("ids").combine_chunks() for i in np.argsort(answered.column("bucket").to_numpy())]
         flat = np.concatenate([np.zeros(0, np.int32), *(x.values.to_numpy().astype(np.int32) for x in lists)])
@@ -330,7 +344,6 @@ def encoded(docs: DataFrame, finish: Callable[[Encoded], pa.Table], schema: str,
         ends = np.concatenate([[0], np.cumsum(lengths[segment])])[np.concatenate([[0], np.cumsum(n_segments)])]
         sizes = np.diff(ends)
         every = ids[ranges(ends[:-1][word], sizes[word])]
-        n_words = docs_.column("n").to_numpy().astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes[word])])[np.concatenate([[0], np.cumsum(n_words)])]
         return finish(Encoded(docs_.column("id"), pa.array(n_words), docs_.column("digest"), every, offsets))
 

@@ -169,3 +169,52 @@ def test_pipeline(spark):
 
     assert all(r.n_assign + r.n_access + r.n_hex == 0 for r in secrets.report(safe).collect())
     assert steps["pack_sequences"](spark, safe, sf).select("doc_id").distinct().count() == safe.count()
+
+
+ODD = "doc_id long, text string, n_chars long, row string, key int, kept string, keep int, spans int, none int, new int, c0 int"
+
+
+def odd_rows():
+    """Nulls in any column, empty and long texts, ties, repeated rows, and columns whose names clash with those inside the stages."""
+    base = " ".join(f"word{i}" for i in range(80))
+    boiler = "A common line of boilerplate"
+    rows = [(i, f"{boiler}\n" + " ".join(f"u{i}x{k}" for k in range(60)), None, "r", i, "k", 1, 2, 3, 4, 5) for i in range(12)]
+    rows += [(20, base, 5, "r", 1, None, None, None, None, None, None), (20, base, 5, "r", 0, None, None, None, None, None, None), (20, base, 5, "r", 0, None, None, None, None, None, None)]
+    rows += [(21, base + " more", 9, None, 1, "k", 1, 1, 1, 1, 1), (None, base + " still", 9, None, 1, "k", 1, 1, 1, 1, 1)]
+    rows += [(22, None, None, None, None, None, None, None, None, None, None), (23, "", 0, "r", 1, "k", 1, 1, 1, 1, 1), (24, "w " * 40_000, 80_000, "r", 1, "k", 1, 1, 1, 1, 1)]
+    secret = "token = abcdefghijklmnop1234 " + " ".join(f"s{i}" for i in range(70))
+    return [*rows, (25, secret, len(secret), "r", 1, "k", 1, 1, 1, 1, 1)]
+
+
+def as_rows(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows = odd_rows()
+    docs, steps = spark.createDataFrame(rows, ODD).repartition(3), dict(p.STAGES)
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sf = str(tmp_path)
+    for step in ("quality_rules", "line_dedup", "near_dedup", "secret_scan"):
+        none = steps[step](spark, docs.where("false"), sf)
+        assert none.columns == docs.columns and none.collect() == []
+    assert steps["pack_sequences"](spark, docs.where("false"), sf).collect() == []
+
+    good = as_rows(steps["quality_rules"](spark, docs, sf))
+    assert good <= Counter(rows) and {r[0] for r in good} == {r[0] for r in rows} - {22, 23, 24}
+
+    lined = as_rows(steps["line_dedup"](spark, docs, sf))
+    want = Counter((r[0], r[1].split("\n")[1], len(r[1].split("\n")[1]), *r[3:]) if r[0] in range(1, 12) else r for r in rows)
+    assert lined == want
+
+    one = as_rows(steps["near_dedup"](spark, docs, sf))
+    kept = [r for r in rows if r[0] not in (20, 21, None, 22, 23)] + [next(r for r in rows if r[0] == 20 and r[4] == 0), next(r for r in rows if r[0] == 22)]
+    assert one == Counter(kept)
+
+    safe = steps["secret_scan"](spark, docs, sf)
+    assert as_rows(safe) == Counter((*r[:1], *((new, len(new)) if (new := (r[1] or "").replace("token = abcdefghijklmnop1234", "[assign]")) != (r[1] or "") else r[1:3]), *r[3:]) for r in rows)
+
+    packed = steps["pack_sequences"](spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r[0] for r in rows)
