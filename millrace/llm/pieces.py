@@ -33,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -78,14 +78,13 @@ class Pieces:
             raise ValueError(f"pieces go on behind a space: {crossing[:3]}")
         self.table = {p: (i, s) for p, i, s in self.plain}
         # which characters stand side by side in some piece; 0 is any character that no piece has
-        used = sorted({c for p in self.table for c in p})
+        used = sorted({c for p in self.table if len(p) > 1 for c in p})
         self.character = np.zeros(0x110000, np.int32)
         self.character[[ord(c) for c in used]] = np.arange(1, len(used) + 1)
         self.joined = np.zeros((len(used) + 1, len(used) + 1), bool)
         for p in self.table:
             at = self.character[[ord(c) for c in p]]
             self.joined[at[:-1], at[1:]] = True
-        self.small = len(ids) < 65536
         surface = {i: p.replace(SPACE, " ").encode() for p, i, _ in self.plain} | {i: bytes([b]) for b, i in self.bytes.items()}
         spelt = [surface.get(i, b"") for i in ids]
         self.surface = np.frombuffer(b"".join(spelt), np.uint8)
@@ -163,41 +162,42 @@ def pieces_of(path: str, scores: str = "ranks") -> Pieces:
     return PIECES[path, scores]
 
 
-@dataclass
-class Block:
-    """The words of a block's texts as numbers of distinct words, and these as numbers of distinct segments."""
-
-    lists: list[list[str]]  # distinct segments by bucket; they are numbered in this order
-    n_words: np.ndarray  # of each text
-    word: np.ndarray  # of each place in all texts
-    n_segments: np.ndarray  # of each distinct word
-    segment: np.ndarray  # of each place in all distinct words
-
-
-def read_block(texts: list[bytes], pieces: Pieces, buckets: int) -> Block:
-    """All orders follow the texts, so a block that is read again is numbered the same; frequent words have small numbers."""
-    words = [words_of(t) for t in texts]
-    number = dict.fromkeys(chain.from_iterable(words))
-    distinct = list(number)
-    number.update(zip(distinct, range(len(distinct)), strict=True))
-    word = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
-    order = np.argsort(-np.bincount(word, minlength=len(distinct)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    segments, hashes, begins = pieces.segments([distinct[i] for i in order.tolist()])
-    known = dict.fromkeys(segments)
-    names = list(known)
-    known.update(zip(names, range(len(names)), strict=True))
-    segment = np.fromiter(map(known.__getitem__, segments), np.int64)
-    bucket = np.empty(len(names), np.int64)
+def numbered(values: Iterable) -> dict:
+    """Distinct values in the order in which they come first, with their numbers."""
+    out = dict.fromkeys(values)
+    out.update(zip(list(out), range(len(out)), strict=True))
+    return out
+
+
+def asked(words: list[list[bytes]], pieces: Pieces, buckets: int) -> tuple[dict[bytes, int], list[list[str]], np.ndarray, np.ndarray]:
+    """Distinct words; their distinct segments by bucket, numbered in this order; how many each word has, and which, in a row.
+
+    All orders follow the texts, so a block that is read again is numbered the same.
+    """
+    distinct = numbered(chain.from_iterable(words))
+    segments, hashes, begins = pieces.segments(list(distinct))
+    known = numbered(segments)
+    segment = np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
+    bucket = np.empty(len(known), np.int64)
     bucket[segment] = (hashes % np.uint64(buckets)).astype(np.int64)
     by_bucket = np.argsort(bucket, kind="stable")
-    place = np.empty(len(names), np.int64)
-    place[by_bucket] = np.arange(len(names))
+    place = np.empty(len(known), np.int64)
+    place[by_bucket] = np.arange(len(known))
+    names = list(known)
     names = [names[i] for i in by_bucket.tolist()]
     cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1)).tolist()
-    lists = [names[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return Block(lists, np.array([len(w) for w in words], np.int64), rank[word], np.diff(begins), place[segment])
+    return distinct, [names[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.diff(begins), place[segment]
+
+
+def held_words(words: list[list[bytes]], distinct: dict[bytes, int], n_segments: np.ndarray, segment: np.ndarray) -> bytes:
+    """Packed: words of each text; number of each word, frequent ones have small numbers; segments of each number, and which."""
+    n_words = np.array([len(w) for w in words], np.int64)
+    word = np.fromiter(map(distinct.__getitem__, chain.from_iterable(words)), np.int64, n_words.sum())
+    order = np.argsort(-np.bincount(word, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    starts = np.cumsum(n_segments) - n_segments
+    return pack(n_words, rank[word], n_segments[order], segment[ranges(starts[order], n_segments[order])])
 
 
 def packed(table: pa.Table) -> bytes:
@@ -215,24 +215,26 @@ def blocks(docs: DataFrame, path: str, scores: str, buckets: int) -> tuple[DataF
     """(``block``, ``docs``, ``words``) and (``bucket``, ``block``, ``asked``), packed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def numbered(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes], Block]]:
+    def read(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes], list[list[bytes]]]]:
         from pyspark import TaskContext
 
-        first, pieces = TaskContext.get().partitionId() << 32, pieces_of(path, scores)
+        first = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(batches(found, rows=4096, size=5 << 20)):
             texts = text_bytes(batch.column(1))
-            yield first + k, batch, texts, read_block(texts, pieces, buckets)
+            yield first + k, batch, texts, [words_of(t) for t in texts]
 
     def hold(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch, texts, b in numbered(found):
+        for block, batch, texts, words in read(found):
+            distinct, _, n_segments, segment = asked(words, pieces_of(path, scores), buckets)
             digests = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
             rows = packed(pa.table([batch.column(0), digests], ["id", "digest"]))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([rows], pa.binary()), pa.array([pack(b.n_words, b.word, b.n_segments, b.segment)], pa.binary())], ["block", "docs", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([rows], pa.binary()), pa.array([held_words(words, distinct, n_segments, segment)], pa.binary())], ["block", "docs", "words"])
 
     def ask(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, b in numbered(found):
-            used = [k for k, some in enumerate(b.lists) if some]
-            rows = [packed(pa.table([pa.array(b.lists[k], pa.string())], ["s"])) for k in used]
+        for block, _, _, words in read(found):
+            lists = asked(words, pieces_of(path, scores), buckets)[1]
+            used = [k for k, some in enumerate(lists) if some]
+            rows = [packed(pa.table([pa.array(lists[k], pa.string())], ["s"])) for k in used]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "block", "asked"])
 
     return docs.mapInArrow(hold, "block long, docs binary, words binary"), docs.mapInArrow(ask, "bucket int, block long, asked binary")
@@ -301,7 +303,6 @@ def encoded(docs: DataFrame, finish: Callable[[Encoded], pa.Table], schema: str,
     pieces = Pieces(path, scores)
     buckets = partitions(spark)
     held, requests = blocks(docs, path, scores, buckets)
-    number = pa.uint16() if pieces.small else pa.uint32()
 
     def distinct_segments(key: tuple, table: pa.Table) -> pa.Table:
         found = sorted(set().union(*(unpacked(x).column("s").to_pylist() for x in table.column("asked").to_pylist())))
@@ -325,8 +326,8 @@ def encoded(docs: DataFrame, finish: Callable[[Encoded], pa.Table], schema: str,
         ids = known.column("ids").combine_chunks()
         rows = []
         for x in wanted.column("asked").to_pylist():
-            take = pa.array([order[s] for s in unpacked(x).column("s").to_pylist()], pa.int32())
-            rows.append(packed(pa.table([ids.take(take).cast(pa.list_(number))], ["ids"])))
+            lists = ids.take(pa.array([order[s] for s in unpacked(x).column("s").to_pylist()], pa.int32()))
+            rows.append(pack(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
         return pa.table([wanted.column("block"), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["block", "bucket", "ids"])
 
     answers = requests.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(give, "block long, bucket int, ids binary")
@@ -335,9 +336,8 @@ def encoded(docs: DataFrame, finish: Callable[[Encoded], pa.Table], schema: str,
         docs_ = unpacked(mine.column("docs")[0].as_py())
         n_words, word, n_segments, segment = columns_of(mine.column("words")[0].as_py())
         told = answered.column("ids").to_pylist()
-        lists = [unpacked(told[i]).column("ids").combine_chunks() for i in np.argsort(answered.column("bucket").to_numpy())]
-        flat = np.concatenate([np.zeros(0, np.int32), *(x.values.to_numpy().astype(np.int32) for x in lists)])
-        lengths = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()).astype(np.int64) for x in lists)])
+        lists = [columns_of(told[i]) for i in np.argsort(answered.column("bucket").to_numpy())]
+        lengths, flat = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in lists)]) for k in (0, 1))
         starts = np.cumsum(lengths) - lengths
         # distinct words first, then all words
         ids = flat[ranges(starts[segment], lengths[segment])]
