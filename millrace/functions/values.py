@@ -125,6 +125,12 @@ def human_age(seconds: Column) -> Column:
     )
 
 
+def natural_key(c: Column, digits: int = 20) -> Column:
+    """A text that sorts as people read names: case is ignored, every run of digits counts as a number."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit(r"\d+|\D+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, digits, "0")).otherwise(x)), "")
+
+
 def status_label(c: Column) -> Column:
     """The label of a state; an unknown state is its own label."""
     known = F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv]), c)

@@ -565,16 +565,17 @@ def q_table_search(s: SparkSession, sf: str) -> DataFrame:
     return table(s, sf, "part").where(F.lower("p_name").contains("1") | F.lower("p_brand").contains("1")).where("p_size > 10").select("p_partkey", "p_name")
 
 
-@query("SELECT c_custkey, balance FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS balance FROM customer) ORDER BY balance DESC NULLS LAST, c_custkey LIMIT 100")
+@query("SELECT c_custkey, balance FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS balance FROM customer) ORDER BY balance DESC NULLS LAST, c_custkey")
 def q_sort_unknown_last(s: SparkSession, sf: str) -> DataFrame:
     df = table(s, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("balance"))
-    return df.orderBy(F.desc_nulls_last("balance"), "c_custkey").limit(100)
+    return df.orderBy(F.desc_nulls_last("balance"), "c_custkey")
 
 
-@query("SELECT name FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'BL_' ELSE 'bl_' END || c_custkey AS name FROM customer) ORDER BY lower(regexp_extract(name, '^(\\D*)', 1)), CAST(regexp_extract(name, '(\\d+)', 1) AS BIGINT) LIMIT 200")
+@query("""SELECT name, list_aggregate(list_transform(regexp_extract_all(lower(name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN lpad(x, 20, '0') ELSE x END), 'string_agg', '') AS sort_key
+FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'BL_' ELSE 'bl_' END || c_custkey || '_' || c_nationkey AS name FROM customer) ORDER BY 2, 1""")
 def q_natural_sort(s: SparkSession, sf: str) -> DataFrame:
-    df = table(s, sf, "customer").select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "BL_").otherwise("bl_"), F.col("c_custkey").cast("string")).alias("name"))
-    return df.orderBy(F.lower(F.regexp_extract("name", r"^(\D*)", 1)), F.regexp_extract("name", r"(\d+)", 1).cast("long")).limit(200)
+    name = F.concat(F.when(F.col("c_custkey") % 2 == 0, "BL_").otherwise("bl_"), F.col("c_custkey").cast("string"), F.lit("_"), F.col("c_nationkey").cast("string"))
+    return table(s, sf, "customer").select(name.alias("name")).withColumn("sort_key", values.natural_key(F.col("name"))).orderBy("sort_key", "name")
 
 
 KINDS = "kinds AS (SELECT l_orderkey AS table_id, l_linenumber AS name, CASE l_partkey % 4 WHEN 0 THEN 'f' WHEN 1 THEN 'c' WHEN 2 THEN 'u' ELSE 'p' END AS kind, l_suppkey % 3 = 0 AND l_partkey % 4 = 0 AS inbound FROM lineitem)"

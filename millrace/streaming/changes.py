@@ -3,21 +3,26 @@
 The log's position is the stream's checkpoint. A batch writes the target's next
 version into a folder of its own and only then names it current, so a batch that
 is run again after a failure writes the same version once more and nothing is
-applied twice. Rows are never dropped for being late: a change whose transaction
-was open is in a later file and is mined with it, and applying a key again only
-re-reads its current row.
+applied twice. The version before the last is kept for readers, older ones go.
+
+A log may say how far back transactions were still open (``open_scn``): keys
+changed at or after that position (``scn``) are applied now and kept to be mined
+again with the next batch, so what such a transaction commits later is not
+missed. Applying a key again only re-reads its current row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from millrace.operators import cdc
+from millrace.sources.checkpoints import cut, remove
 
 
 def version_path(target: str, version: int) -> str:
@@ -38,6 +43,17 @@ def commit(spark: SparkSession, target: str, version: int, written: int, deleted
     row.write.mode("overwrite").parquet(f"{target}/commits/batch={version}")
 
 
+def keys_waiting(spark: SparkSession, target: str, batch: int) -> DataFrame | None:
+    """Keys that the batch has kept to be mined again."""
+    path = f"{target}/waiting/batch={batch}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def start(spark: SparkSession, first: DataFrame, target: str) -> None:
     """Writes the bulk copy that the stream goes on from."""
     first.write.mode("overwrite").parquet(version_path(target, -1))
@@ -51,12 +67,21 @@ def apply_changes(
 
     def batch(rows: DataFrame, number: int) -> None:
         session = rows.sparkSession
-        keys = rows.select(F.explode(F.array("old_key", "new_key")).alias(key)).where(F.col(key).isNotNull()).distinct()
+        mined = rows.select(F.explode(F.array("old_key", "new_key")).alias(key), *[c for c in ("scn", "open_scn") if c in rows.columns]).where(F.col(key).isNotNull())
+        keys = mined.select(key).distinct()
+        if "open_scn" in rows.columns:
+            held = rows.agg(F.min("open_scn")).scalar()
+            waiting = keys_waiting(session, target, number - 1)
+            keys = keys if waiting is None else keys.unionByName(waiting).distinct()
+            mined.where(F.col("scn") >= held).select(key).distinct().write.mode("overwrite").parquet(f"{target}/waiting/batch={number}")
+        keys = cut(keys)
         before = session.read.parquet(version_path(target, number - 1))
-        current = cdc.reread(snapshot(), keys, key)
+        current = cut(cdc.reread(snapshot(), keys, key))  # read once: counts and rows are of one moment
         counts = cdc.apply_counts(before, keys, current, key).first()
         cdc.applied(before, keys, current, key).write.mode("overwrite").parquet(version_path(target, number))
         commit(session, target, number, counts.written, counts.deleted)
+        if number >= 2:
+            remove(session, version_path(target, number - 2))
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(log)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

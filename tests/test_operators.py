@@ -235,3 +235,24 @@ def test_changes_are_streamed_once(spark, tmp_path):
     changes.apply_changes(spark, log, entries.schema, lambda: source.where("id <> 4"), target, "id", state).awaitTermination()
     assert changes.current_version(spark, target) == 1
     assert sorted(map(tuple, changes.read_current(spark, target).collect())) == [(1, "A"), (3, "c")]
+
+
+def test_open_transactions_are_mined_again(spark, tmp_path):
+    log, target, state = (str(tmp_path / x) for x in ("log", "target", "state"))
+    changes.start(spark, spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string"), target)
+    schema = "scn long, open_scn long, old_key long, new_key long"
+    now = [(1, "a"), (2, "b")]
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
+        entries = spark.createDataFrame(rows, schema).schema
+        changes.apply_changes(spark, log, entries, lambda: spark.createDataFrame(now, "id long, name string"), target, "id", state).awaitTermination()
+        return sorted(map(tuple, changes.read_current(spark, target).collect()))
+
+    now[0] = (1, "A")
+    assert run([(10, 20, 1, 1), (25, 20, 2, 2)]) == [(1, "A"), (2, "b")]  # key 2 is of a transaction not yet committed
+    now[1] = (2, "late")
+    assert run([(30, None, 1, 1)]) == [(1, "A"), (2, "late")]
+    now[:] = [(1, "again"), (2, "unseen")]
+    assert run([(40, None, 1, 1)]) == [(1, "again"), (2, "late")]
+    assert changes.current_version(spark, target) == 2 and not (tmp_path / "target" / "v=0").exists()
