@@ -261,9 +261,14 @@ def text_key(text: Column) -> Column:
 
 def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The inverted index of the trigrams that the rules ask for: a row ``trigram``, ``key`` for each distinct text of ``key``, ``text`` that holds it in any case."""
-    folded = texts.select("key", F.lower("text").alias("folded"))
-    held = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in asked_trigrams(rules)]))
-    return folded.select("key", held.alias("held")).where(F.size("held") > 0).select(F.explode("held").alias("trigram"), "key").distinct()
+    trigrams = asked_trigrams(rules)
+
+    def held(folded: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in trigrams]))
+
+    # a lambda's variable, so that a text is folded once and not once a trigram
+    found = F.get(F.transform(F.array(F.lower("text")), held), F.lit(0))
+    return texts.select(F.explode(found).alias("trigram"), "key").distinct()
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
