@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHasher, batches, code_points, mix, partitions, range_bounds, range_of, text_bytes
@@ -165,26 +165,30 @@ def length_partition(n: str, least: float) -> Column:
 def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """Pairs of different fingerprints with likeness of at least ``least``.
 
-    ``prints`` has ``doc_id`` and ``fingerprint``. Documents with one fingerprint
-    form a class named by its smallest ``doc_id``; the result pairs classes:
-    ``class_a``, ``class_b``, ``likeness``. Classes are indexed by the first
-    signatures of their sorted sets only (prefix filter) within partitions of
-    set length, so most unlike pairs never meet, and no pair is emitted within a
-    class of copies.
+    ``prints`` has ``doc_id`` and ``fingerprint``; rows without a fingerprint are
+    left out. Documents with one fingerprint form a class named by its smallest
+    ``doc_id`` (null if none has one); the result pairs classes: ``class_a``,
+    ``class_b``, ``likeness``. Within partitions of set length, classes are indexed
+    by the rarest of their signatures only (prefix filter), so that a signature
+    of very many texts is behind the prefix of all that have enough rarer ones;
+    most unlike pairs never meet, and no pair is emitted within a class of copies.
     """
     size = F.length("fingerprint") / 8
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).withColumn("n", size.cast("int"))
-    classes = classes.withColumn("part", length_partition("n", least))
-    prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int")
-    tokens = F.transform(F.sequence(F.lit(0), prefix - 1), lambda i: F.col("fingerprint").substr(i * 8 + 1, F.lit(8)))
-    index = classes.select("class_id", "n", "part", F.explode(tokens).alias("token"))
-    shorter = index.select(F.col("class_id").alias("class_a"), F.col("n").alias("n_a"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "token")
-    longer = index.select(F.col("class_id").alias("class_b"), F.col("n").alias("n_b"), "part", "token")
-    alike_length = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b")))
+    classes = prints.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).withColumn("n", size.cast("int"))
+    classes = classes.withColumn("part", length_partition("n", least)).withColumn("key", F.unhex(F.md5("fingerprint")))
+    tokens = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("fingerprint").substr(i * 8 + 1, F.lit(8)))
+    held = classes.select("key", "n", "part", F.explode(tokens).alias("token"))
+    ranked = held.join(held.groupBy("token").agg(F.count("*").alias("texts")), "token")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("texts", "token"))  # of one text's own signatures
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1
+    index = ranked.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("texts") > 1)).select("key", "n", "part", "token")
+    shorter = index.select(F.col("key").alias("key_a"), F.col("n").alias("n_a"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "token")
+    longer = index.select(F.col("key").alias("key_b"), F.col("n").alias("n_b"), "part", "token")
+    alike_length = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
     pairs = shorter.join(longer, ["part", "token"]).where(alike_length & (F.col("n_a") >= F.col("n_b") * F.lit(least) - F.lit(1e-9)))
-    pairs = pairs.select("class_a", "class_b").distinct()
-    a = classes.select(F.col("class_id").alias("class_a"), F.col("fingerprint").alias("print_a"))
-    b = classes.select(F.col("class_id").alias("class_b"), F.col("fingerprint").alias("print_b"))
+    pairs = pairs.select("key_a", "key_b").distinct()
+    a = classes.select(F.col("key").alias("key_a"), F.col("class_id").alias("class_a"), F.col("fingerprint").alias("print_a"))
+    b = classes.select(F.col("key").alias("key_b"), F.col("class_id").alias("class_b"), F.col("fingerprint").alias("print_b"))
 
     def verify(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -193,5 +197,5 @@ def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
             out = pa.array([likeness(x, y, least) for x, y in zip(left, right, strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["class_a", "class_b", "likeness"])
 
-    both = pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "print_a", "print_b")
+    both = pairs.join(a, "key_a").join(b, "key_b").select("class_a", "class_b", "print_a", "print_b")
     return both.mapInArrow(verify, "class_a long, class_b long, likeness double").where(F.col("likeness") >= least - 1e-12)

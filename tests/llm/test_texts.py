@@ -74,14 +74,21 @@ def test_fingerprints_are_spot_signatures(docs, plain):
 
 
 def test_fingerprint_pairs_match_brute_force(docs):
-    prints = fingerprints.fingerprint_documents(docs).where("doc_id is not null").select("doc_id", "fingerprint")
-    got = {(r.class_a, r.class_b) if r.class_a < r.class_b else (r.class_b, r.class_a) for r in fingerprints.near_classes(prints, 0.5).collect()}
-    first = {}
-    for r in sorted(prints.collect()):
-        first.setdefault(r.fingerprint, r.doc_id)
-    sets = {d: {f[i : i + 8] for i in range(0, len(f), 8)} for f, d in first.items()}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
-    assert got == want and (40, 41) in got
+    prints = fingerprints.fingerprint_documents(docs).select("doc_id", "fingerprint")
+    rows = [(r.doc_id, r.fingerprint) for r in prints.collect()]
+    base = next(f for d, f in rows if d == 40)
+    rows += [(None, base[:-8] + "ffffffff"), (None, None), (90, "")]  # a near class that has no id
+    odd = prints.sparkSession.createDataFrame(rows, "doc_id long, fingerprint string")
+    for least in (0.5, 0.8):
+        got = Counter(frozenset([r.class_a, r.class_b]) for r in fingerprints.near_classes(odd, least).collect())
+        ids = {}
+        for d, f in rows:
+            if f:
+                ids.setdefault(f, []).append(d)
+        first = {f: min((d for d in ds if d is not None), default=None) for f, ds in ids.items()}
+        sets = {f: {f[i : i + 8] for i in range(0, len(f), 8)} for f in first}
+        want = Counter(frozenset([first[a], first[b]]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+        assert got == want and frozenset([40, None]) in got
 
 
 def test_line_dedup(docs, plain):
