@@ -241,8 +241,8 @@ def training_sample(docs: DataFrame, texts: int = TRAIN_TEXTS, passage: int = TR
     share = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(2.0 * texts) / F.col("n")).alias("share"))
     near = (F.col("h") / F.lit(2.0**64) + 0.5) < F.col("share")
     offset = F.pmod(F.col("h"), F.greatest(F.length("text") - passage, F.lit(0)) + 1) + 1
-    # a row a language
-    picked = known.join(share, F.col("lang") == F.col("of")).where(near).select("lang", "h", F.substring("text", offset, F.lit(passage)).alias("passage"))
+    # a row for each language, as in the network's own weights
+    picked = known.join(F.broadcast(share), F.col("lang") == F.col("of")).where(near).select("lang", "h", F.substring("text", offset, F.lit(passage)).alias("passage"))
     picked = picked.groupBy("lang", "h").agg(F.min("passage").alias("passage"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "passage"))
     return picked.withColumn("place", place).where(F.col("place") <= texts).select("lang", "passage")
@@ -253,10 +253,12 @@ def fit_model(docs: DataFrame, texts: int = TRAIN_TEXTS, passage: int = TRAIN_PA
 
     def train(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((row["lang"], row["passage"].encode()) for b in found for row in b.to_pylist())
-        model = fit([p for _, p in rows], [x for x, _ in rows], epochs) if rows else new_model([], WIDTH, np.random.default_rng(0))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        if rows:
+            model = fit([p for _, p in rows], [x for x, _ in rows], epochs)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(training_sample(docs, texts, passage).repartition(1).mapInArrow(train, "model binary").first()[0])
+    row = training_sample(docs, texts, passage).repartition(1).mapInArrow(train, "model binary").first()
+    return pickle.loads(row.model) if row else new_model([], WIDTH, np.random.default_rng(0))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
