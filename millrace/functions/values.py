@@ -125,10 +125,34 @@ def human_age(seconds: Column) -> Column:
     )
 
 
-def natural_key(c: Column, digits: int = 20) -> Column:
-    """A text that sorts as people read names: case is ignored, every run of digits counts as a number."""
+def human_duration(ms: Column) -> Column:
+    """Milliseconds: tenths of a second below ten seconds, whole seconds below a minute, then minutes and seconds."""
+    s = F.floor((ms + 500) / 1000).cast("long")
+    long = F.concat(F.floor(s / 60).cast("string"), F.lit(" min "), (s % 60).cast("string"), F.lit(" s"))
+    return F.when(ms.isNull(), "").when(ms < 10_000, F.concat(fixed_point(ms, 1000, 1), F.lit(" s"))).when(s < 60, F.concat(s.cast("string"), F.lit(" s"))).otherwise(long)
+
+
+def human_count(n: Column) -> Column:
+    return F.when(n.isNull(), "Unknown").otherwise(F.format_number(n, 0))
+
+
+def human_size(n: Column, estimate: Column) -> Column:
+    """Bytes as in ``human_bytes``, marked where they are an estimate."""
+    return F.when(n.isNull(), "Unknown").otherwise(F.concat(F.when(F.coalesce(estimate, F.lit(False)), "~").otherwise(""), human_bytes(n)))
+
+
+def natural_key(c: Column) -> Column:
+    """A text that sorts as people read names: case is ignored, every run of digits counts as a number of any length.
+
+    A number's digits follow their count, so that more digits are a greater number.
+    """
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, digits, "0")).otherwise(x)), "")
+
+    def number(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")
 
 
 def status_label(c: Column) -> Column:

@@ -8,9 +8,11 @@ by measured size, and no key list passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import ordered
+
 
 def resume_point(start: Column, oldest_open: Column) -> Column:
     """Position from which nothing uncommitted is skipped: before the start and before the oldest open transaction."""
@@ -73,8 +75,8 @@ def stop_reason(op: Column, status: Column, old_key: Column, new_key: Column, ad
 
 def log_gaps(logs: DataFrame) -> DataFrame:
     """Log files whose predecessor in their thread is missing."""
-    w = Window.partitionBy("thread").orderBy("sequence")
-    return logs.withColumn("previous", F.lag("sequence").over(w)).where("sequence <> previous + 1")
+    rows = ordered.previous(logs, ["thread"], ["sequence"], ["sequence"])
+    return rows.withColumn("previous", F.col("before.sequence")).drop("before").where("sequence <> previous + 1")
 
 
 def preferred_logs(logs: DataFrame) -> DataFrame:
@@ -116,3 +118,41 @@ def upsert_counts(target: DataFrame, keys: DataFrame, rows: DataFrame, key: list
     written = F.col("now").isNotNull() & (F.col("was").isNull() | ~F.col("old").eqNullSafe(F.col("new")))
     deleted = F.col("was").isNotNull() & F.col("now").isNull() & F.col("changed").isNotNull()
     return both.agg(F.count_if(written).alias("written"), F.count_if(deleted).alias("deleted"))
+
+
+def history_problems(logs: DataFrame, current: Column, from_scn: Column, upto: Column) -> DataFrame:
+    """Why the log files cannot tell all that happened after ``from_scn`` and up to ``upto``: ``kind``, ``thread``, ``low``, ``high``; no row if they can.
+
+    ``logs``: ``thread``, ``sequence``, ``name``, ``first_scn``, ``next_scn`` (null: still
+    written), ``archived``, ``deleted``, ``incarnation``; ``current`` is the incarnation's
+    first position. ``reset``: the start lies before it; ``missing``: nothing is left that
+    reaches back to the start; ``hole``: within a thread a file is missing or begins behind
+    the end of the one before it (``low`` to ``high`` is not told); ``ends early``: a
+    thread's files end before ``upto``; ``deleted``: a file of the window is gone and has no
+    other copy. Only files of the current incarnation that are still there count, one for
+    each sequence, archived before online.
+    """
+    inside = logs.where((F.col("next_scn").isNull() | (F.col("next_scn") > from_scn)) & (F.col("first_scn") <= upto) & (F.col("incarnation") == current))
+    rank = F.struct(F.when(F.col("archived"), 0).otherwise(1).alias("rank"), "name", "first_scn", "next_scn")
+    files = inside.where(~F.col("deleted")).groupBy("thread", "sequence").agg(F.min(rank).alias("f")).select("thread", "sequence", "f.first_scn", "f.next_scn")
+    rows = ordered.previous(files, ["thread"], ["sequence"], ["sequence", "next_scn"])
+    none = F.lit(None).cast("long")
+
+    def problem(kind: str, thread: Column, low: Column, high: Column) -> list[Column]:
+        return [F.lit(kind).alias("kind"), thread.cast("long").alias("thread"), low.cast("long").alias("low"), high.cast("long").alias("high")]
+
+    hole = rows.where(F.col("before").isNotNull() & ((F.col("sequence") != F.col("before.sequence") + 1) | (F.col("first_scn") > F.col("before.next_scn"))))
+    whole = files.agg(F.min("first_scn").alias("first"))
+    ends = files.groupBy("thread").agg(F.max(F.coalesce("next_scn", F.lit(2**62))).alias("end"))
+    gone = inside.where("deleted").groupBy("thread", "sequence").agg(F.min("first_scn").alias("first"), F.max("next_scn").alias("next")).join(files, ["thread", "sequence"], "left_anti")
+    parts = [
+        whole.where(from_scn < current).select(*problem("reset", none, from_scn, current)),
+        whole.where(F.col("first").isNull() | (F.col("first") > from_scn + 1)).select(*problem("missing", none, from_scn + 1, F.coalesce("first", upto + 1))),
+        hole.select(*problem("hole", F.col("thread"), F.col("before.next_scn"), F.col("first_scn"))),
+        ends.where(F.col("end") <= upto).select(*problem("ends early", F.col("thread"), F.col("end"), upto + 1)),
+        gone.select(*problem("deleted", F.col("thread"), F.col("first"), F.col("next"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -21,10 +21,15 @@ def existing(names: DataFrame, live: DataFrame, name: str) -> DataFrame:
 
 def restore_order(constraints: DataFrame, present: DataFrame, table: str, name: str) -> DataFrame:
     """Constraints not there yet with their ``step``: primary key, unique, check, foreign key, then those of other tables."""
-    step = F.when(F.col("inbound"), 5).when(F.col("kind") == "p", 1).when(F.col("kind") == "u", 2).when(F.col("kind") == "c", 3).otherwise(4)
+    step = constraint_step(F.col("kind"), F.col("inbound"))
     return constraints.join(present.select(table, name).distinct(), [table, name], "left_anti").withColumn("step", step)
 
 
+def constraint_step(kind: Column, inbound: Column) -> Column:
+    """The order in which constraints come back."""
+    return F.when(inbound, 5).when(kind == "p", 1).when(kind == "u", 2).when(kind == "c", 3).otherwise(4)
+
+
 def duplicate_names(names: DataFrame, scope: list[str], name: str) -> DataFrame:
     """Names that stand more than once in their scope when case is ignored."""
     return names.groupBy(*scope, F.lower(name).alias("folded")).agg(F.count("*").alias("n")).where("n > 1")
@@ -118,3 +123,22 @@ def mining_mode(multitenant: Column, container: Column, version: Column) -> Colu
 def tracker_state(settled: Column, history_lost: Column) -> Column:
     """What a tracked table needs next."""
     return F.when(history_lost, "needs_bulk_copy").when(settled, "ready").otherwise("needs_first_sync")
+
+
+def allocated_names(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """Names after runs have asked for theirs: ``name``, ``run_id``, ``status``, ``action``, each name once.
+
+    ``wanted``: ``run_id``, ``base_name``; ``held``: ``name``, ``run_id``, ``status``. A name is
+    the base name in lower case without blanks around it. A name that is held goes to the
+    run that asks (of several, the last by ``run_id``), which gives up any other; names of
+    runs that do not ask stay. Asking again changes nothing.
+    """
+    asked = wanted.select(F.lower(F.trim("base_name")).alias("name"), "run_id").where("name <> ''").groupBy("name").agg(F.max("run_id").alias("run_id"))
+    runs = asked.select(F.col("run_id").alias("asking")).distinct()
+    by_name = held.select("name", F.col("run_id").alias("holder"), F.col("status").alias("was"))
+    by_run = held.groupBy(F.col("run_id").alias("asking")).agg(F.min("name").alias("other"))
+    new = asked.join(by_name, "name", "left").join(by_run, F.col("run_id") == F.col("asking"), "left")
+    action = F.when(F.col("holder") == F.col("run_id"), "kept").when(F.col("was").isNotNull(), "rebound").when(F.col("other").isNotNull(), "moved").otherwise("new")
+    taken = new.select("name", "run_id", F.lit("reserved").alias("status"), action.alias("action"))
+    rest = held.join(asked.select("name"), "name", "left_anti").join(runs, F.col("run_id") == F.col("asking"), "left_anti")
+    return taken.unionByName(rest.select("name", "run_id", "status", F.lit("untouched").alias("action")))

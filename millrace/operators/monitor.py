@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import ordered
+
 
 def pair_names(source: DataFrame, target: DataFrame) -> DataFrame:
     """Pairs tables of two sides: exact names first, then one-to-one by case-folded name in name order; leftovers stay.
@@ -54,11 +56,10 @@ def table_status(chunks: DataFrame, table: str, status: str) -> DataFrame:
 
 def rates(samples: DataFrame, key: str, at: str, total: str, least_seconds: float = 0.5) -> DataFrame:
     """Adds ``rate``: growth of ``total`` a second since the sample before, floored at 0; a first sample has 0."""
-    w = Window.partitionBy(key).orderBy(at, total)
-    seconds = F.col(at).cast("timestamp").cast("double")
-    passed = F.greatest(seconds - F.lag(seconds).over(w), F.lit(least_seconds))
-    growth = F.greatest((F.col(total) - F.lag(total).over(w)) / passed, F.lit(0.0))
-    return samples.withColumn("rate", F.coalesce(growth, F.lit(0.0)))
+    rows = ordered.previous(samples, [key], [at, total], [at, total])
+    seconds, before = (c.cast("timestamp").cast("double") for c in (F.col(at), F.col(f"before.{at}")))
+    growth = F.greatest((F.col(total) - F.col(f"before.{total}")) / F.greatest(seconds - before, F.lit(least_seconds)), F.lit(0.0))
+    return rows.withColumn("rate", F.coalesce(growth, F.lit(0.0))).drop("before")
 
 
 def latest(samples: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:

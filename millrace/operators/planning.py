@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import ordered
 from millrace.sources.checkpoints import cut
 
 
@@ -60,32 +61,29 @@ def hash_bucket(key: Column, n: int, portable: bool = False) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def coalesce_extents(extents: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Joins neighbouring extents until a chunk has the target size, then starts the next.
+def coalesce_extents(extents: DataFrame, keys: list[str], n: int, shared: list[str] | None = None) -> DataFrame:
+    """Joins neighbouring extents until a chunk has the target size, then starts the next: ``keys``, ``chunk``, ``first``, ``last``, ``blocks``.
 
-    ``extents``: keys, ``position``, ``blocks``. The accumulator with reset is a
-    fold over each object's own extents, a list bounded by the object's.
+    ``extents``: keys, ``position``, ``blocks``. The target is a share of 1 in ``n`` of
+    the blocks of an object, or of all objects with the same ``shared`` keys (the
+    partitions of one table): then a large partition gets more chunks than a small one.
     """
-    listed = extents.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "blocks"))).alias("list"), F.ceil(F.sum("blocks") / n).alias("target"))
-    empty = F.array().cast("array<struct<first:bigint,last:bigint,blocks:bigint>>")
-    start = F.struct(F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("held"), empty.alias("out"))
+    over = keys if shared is None else shared
+    # one row an object
+    totals = extents.groupBy(*over).agg(F.greatest(F.ceil(F.sum("blocks") / n), F.lit(1)).cast("long").alias("target"))
+    joined = extents.join(totals, F.lit(True)) if not over else extents.alias("e").join(totals.alias("t"), [F.col(f"e.{k}").eqNullSafe(F.col(f"t.{k}")) for k in over]).select("e.*", "t.target")
+    return ordered.full_groups(joined, keys, "position", "blocks", "target").withColumn("chunk", F.col("chunk").cast("int"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = F.coalesce(acc["first"], x["position"].cast("bigint"))
-        held = acc["held"] + x["blocks"].cast("bigint")
-        full = held >= F.col("target")
-        chunk = F.array(F.struct(first.alias("first"), x["position"].cast("bigint").alias("last"), held.alias("blocks")))
-        return F.struct(
-            F.when(full, F.lit(None)).otherwise(first).alias("first"), x["position"].cast("bigint").alias("last"),
-            F.when(full, F.lit(0)).otherwise(held).cast("bigint").alias("held"), F.when(full, F.concat(acc["out"], chunk)).otherwise(acc["out"]).alias("out"),
-        )
 
-    def finish(acc: Column) -> Column:
-        tail = F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"), acc["held"].alias("blocks")))
-        return F.when(acc["first"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], tail))
+def partition_chunks(partitions: DataFrame, extents: DataFrame, table: str, part: str, n: int) -> DataFrame:
+    """Chunks of partitioned tables: each partition's extents under the table's shared target, a partition without extents as one chunk.
 
-    chunks = listed.select(*keys, F.posexplode(F.aggregate("list", start, step, finish)).alias("chunk", "c"))
-    return chunks.select(*keys, "chunk", "c.first", "c.last", "c.blocks")
+    ``partitions``: ``table``, ``part``; ``extents``: both, ``position``, ``blocks``. ``first``, ``last`` and ``blocks`` are null where a partition is read whole.
+    """
+    cut_up = coalesce_extents(extents.join(partitions.select(table, part).distinct(), [table, part], "left_semi"), [table, part], n, [table])
+    whole = partitions.select(table, part).distinct().join(extents.select(table, part).distinct(), [table, part], "left_anti")
+    none = F.lit(None).cast("long")
+    return cut_up.unionByName(whole.select(table, part, F.lit(0).alias("chunk"), none.alias("first"), none.alias("last"), none.alias("blocks")))
 
 
 def parents_first(children: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
@@ -119,18 +117,21 @@ def parents_first(children: DataFrame, child: str = "child", parent: str = "pare
 
 
 def partition_plan(df: DataFrame, part: str, n: int) -> DataFrame:
-    """``part``, ``rows``, ``position``, ``chunks``: each partition's share of ``n`` chunks by its rows, one at least."""
+    """``part``, ``rows``, ``position``, ``chunks``: as many chunks as a partition fills with 1 in ``n`` of all rows (rounded up) each, the rest counting as one."""
     sizes = df.groupBy(part).agg(F.count("*").alias("rows"))
-    whole = sizes.agg(F.sum("rows")).scalar()
+    target = sizes.agg(F.greatest(F.ceil(F.sum("rows") / n), F.lit(1))).scalar()
     w = Window.orderBy(part)  # a row for each partition
-    share = F.greatest(F.round(F.col("rows") * n / whole, 0).cast("int"), F.lit(1))
-    return sizes.select(part, "rows", (F.row_number().over(w) - 1).alias("position"), share.alias("chunks"))
+    return sizes.select(part, "rows", (F.row_number().over(w) - 1).alias("position"), F.ceil(F.col("rows") / target).cast("int").alias("chunks"))
 
 
 def chunk_strategy(index_only: Column, partitioned: Column, has_partitions: Column, has_extents: Column, numeric_key: Column) -> Column:
-    """How a table is cut: by its key where only an index holds it, by partition, by range of the files, else by key or hash; one chunk if nothing fits."""
+    """How a table is cut: by its key where only an index holds it, by partition where partitions are visible, else by range of the files.
+
+    Only a plain table falls back to its key and then to a hash; the others are one chunk if nothing fits.
+    """
     by_key = F.when(numeric_key, "key range")
+    by_range = F.when(has_extents, "range")
     return (
-        F.when(index_only, F.coalesce(by_key, F.lit("single"))).when(partitioned, F.when(has_partitions, "partition").otherwise("single"))
-        .when(has_extents, "range").otherwise(F.coalesce(by_key, F.lit("hash")))
+        F.when(index_only, F.coalesce(by_key, F.lit("single"))).when(partitioned, F.when(has_partitions, "partition").otherwise(F.coalesce(by_range, F.lit("single"))))
+        .otherwise(F.coalesce(by_range, by_key, F.lit("hash")))
     )

@@ -571,7 +571,7 @@ def q_sort_unknown_last(s: SparkSession, sf: str) -> DataFrame:
     return df.orderBy(F.desc_nulls_last("balance"), "c_custkey")
 
 
-@query("""SELECT name, list_aggregate(list_transform(regexp_extract_all(lower(name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN lpad(x, 20, '0') ELSE x END), 'string_agg', '') AS sort_key
+@query("""SELECT name, list_aggregate(list_transform(regexp_extract_all(lower(name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN lpad(CAST(length(regexp_replace(x, '^0+(.)', '\\1')) AS VARCHAR), 6, '0') || regexp_replace(x, '^0+(.)', '\\1') ELSE x END), 'string_agg', '') AS sort_key
 FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'BL_' ELSE 'bl_' END || c_custkey || '_' || c_nationkey AS name FROM customer) ORDER BY 2, 1""")
 def q_natural_sort(s: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.when(F.col("c_custkey") % 2 == 0, "BL_").otherwise("bl_"), F.col("c_custkey").cast("string"), F.lit("_"), F.col("c_nationkey").cast("string"))

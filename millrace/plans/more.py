@@ -33,15 +33,15 @@ FROM orders JOIN r ON (low IS NULL OR o_orderkey > low) AND (high IS NULL OR o_o
 def q_chunk_validation(s: SparkSession, sf: str) -> DataFrame:
     """A copy that lost whole chunks, chunk by chunk."""
     orders = table(s, sf, "orders")
-    plan = planning.key_ranges(planning.ntile_bounds(orders, "o_orderkey", 12))
+    plan = copying.read_plan(planning.key_ranges(planning.ntile_bounds(orders, "o_orderkey", 12)))
     rows = copying.chunk_rows(orders, plan, "o_orderkey", "o_orderstatus <> 'P'")
     return monitor.validated_counts(rows, rows.where("chunk % 5 <> 2"), ["chunk"])
 
 
 @query("""SELECT event_type AS part, count(*) AS rows, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS position,
-CAST(greatest(1, round(count(*) * 16.0 / sum(count(*)) OVER ())) AS INTEGER) AS chunks FROM events GROUP BY 1""")
+CAST(ceil(count(*) / greatest(1, ceil(sum(count(*)) OVER () / 16.0))) AS INTEGER) AS chunks FROM events GROUP BY 1""")
 def q_partition_plan(s: SparkSession, sf: str) -> DataFrame:
-    """A plan over partitions: the wanted chunks are shared out by rows, one at least for each."""
+    """A plan over partitions: chunks of one size in rows for all of them."""
     return planning.partition_plan(table(s, sf, "events"), "event_type", 16).withColumnRenamed("event_type", "part")
 
 
@@ -51,7 +51,7 @@ def q_partition_scan(s: SparkSession, sf: str) -> DataFrame:
     return table(s, sf, "events").where(F.col("event_type") == "purchase").where(values.checked_filter("value > 50")).select("event_id", "ts", "value")
 
 
-STRATEGY = """CASE WHEN c_mktsegment = 'BUILDING' THEN CASE WHEN c_custkey % 3 <> 0 THEN 'key range' ELSE 'single' END WHEN c_nationkey % 4 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'partition' ELSE 'single' END
+STRATEGY = """CASE WHEN c_mktsegment = 'BUILDING' THEN CASE WHEN c_custkey % 3 <> 0 THEN 'key range' ELSE 'single' END WHEN c_nationkey % 4 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'partition' WHEN c_acctbal > 0 THEN 'range' ELSE 'single' END
  WHEN c_acctbal > 0 THEN 'range' WHEN c_custkey % 3 <> 0 THEN 'key range' ELSE 'hash' END"""
 
 
