@@ -1,15 +1,14 @@
 """Language-model scores from a probabilistic suffix tree.
 
-States are contexts of zero to three words: every context whose share of the
-training tokens is ``LEAST_SHARE`` or more is a candidate (a longer one is looked
-at only if the shorter ones in it are), whatever its words are and however large
-the corpus is. A state predicts by its counts
-smoothed with its parent's (the context without its oldest word) in Witten-Bell
-proportion, down to the root, whose distribution is the corpus's word
-frequencies with half a count added. A candidate is retained if its divergence
-from its parent pays: if the left-one-out log likelihood of its own next
-symbols, summed over the corpus, is larger by ``LEAST_GAIN`` nats under the state
-than under the parent; suffixes of retained states are retained. A text is
+States are contexts of zero to three words: every context seen ``LEAST_COUNT`` times
+or more in the training tokens is a candidate (a longer one is looked at only if the
+shorter ones in it are), whatever its words are and however large the corpus is. A
+state predicts by its counts smoothed with its parent's (the context without its
+oldest word) in Witten-Bell proportion, down to the root, whose distribution is the
+corpus's word frequencies with half a count added. A candidate is retained if its
+divergence from its parent, weighted by how often it is seen, is ``LEAST_GAIN`` nats
+or more: the sum over its next symbols of count x log (its probability / its
+parent's). Suffixes of retained states are retained. A text is
 scored token by token with the longest retained suffix of what precedes.
 
 Documents stay in packed blocks. Each block asks for its distinct words (counts
@@ -30,7 +29,6 @@ and scored each; an empty table gives no rows; further columns are left out.
 from __future__ import annotations
 
 import gc
-import math
 import time
 import zlib
 from collections.abc import Iterator
@@ -46,11 +44,10 @@ from .pieces import packed, unpacked
 from .substrings import bucket_cuts
 
 LEAST_GAIN = 4.0
-#: Contexts with a smaller share of the training tokens, or seen less often than ``LEAST_COUNT`` times, are never states.
-LEAST_SHARE = 1 / 5_000_000
-LEAST_COUNT = 4
+#: Contexts seen less often in the training tokens are never states, however large the corpus is.
+LEAST_COUNT = 2
 #: Packed tokens for each bucket, at most: there are as many buckets as that takes, so a bucket's part of the tree fits a task whatever the number of partitions.
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 2 << 20
 END = np.uint64(0xE4D0F7E4D0F7E4D1)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -249,8 +246,7 @@ class Branches:
             chance[here] = np.where(t > 0, (self.seen[here] + k * under[here]) / np.maximum(t + k, 1), under[here])
         own = np.flatnonzero((self.seen > 0) & self.candidate[self.context])
         c, seen, under = self.context[own], self.seen[own], under[own]
-        left_out = (seen - 1 + self.kinds[c] * under) / (self.totals[c] - 1 + self.kinds[c])
-        self.gain = np.bincount(c, weights=seen * np.log(left_out / under), minlength=len(self.hashes)).astype(float)  # of nothing it is integers
+        self.gain = np.bincount(c, weights=seen * np.log(chance[own] / under), minlength=len(self.hashes)).astype(float)  # of nothing it is integers
         self.chance = chance
 
     def retained(self, least_gain: float) -> np.ndarray:
@@ -291,7 +287,7 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def score_documents(docs: DataFrame, least_count: int = LEAST_COUNT, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN) -> DataFrame:
+def score_documents(docs: DataFrame, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> DataFrame:
     """Scores of all documents, in log10; see the module's description."""
     spark = docs.sparkSession
     buckets = partitions(spark)
@@ -334,7 +330,6 @@ def score_documents(docs: DataFrame, least_count: int = LEAST_COUNT, least_share
     words = cut(held.mapInArrow(send_words, "block long, bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(tell_words, f"{TOLD}, n long, kinds long"))
     n_tokens, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     root = (float(n_tokens), float(n_kinds))
-    least_count = max(least_count, math.ceil(least_share * n_tokens))
     release(spark)
 
     def number_words(key: tuple, mine: pa.Table, answers: pa.Table) -> pa.Table:
