@@ -12,44 +12,54 @@ from .common import documents, shared_dir
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot signatures of every whole text and its edited text, and how alike they and the next document's are."""
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole texts under a suffix tree learned from four fifths of them."""
     return suffix_tree.score_documents(documents(spark, sf_dir))
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text from the lattice of its substrings, and what they decode to."""
     return pieces.report(documents(spark, sf_dir))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids in sequences of at most 4096, by cost."""
     return packing.pack(documents(spark, sf_dir))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all kinds in every whole text; null texts are empty."""
     return secrets.report(documents(spark, sf_dir))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document with its class of near duplicates (weighted Jaccard of five-word shingles of 0.8 or more)."""
     return minhash.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose key ten documents or more hold; rows equal in id and text are one document."""
     out = lines.dedup_lines(documents(spark, sf_dir), min_docs=10, keep_first=False)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents in order of their ids, written, read back and digested."""
     path = token_files.write_tokens(documents(spark, sf_dir), shared_dir(spark))
     return token_files.read_digests(spark, path)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without words under a 20-word window that starts earlier in the corpus."""
     return substrings.report(documents(spark, sf_dir))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, log-likelihood ratio and verdict of every whole text."""
     return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
