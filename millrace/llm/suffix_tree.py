@@ -145,14 +145,14 @@ def context_hash(*words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Entries:
-    """A block's distinct (context, symbol) entries, by bucket."""
+    """A block's distinct (context, symbol) entries, by bucket: each token's one with its longest candidate context."""
 
     context: np.ndarray
     symbol: np.ndarray
     seen: np.ndarray
     words: list[np.ndarray]  # of each context, newest first, -1: none
     cuts: np.ndarray
-    at: list[np.ndarray]  # for each depth, each token's entry, or -1
+    at: np.ndarray  # each token's entry, or -1
 
 
 def entries_of(t: Tokens, number: np.ndarray, count: np.ndarray, pairs: Pairs, frequent: np.ndarray, buckets: int, least: int, n_tokens: int) -> Entries:
@@ -170,9 +170,12 @@ def entries_of(t: Tokens, number: np.ndarray, count: np.ndarray, pairs: Pairs, f
         np.concatenate([none, pairs.older, pairs.older[pair]]),
         np.concatenate([none, np.full(len(pairs.newer), -1), triples & 0xFFFFFFFF]),
     ]
-    where = np.concatenate([one, two, three])
-    context = np.concatenate([t.token[one - 1], words + before[two], words + len(pairs.newer) + triple])
-    codes, at = np.unique(context << 32 | t.token[where], return_inverse=True)
+    longest = np.full(n, -1, np.int64)  # wherever a context precedes a symbol its suffixes do, so these are told from it
+    longest[one] = t.token[one - 1]
+    longest[two] = words + before[two]
+    longest[three] = words + len(pairs.newer) + triple
+    where = np.flatnonzero(longest >= 0)
+    codes, at = np.unique(longest[where] << 32 | t.token[where], return_inverse=True)
     seen = np.bincount(at[t.train[where]], minlength=len(codes))
     context, symbol = codes >> 32, codes & 0xFFFFFFFF
     newest = of[0][context]
@@ -183,13 +186,9 @@ def entries_of(t: Tokens, number: np.ndarray, count: np.ndarray, pairs: Pairs, f
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    out, start = [], 0
-    for some in (one, two, three):
-        entry = np.full(n, -1, np.int64)
-        entry[some] = rank[at[start : start + len(some)]]
-        start += len(some)
-        out.append(entry)
-    return Entries(context[order], symbol[order], seen[order], of, np.searchsorted(bucket[order], np.arange(2 * buckets + 1)), out)
+    entry = np.full(n, -1, np.int64)
+    entry[where] = rank[at]
+    return Entries(context[order], symbol[order], seen[order], of, np.searchsorted(bucket[order], np.arange(2 * buckets + 1)), entry)
 
 
 def entry_messages(e: Entries, number: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
@@ -213,17 +212,29 @@ class Branches:
         parts = [(sums_in(p[0], f[3]), *p[1:]) for p, f in zip(parts, found, strict=True)]
         symbol, count, seen = (np.concatenate(c) for c in zip(*parts, strict=True))
         self.lengths = [len(p[0]) for p in parts]
-        full = context_hash(newest, middle, oldest)
-        self.hashes, first, at = np.unique(full, return_index=True, return_inverse=True)
-        newest, middle, oldest = newest[first], middle[first], oldest[first]
+        # the contexts that were sent and their suffixes
+        sent = context_hash(newest, middle, oldest)
+        zero = np.zeros(len(newest), np.int64)
+        every = np.concatenate([sent, context_hash(newest, middle), context_hash(newest)])
+        self.hashes, first = np.unique(every, return_index=True)
+        newest, middle, oldest = (np.concatenate(x)[first] for x in ((newest, newest, newest), (middle, middle, zero), (oldest, zero, zero)))
         self.depth = (middle > 0).astype(np.int64) + (oldest > 0)
         self.ups = [context_hash(newest), context_hash(newest, middle)]  # suffixes of one and two words
         self.parent = np.where(self.depth > 0, np.searchsorted(self.hashes, np.where(self.depth == 2, self.ups[1], self.ups[0])), -1)
         symbols, place = np.unique(symbol, return_inverse=True)
-        self.codes, self.at = np.unique(np.repeat(at, sizes) << 32 | place, return_inverse=True)
+        own = np.repeat(np.searchsorted(self.hashes, sent), sizes) << 32 | place
+        levels = [np.unique(own)]
+        for _ in range(2):  # the same symbols behind the suffixes
+            longer = levels[-1][self.depth[levels[-1] >> 32] > 0]
+            levels.append(np.unique(self.parent[longer >> 32] << 32 | longer & 0xFFFFFFFF))
+        self.codes = np.unique(np.concatenate(levels))
+        self.at = np.searchsorted(self.codes, own)
         n = len(self.hashes)
         self.context, self.symbol = self.codes >> 32, self.codes & 0xFFFFFFFF
         self.seen = np.bincount(self.at, weights=seen, minlength=len(self.codes))
+        for depth in (2, 1):
+            longer = np.flatnonzero(self.depth[self.context] == depth)
+            self.seen += np.bincount(self.above(longer), weights=self.seen[longer], minlength=len(self.codes))
         counts = np.zeros(len(symbols))
         counts[place] = count
         self.base = (counts + 0.5) / (root[0] + 0.5 * (root[1] + 1))
@@ -234,14 +245,18 @@ class Branches:
             self.kinds[row], self.totals[row] = sums.column("kinds").to_numpy(), sums.column("total").to_numpy()
         self.candidate = self.totals >= least
 
+    def above(self, some: np.ndarray) -> np.ndarray:
+        """The entries of the same symbols with the context's parent."""
+        return np.searchsorted(self.codes, self.parent[self.context[some]] << 32 | self.symbol[some])
+
     def solve(self) -> None:
         """``chance`` of each entry, and each context's ``gain`` from the entries here."""
         chance, under = np.zeros(len(self.codes)), self.base[self.symbol]
         for depth in range(3):
             here = np.flatnonzero(self.depth[self.context] == depth)
             c = self.context[here]
-            if depth:  # wherever a context precedes a symbol its suffixes do
-                under[here] = chance[np.searchsorted(self.codes, self.parent[c] << 32 | self.symbol[here])]
+            if depth:
+                under[here] = chance[self.above(here)]
             k, t = self.kinds[c], self.totals[c]
             chance[here] = np.where(t > 0, (self.seen[here] + k * under[here]) / np.maximum(t + k, 1), under[here])
         own = np.flatnonzero((self.seen > 0) & self.candidate[self.context])
@@ -256,8 +271,12 @@ class Branches:
         return out
 
     def answers(self, retained: np.ndarray) -> list[bytes]:
-        """For each block the chances of its entries, none for contexts that are no states."""
-        chance = np.where(retained[self.context], self.chance, np.nan).astype(np.float32)[self.at]
+        """For each block its entries' chances under their longest suffix that is a state, none where no suffix is one."""
+        best = np.where(retained[self.context], self.chance, np.nan)
+        for depth in (1, 2):
+            rest = np.flatnonzero((self.depth[self.context] == depth) & ~retained[self.context])
+            best[rest] = best[self.above(rest)]
+        chance = best.astype(np.float32)[self.at]
         ends = np.cumsum([0, *self.lengths])
         return [pack(chance[a:b].view(np.uint32)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -439,10 +458,8 @@ def score_documents(docs: DataFrame, least_count: int = LEAST_COUNT, least_gain:
         t, _, count, e = block_entries(mine, data[:n_pairs])
         chance = np.concatenate([*(columns_of(x)[0].astype(np.uint32).view(np.float32) for x in data[n_pairs:]), np.full(1, np.nan, np.float32)]).astype(np.float64)
         base = np.log10((count + 0.5) / (root[0] + 0.5 * (root[1] + 1)))[t.token]
-        best = base.copy()
-        for entry in e.at:
-            p = chance[entry]  # the last stands for no entry
-            best = np.where(np.isnan(p), best, np.log10(p))
+        p = chance[e.at]  # the last stands for no entry
+        best = np.where(np.isnan(p), base, np.log10(p))
         total = lambda x: np.add.reduceat(x, t.offsets[:-1])  # noqa: E731  every document has its end token
         columns = [
             pa.array(t.ids, pa.int64()), pa.array([held_out(i) for i in t.ids]), pa.array(np.diff(t.offsets)),
