@@ -199,7 +199,8 @@ def entry_messages(e: Entries, number: np.ndarray, count: np.ndarray) -> Iterato
         context, symbol = e.context[part], e.symbol[part]
         starts = np.flatnonzero(np.diff(context, prepend=-1))
         sizes = np.diff(np.append(starts, len(context)))
-        yield int(b), pack(*(names[w[context[starts]]] for w in e.words), sizes), pack(steps_in(number[symbol], starts), count[symbol], e.seen[part])
+        symbols = np.flatnonzero(np.bincount(symbol))  # numbers ascend with places
+        yield int(b), pack(*(names[w[context[starts]]] for w in e.words), sizes), pack(steps_in(number[symbol], starts), e.seen[part], np.diff(number[symbols], prepend=0), count[symbols])
 
 
 class Branches:
@@ -209,8 +210,8 @@ class Branches:
         found = [columns_of(x) for x in contexts]
         newest, middle, oldest, sizes = (np.concatenate(c) for c in zip(*found, strict=True))
         parts = [columns_of(x) for x in entries]
-        parts = [(sums_in(p[0], f[3]), *p[1:]) for p, f in zip(parts, found, strict=True)]
-        symbol, count, seen = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts = [(sums_in(p[0], f[3]), p[1], np.cumsum(p[2]), p[3]) for p, f in zip(parts, found, strict=True)]
+        symbol, seen, named, count = (np.concatenate(c) for c in zip(*parts, strict=True))
         self.lengths = [len(p[0]) for p in parts]
         # the contexts that were sent and their suffixes
         sent = context_hash(newest, middle, oldest)
@@ -221,23 +222,26 @@ class Branches:
         self.depth = (middle > 0).astype(np.int64) + (oldest > 0)
         self.ups = [context_hash(newest), context_hash(newest, middle)]  # suffixes of one and two words
         self.parent = np.where(self.depth > 0, np.searchsorted(self.hashes, np.where(self.depth == 2, self.ups[1], self.ups[0])), -1)
-        symbols, place = np.unique(symbol, return_inverse=True)
-        own = np.repeat(np.searchsorted(self.hashes, sent), sizes) << 32 | place
-        levels = [np.unique(own)]
-        for _ in range(2):  # the same symbols behind the suffixes
-            longer = levels[-1][self.depth[levels[-1] >> 32] > 0]
-            levels.append(np.unique(self.parent[longer >> 32] << 32 | longer & 0xFFFFFFFF))
-        self.codes = np.unique(np.concatenate(levels))
-        self.at = np.searchsorted(self.codes, own)
+        symbols, first = np.unique(named, return_index=True)
+        place = np.searchsorted(symbols, symbol)
+        own, at = np.unique(np.repeat(np.searchsorted(self.hashes, sent), sizes) << 32 | place, return_inverse=True)
+        depth = self.depth[own >> 32]
+        level = own[depth == 2]
+        levels = [level]
+        for d in (1, 0):  # the same symbols behind the suffixes
+            level = np.unique(np.concatenate([own[depth == d], self.parent[level >> 32] << 32 | level & 0xFFFFFFFF]))
+            levels.append(level)
+        self.codes = np.sort(np.concatenate(levels))
+        self.at = np.searchsorted(self.codes, own)[at]
         n = len(self.hashes)
         self.context, self.symbol = self.codes >> 32, self.codes & 0xFFFFFFFF
+        # the entry of the same symbol with the context's parent
+        self.up = np.searchsorted(self.codes, self.parent[self.context] << 32 | self.symbol)
         self.seen = np.bincount(self.at, weights=seen, minlength=len(self.codes))
-        for depth in (2, 1):
-            longer = np.flatnonzero(self.depth[self.context] == depth)
-            self.seen += np.bincount(self.above(longer), weights=self.seen[longer], minlength=len(self.codes))
-        counts = np.zeros(len(symbols))
-        counts[place] = count
-        self.base = (counts + 0.5) / (root[0] + 0.5 * (root[1] + 1))
+        for d in (2, 1):
+            longer = np.flatnonzero(self.depth[self.context] == d)
+            self.seen += np.bincount(self.up[longer], weights=self.seen[longer], minlength=len(self.codes))
+        self.base = (count[first] + 0.5) / (root[0] + 0.5 * (root[1] + 1))
         self.kinds = np.bincount(self.context[self.seen > 0], minlength=n).astype(float)
         self.totals = np.bincount(self.context, weights=self.seen, minlength=n).astype(float)
         if sums is not None:
@@ -245,10 +249,6 @@ class Branches:
             self.kinds[row], self.totals[row] = sums.column("kinds").to_numpy(), sums.column("total").to_numpy()
         self.candidate = self.totals >= least
 
-    def above(self, some: np.ndarray) -> np.ndarray:
-        """The entries of the same symbols with the context's parent."""
-        return np.searchsorted(self.codes, self.parent[self.context[some]] << 32 | self.symbol[some])
-
     def solve(self) -> None:
         """``chance`` of each entry, and each context's ``gain`` from the entries here."""
         chance, under = np.zeros(len(self.codes)), self.base[self.symbol]
@@ -256,7 +256,7 @@ class Branches:
             here = np.flatnonzero(self.depth[self.context] == depth)
             c = self.context[here]
             if depth:
-                under[here] = chance[self.above(here)]
+                under[here] = chance[self.up[here]]
             k, t = self.kinds[c], self.totals[c]
             chance[here] = np.where(t > 0, (self.seen[here] + k * under[here]) / np.maximum(t + k, 1), under[here])
         own = np.flatnonzero((self.seen > 0) & self.candidate[self.context])
@@ -275,7 +275,7 @@ class Branches:
         best = np.where(retained[self.context], self.chance, np.nan)
         for depth in (1, 2):
             rest = np.flatnonzero((self.depth[self.context] == depth) & ~retained[self.context])
-            best[rest] = best[self.above(rest)]
+            best[rest] = best[self.up[rest]]
         chance = best.astype(np.float32)[self.at]
         ends = np.cumsum([0, *self.lengths])
         return [pack(chance[a:b].view(np.uint32)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
