@@ -39,7 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, batches, columns_of, cut, mix, pack, partitions, text_bytes
+from millrace.sources.checkpoints import remove
+
+from .common import WordHasher, batches, columns_of, cut, mix, pack, partitions, shared_dir, text_bytes
 from .pieces import packed, unpacked
 from .substrings import bucket_cuts
 
@@ -419,10 +421,13 @@ def score_documents(docs: DataFrame, least_count: int = LEAST_COUNT, least_gain:
 
     # entries are dealt out once and never written but for the words over several buckets:
     # their contexts' sums, then their gains, are added up by context
-    dealt = cut(asked.groupBy("bucket").applyInArrow(tell_whole, f"{ASKED}, data binary"))
-    del asked
+    path = shared_dir(spark)
+    dealt = asked.groupBy("bucket").applyInArrow(tell_whole, f"{ASKED}, data binary")
+    dealt.withColumn("kind", F.when(F.col("data").isNull(), "shared").otherwise("whole")).write.partitionBy("kind").parquet(path)
+    del asked, dealt
     release(spark)
-    whole, shared = dealt.where("data is not null").select("block", "bucket", "data"), dealt.where("data is null").drop("data")
+    dealt = spark.read.schema(f"{ASKED}, data binary, kind string").parquet(path)
+    whole, shared = dealt.where("kind = 'whole'").select("block", "bucket", "data"), dealt.where("kind = 'shared'").drop("data", "kind")
 
     def sum_contexts(key: tuple, table: pa.Table) -> pa.Table:
         b = branches(table)
@@ -450,6 +455,7 @@ def score_documents(docs: DataFrame, least_count: int = LEAST_COUNT, least_gain:
         return told(table.column("block"), key[0].as_py(), b.answers(retained))
 
     over_several = cut(shared.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(tell_shared, TOLD))
+    remove(spark, f"{path}/kind=shared")
     del here, gained, states, sums
     release(spark)
 
