@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from millrace.plans import catalogue, more  # noqa: F401
+from millrace.plans import administered, catalogue, further, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
