@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import claims, readiness, targets
+from millrace.operators import cdc, claims, readiness, runs, scan, targets
 from millrace.plans import catalogue as c
 from millrace.plans import derived as d
 from millrace.plans.catalogue import query
@@ -238,3 +238,145 @@ def q_foreign_keys(s: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_size") % 3
     constraints = table(s, sf, "part").select(F.col("p_partkey").alias("constraint_id"), F.expr("p_partkey div 2").alias("table_id"), F.when(k == 0, "P").when(k == 1, "U").otherwise("R").alias("kind"), F.when(k == 2, F.expr("p_partkey div 4")).alias("refers_to"))
     return targets.foreign_keys(constraints)
+
+
+# --- scans -------------------------------------------------------------------
+
+SCAN = """tabs AS (SELECT p_partkey AS table_id, upper(p_brand) AS owner, 'T' || p_partkey AS name, CASE p_size % 5 WHEN 0 THEN 'IOT' WHEN 1 THEN 'IOT_OVERFLOW' END AS iot_type, p_size = 7 AS nested, CASE WHEN p_size % 11 <> 0 THEN p_size % 11 = 1 END AS dropped, p_type = 'ECONOMY' AS temporary FROM part)"""
+OFFERED = "NOT nested AND NOT coalesce(dropped, false) AND NOT temporary AND (iot_type IS NULL OR iot_type = 'IOT')"
+
+
+def scan_tables(s: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_size")
+    return table(s, sf, "part").select(
+        F.col("p_partkey").alias("table_id"), F.upper("p_brand").alias("owner"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("name"), F.when(k % 5 == 0, "IOT").when(k % 5 == 1, "IOT_OVERFLOW").alias("iot_type"),
+        (k == 7).alias("nested"), F.when(k % 11 != 0, k % 11 == 1).alias("dropped"), (F.col("p_type") == "ECONOMY").alias("temporary"),
+    )
+
+
+@query(f"WITH {SCAN} SELECT owner, name FROM tabs WHERE {OFFERED} AND owner = 'BRAND#2'")
+def q_offered_tables(s: SparkSession, sf: str) -> DataFrame:
+    """Tables of one owner that can be copied."""
+    return scan.offered_tables(scan_tables(s, sf), "brand#2").select("owner", "name")
+
+
+@query(f"""WITH {SCAN}, w AS (SELECT DISTINCT upper(p_brand) AS owner, 'T' || l_partkey AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48),
+c AS (SELECT l_partkey AS table_id, string_agg(l_linenumber || ' ' || l_returnflag || ' ' || l_linestatus, ', ' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS listed, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT owner, name, CAST(coalesce(n, 0) AS INTEGER) AS n_columns, coalesce(listed, '') AS listed FROM tabs LEFT JOIN c USING (table_id) WHERE {OFFERED} AND (owner, name) IN (SELECT (owner, name) FROM w)""")
+def q_targeted_scan(s: SparkSession, sf: str) -> DataFrame:
+    """A scan of the tables asked for, with their columns."""
+    tables = scan_tables(s, sf)
+    line = table(s, sf, "lineitem").select(F.col("l_partkey").alias("table_id"), F.col("l_linenumber").cast("long").alias("position"), F.col("l_returnflag").alias("column"), F.col("l_linestatus").alias("source_type"), "l_quantity")
+    placed = line.join(tables.select("table_id", "owner", "name"), "table_id")
+    wanted = placed.where("l_quantity > 48").select(F.lower("owner").alias("owner"), F.lower("name").alias("name"))
+    found = scan.with_columns(scan.offered_tables(tables, wanted=wanted), placed.select("owner", "name", "position", "column", "source_type"))
+    text = F.array_join(F.transform("columns", lambda x: F.concat_ws(" ", x["position"].cast("string"), x["column"], x["source_type"])), ", ")
+    return found.select("owner", "name", F.size("columns").alias("n_columns"), text.alias("listed"))
+
+
+@query(f"""WITH {d.COLUMNS}, con AS (SELECT DISTINCT table_id, table_id * 10 AS constraint_id, table_id % 7 <> 0 AS enforced FROM cols WHERE table_id % 5 <> 0),
+kc AS (SELECT DISTINCT table_id * 10 AS constraint_id, position, name FROM cols WHERE scale = 1 OR position = 1), x AS (SELECT table_id, name, min(source_type) AS source_type FROM cols WHERE position <> 6 GROUP BY 1, 2),
+p AS (SELECT con.table_id, enforced, kc.position, kc.name, source_type FROM con JOIN kc USING (constraint_id) JOIN x ON x.table_id = con.table_id AND x.name = kc.name),
+g AS (SELECT table_id, bool_and(enforced) AS enforced, count(*) AS n, string_agg(name, ',' ORDER BY position, name) AS key, min(name) AS one, min(source_type) AS kind, bool_and(source_type IN ('NUMBER', 'VARCHAR2', 'CHAR', 'DATE', 'RAW')) AS readable FROM p GROUP BY 1)
+SELECT t.table_id, key, CASE WHEN n = 1 AND kind IN ('NUMBER', 'FLOAT', 'BINARY_FLOAT', 'BINARY_DOUBLE') THEN one END AS split_by, CASE WHEN g.table_id IS NULL THEN 'no primary key' WHEN NOT enforced THEN 'the key is not enforced' WHEN NOT readable THEN 'a key column cannot be read from the history' END AS problem
+FROM (SELECT DISTINCT table_id FROM cols) t LEFT JOIN g USING (table_id)""")
+def q_enforced_keys(s: SparkSession, sf: str) -> DataFrame:
+    """Primary keys from constraints, their columns and the tables' columns."""
+    cols = d.columns(s, sf)
+    constraints = cols.where("table_id % 5 <> 0").select("table_id", (F.col("table_id") * 10).alias("constraint_id"), F.lit("P").alias("kind"), (F.col("table_id") % 7 != 0).alias("enabled"), F.lit(True).alias("validated")).distinct()
+    parts = cols.where("scale = 1 or position = 1").select((F.col("table_id") * 10).alias("constraint_id"), "position", F.col("name").alias("column")).distinct()
+    seen = cols.where("position <> 6").groupBy("table_id", F.col("name").alias("column")).agg(F.min("source_type").alias("source_type"))
+    return scan.enforced_keys(cols, constraints, parts, seen)
+
+
+@query("""WITH l AS (SELECT event_id // 20 AS group_id, user_id % 4 AS thread, event_id // 20 AS sequence, event_id // 20 * 20 AS first_scn, event_id // 20 * 20 + 20 AS next_scn, CASE WHEN event_id // 20 = 3 THEN 'CURRENT' ELSE 'ACTIVE' END AS status FROM events),
+f AS (SELECT event_id // 20 AS group_id, min('log' || event_id) AS member FROM events WHERE event_type <> 'error' GROUP BY 1), w AS (SELECT 900 AS low, (SELECT max(event_id) - 500 FROM events) AS high)
+SELECT thread, sequence, first_scn, next_scn, min(member) AS member FROM l JOIN f USING (group_id), w WHERE first_scn <= high AND (next_scn > low OR status = 'CURRENT') GROUP BY 1, 2, 3, 4""")
+def q_online_logs(s: SparkSession, sf: str) -> DataFrame:
+    """Online logs that hold a stretch of positions, each with its first member."""
+    events, n = table(s, sf, "events"), F.expr("event_id div 20")
+    logs = events.select(n.alias("group_id"), (F.col("user_id") % 4).alias("thread"), n.alias("sequence"), (n * 20).alias("first_scn"), (n * 20 + 20).alias("next_scn"), F.when(n == 3, "CURRENT").otherwise("ACTIVE").alias("status"))
+    files = events.select(n.alias("group_id"), F.when(F.col("event_type") == "error", "STANDBY").otherwise("ONLINE").alias("kind"), F.concat(F.lit("log"), F.col("event_id").cast("string")).alias("member"))
+    return scan.online_logs(logs, files, F.lit(900), F.lit(events.agg(F.max("event_id")).first()[0] - 500))
+
+
+@query("""WITH t AS (SELECT o_custkey AS table_id, max(o_orderkey) AS from_scn FROM orders GROUP BY 1), pl AS (SELECT DISTINCT o_custkey AS table_id, o_orderkey % 300 AS space FROM orders),
+m AS (SELECT l_suppkey % 300 AS space, max(CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS mark FROM lineitem GROUP BY 1), u AS (SELECT table_id, max(mark) AS marked_at FROM pl JOIN m USING (space) GROUP BY 1),
+n AS (SELECT o_custkey, max(o_orderkey) AS data_id FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1)
+SELECT table_id, CASE WHEN n.o_custkey IS NULL THEN 'dropped' WHEN n.data_id <> from_scn THEN 'truncated or moved' WHEN marked_at > from_scn THEN 'written without logging' END AS stopped FROM t LEFT JOIN n ON n.o_custkey = table_id LEFT JOIN u USING (table_id)""")
+def q_stopped_tables(s: SparkSession, sf: str) -> DataFrame:
+    """Tables that stop before their log is read: objects that drifted, or writes without logging."""
+    orders = table(s, sf, "orders").select(F.col("o_custkey").alias("table_id"), "o_orderkey")
+    tables = orders.groupBy("table_id").agg(F.max("o_orderkey").alias("from_scn"))
+    places = orders.select("table_id", (F.col("o_orderkey") % 300).alias("space"))
+    files = table(s, sf, "lineitem").select((F.col("l_suppkey") % 300).alias("space"), F.when(F.col("l_returnflag") == "R", F.col("l_orderkey")).alias("unlogged_scn"))
+    now = orders.where("o_orderkey % 3 <> 0").groupBy(F.col("table_id").alias("object_id")).agg(F.max("o_orderkey").alias("data_id"))
+    drift = cdc.object_drift(tables.select(F.col("table_id").alias("object_id"), F.col("from_scn").alias("data_id")), now).withColumnRenamed("object_id", "table_id")
+    return scan.stops(tables, drift, scan.unlogged_writes(tables, places, files))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN coalesce(CAST(CASE WHEN event_id % 5 <> 0 THEN user_id END AS VARCHAR), 'null') || '/' || event_type END AS key FROM events""")
+def q_present_keys(s: SparkSession, sf: str) -> DataFrame:
+    """Keys of records that hold all key columns, nulls among them; the other records have none."""
+    k = F.col("event_id")
+    full = F.to_json(F.struct(F.when(k % 5 != 0, F.col("user_id")).alias("user_id"), "event_type", "value"), {"ignoreNullFields": "false"})
+    image = F.when(k % 3 != 0, full).otherwise(F.to_json(F.struct("event_type", "value")))
+    key = scan.present_key(["user_id", "event_type"], image)
+    return table(s, sf, "events").select("event_id", F.when(key.isNotNull(), F.array_join(key, "/", "null")).alias("key"))
+
+
+# --- runs --------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT o_custkey AS run_id, 'S' || o_custkey % 12 AS schema, o_custkey % 17 <> 0 AS can_read, CASE WHEN o_custkey % 19 <> 0 THEN 12 + o_custkey % 6 END AS version FROM (SELECT DISTINCT o_custkey FROM orders)),
+sc AS (SELECT 'S' || n_nationkey AS schema, n_nationkey <> 5 AS can_use, n_nationkey % 2 = 0 AS can_create FROM nation WHERE n_nationkey <> 9), w AS (SELECT DISTINCT o_custkey AS run_id, 'p' || o_orderkey % 500 AS name FROM orders), e AS (SELECT DISTINCT 'S' || p_partkey % 12 AS schema, 'p' || p_partkey AS name FROM part),
+m AS (SELECT run_id, name FROM w JOIN r USING (run_id) ANTI JOIN e USING (schema, name)), x AS (SELECT run_id, count(*) AS missing, list(name ORDER BY name) AS names FROM m GROUP BY 1),
+j AS (SELECT run_id, can_read, version, coalesce(can_use, false) AS u, coalesce(can_create, false) AS c, coalesce(missing, 0) AS missing, names FROM r LEFT JOIN sc USING (schema) LEFT JOIN x USING (run_id)),
+f AS (SELECT run_id, missing, c, concat_ws('; ', CASE WHEN NOT can_read THEN 'the source cannot be read' END, CASE WHEN NOT coalesce(version >= 14, false) THEN 'the destination is older than 14' END, CASE WHEN NOT u THEN 'the schema cannot be used' END,
+ CASE WHEN NOT c AND missing > 0 THEN 'tables must be made: ' || array_to_string(names[1:10], ', ') || CASE WHEN missing > 10 THEN ', ...' ELSE '' END END) AS failed FROM j)
+SELECT run_id, failed = '' AS passed, failed, missing, CASE WHEN NOT c AND missing = 0 THEN 'no tables can be made here, and none need to be' END AS warning FROM f""")
+def q_run_preflight(s: SparkSession, sf: str) -> DataFrame:
+    """What stops a run before it starts; tables need only be made where some are missing."""
+    k, orders = F.col("o_custkey"), table(s, sf, "orders")
+    named = lambda n: F.concat(F.lit("S"), n.cast("string"))
+    made = orders.select(k).distinct().select(k.alias("run_id"), named(k % 12).alias("schema"), (k % 17 != 0).alias("can_read"), F.when(k % 19 != 0, k % 6 + 12).alias("version"))
+    n = F.col("n_nationkey")
+    schemas = table(s, sf, "nation").where(n != 9).select(named(n).alias("schema"), (n != 5).alias("can_use"), (n % 2 == 0).alias("can_create"))
+    wanted = orders.select(k.alias("run_id"), F.concat(F.lit("p"), (F.col("o_orderkey") % 500).cast("string")).alias("name"))
+    existing = table(s, sf, "part").select(named(F.col("p_partkey") % 12).alias("schema"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"))
+    return runs.preflight(made, schemas, wanted, existing)
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice) AS BIGINT) AS rows, CAST(round(l_extendedprice) AS BIGINT) * l_suppkey AS bytes, l_partkey * 7 % 5000 AS e, CASE WHEN l_partkey % 9 <> 0 THEN l_partkey * 7 % 5000 // 3 END AS a, l_partkey * 7 % 5000 // 4 AS z FROM lineitem)
+SELECT l_orderkey, rows * 1000.0::DOUBLE / greatest(e, 1) AS rows_per_s, bytes * 1000.0::DOUBLE / 1048576 / greatest(e, 1) AS mb_per_s, CAST(floor(coalesce(a, 0) * 100.0::DOUBLE / greatest(e, 1) + 0.5) AS INTEGER) AS source_share, CAST(floor(z * 100.0::DOUBLE / greatest(e, 1) + 0.5) AS INTEGER) AS target_share FROM b""")
+def q_batch_rates(s: SparkSession, sf: str) -> DataFrame:
+    """Speed of each batch and its shares of waiting."""
+    took, rows = F.expr("l_partkey * 7 % 5000"), F.round("l_extendedprice").cast("long")
+    batches = table(s, sf, "lineitem").select(
+        "l_orderkey", rows.alias("rows"), (rows * F.col("l_suppkey")).alias("bytes"), took.alias("elapsed_ms"), F.when(F.col("l_partkey") % 9 != 0, F.expr("(l_partkey * 7 % 5000) div 3")).alias("source_ms"), F.expr("(l_partkey * 7 % 5000) div 4").alias("target_ms")
+    )
+    return runs.batch_rates(batches).select("l_orderkey", "rows_per_s", "mb_per_s", "source_share", "target_share")
+
+
+@query("SELECT o_orderkey AS job_id, o_orderstatus AS status, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def q_last_run(s: SparkSession, sf: str) -> DataFrame:
+    """The run made last."""
+    return runs.last_run(table(s, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at")))
+
+
+@query("""WITH t AS (SELECT c_custkey AS table_id, c_custkey * 5 AS start_scn, 'ready' AS state FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT o_custkey AS table_id, max(o_orderkey) AS start_scn FROM orders WHERE o_custkey % 4 <> 1 GROUP BY 1),
+n AS (SELECT table_id, start_scn, CASE WHEN start_scn % 5 = 0 THEN 'no key' END AS reason FROM f)
+SELECT coalesce(t.table_id, n.table_id) AS table_id, CASE WHEN n.table_id IS NOT NULL AND reason IS NULL THEN n.start_scn ELSE t.start_scn END AS start_scn, CASE WHEN n.table_id IS NULL THEN t.state ELSE coalesce(reason, 'needs_first_sync') END AS state,
+ CASE WHEN n.table_id IS NULL THEN 'kept' WHEN reason IS NOT NULL THEN 'refused' WHEN t.table_id IS NULL THEN 'added' ELSE 'restarted' END AS action FROM t FULL JOIN n ON n.table_id = t.table_id""")
+def q_registered_trackers(s: SparkSession, sf: str) -> DataFrame:
+    """Trackers after bulk copies: added, restarted, refused or kept."""
+    held = table(s, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("table_id"), (F.col("c_custkey") * 5).alias("start_scn"), F.lit("ready").alias("state"))
+    fresh = table(s, sf, "orders").where("o_custkey % 4 <> 1").select(F.col("o_custkey").alias("table_id"), F.col("o_orderkey").alias("start_scn"), F.when(F.col("o_orderkey") % 5 == 0, "no key").alias("reason"))
+    return runs.registered(held, fresh, ["table_id"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS balance FROM customer ORDER BY balance ASC NULLS LAST, c_custkey")
+def q_sort_ascending(s: SparkSession, sf: str) -> DataFrame:
+    """Rows by a figure, smallest first, unknown ones last."""
+    df = table(s, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("balance"))
+    return runs.sorted_known_first(df, "balance", False, "c_custkey")
