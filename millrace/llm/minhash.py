@@ -232,13 +232,18 @@ def prefixes(n: int, n_hub: int, d: int, similarity: float) -> tuple[int, int]:
     return by, max(0, d - for_any + 1)
 
 
+#: Pairs of a hub that share one copy of its text, about.
+STAR_ROWS = 64
 COMPARED = "star long, hub binary, key binary, linked boolean, n int, n_hub int, d int, n_by int, n_for int, elements array<long>"
 
 
 def compared(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``star``, ``hub``, ``key`` with ``linked``: is their weighted Jaccard similarity of shingles ``similarity`` or more?
 
-    Pairs of a star have the first elements of their difference too.
+    Pairs of a star have the first elements of their difference too. A star is cut
+    into parts of about ``STAR_ROWS`` pairs; each text goes to its star's part by itself
+    and meets one copy of the hub's text there, so neither a star of very many
+    texts nor a text of very many stars is one task's, and no row moves with two texts.
     """
     wanted = pairs.select(F.explode(F.array("hub", "key")).alias("key")).distinct()
     texts = docs.join(wanted, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
@@ -250,9 +255,9 @@ def compared(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
             out = []
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch.column(3)), text_bytes(batch.column(4)), strict=True)
             for hub, key, star, x, y in rows:
-                if last[0] != key:
-                    last = (key, shingles(y, hasher))
-                own, other = last[1], shingles(x, hasher)
+                if last[0] != hub:  # a hub's rows follow each other
+                    last = (hub, shingles(x, hasher))
+                own, other = shingles(y, hasher), last[1]
                 linked = weighted_jaccard(own, other) >= similarity
                 if star is not None:
                     diff, n, n_hub = difference(own, other), int(own[1].sum()), int(other[1].sum())
@@ -265,8 +270,11 @@ def compared(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
             types = [pa.int64(), pa.binary(), pa.binary(), pa.bool_(), *[pa.int32()] * 5, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in COMPARED.split(", ")])
 
-    right = pairs.join(texts.select(F.col("key").alias("hub"), F.col("text").alias("text_hub")), "hub")
-    both = right.join(texts.select("key", F.col("text").alias("text_key")), "key").select("hub", "key", "star", "text_hub", "text_key")
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
+    placed = pairs.join(sizes, "hub").select("hub", "key", "star", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    own = placed.join(texts.select("key", F.col("text").alias("text_key")), "key")
+    hubs = sizes.join(texts.select(F.col("key").alias("hub"), F.col("text").alias("text_hub")), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text_hub")
+    both = own.join(hubs, ["hub", "part"]).select("hub", "key", "star", "text_hub", "text_key")
     return both.mapInArrow(verify, COMPARED)
 
 
