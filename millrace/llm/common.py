@@ -48,22 +48,10 @@ def code_points(data: bytes) -> int:
 
 
 class WordHasher:
-    """64-bit hashes of words with a bounded cache (words follow Zipf's law)."""
-
-    def __init__(self, limit: int = 300_000) -> None:
-        self.limit = limit
-        self.known: dict[bytes, int] = {}
+    """64-bit hashes of words. Nothing is kept: to look a word up costs more than to hash it, and vocabularies grow with the corpus."""
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        missing = set(words).difference(known)
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = set(words)
-            digest = xxhash.xxh3_64_intdigest
-            known.update({w: digest(w) for w in missing})
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, batches, code_points, mix, partitions, range_bounds, range_of, text_bytes
+from .common import batches, code_points, mix, partitions, range_bounds, range_of, text_bytes
 
 # Frequent function words of English, German, French and Spanish.
 ANCHORS = (
@@ -50,8 +50,12 @@ class SpotSigner:
         marks = {w.encode() for w in (ANCHORS if anchors is None else anchors)}
         self.chain, self.distance = chain, distance
 
-        class Hasher(WordHasher):
-            """Lowest bit: the word is an anchor. 0: no word is left without its punctuation."""
+        class Hasher:
+            """With a bounded cache. Lowest bit: the word is an anchor. 0: no word is left without its punctuation."""
+
+            def __init__(self, limit: int = 300_000) -> None:
+                self.limit = limit
+                self.known: dict[bytes, int] = {}
 
             def __call__(self, words: list[bytes]) -> np.ndarray:
                 known = self.known

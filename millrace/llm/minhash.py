@@ -18,8 +18,9 @@ links of the others. A text is then seen through its difference from the hub,
 the shingles that one of the two has and the other has not. Two texts of which
 one is not linked to the hub can only be linked if their differences overlap by
 a number that follows from their sizes, so they share one of the differences'
-first elements in a common order (shingles that the hub has not come first), and
-the places of that element bound the overlap. Texts that share such an element
+first elements in a common order (those of the fewest texts of the star come
+first, so what a text has alone brings nobody together), and the places of that
+element bound the overlap. Texts that share such an element
 and pass that bound are the further candidates; this loses no link. Where very
 many share one, they are a star of their own, with a hub of their own, and the
 step is done again; its texts agree on one more element each time, so it ends.
@@ -75,7 +76,9 @@ def shingles(text: bytes, hasher: WordHasher, size: int = SHINGLE) -> tuple[np.n
     words = hasher(text.lower().split())
     if not len(words):
         return words, np.zeros(0, np.int64)
-    return np.unique(grams(words, min(size, len(words))), return_counts=True)
+    found = np.sort(grams(words, min(size, len(words))))
+    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return found[starts], np.diff(np.append(starts, len(found)))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -111,7 +114,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
     while todo.any():
         here = todo[parts[0]]
         doc, seed, begin, width, weight = (p[here] for p in parts)
-        late = horizon[doc]
+        late = horizon
         time = np.zeros(len(doc))
         flat = out.reshape(-1)
         step = 0
@@ -119,14 +122,15 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
             step += 1
             r = mix(seed + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
             time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / width
-            on = time <= late
+            on = time <= late[doc]
             if not on.all():
-                doc, seed, begin, width, weight, late, time, r = doc[on], seed[on], begin[on], width[on], weight[on], late[on], time[on], r[on]
+                doc, seed, begin, width, weight, time, r = doc[on], seed[on], begin[on], width[on], weight[on], time[on], r[on]
             r = mix(r ^ GOLDEN)
             register = (r % np.uint64(registers)).astype(np.int64)
             place = begin + (r >> np.uint64(11)).astype(np.float64) * 2.0**-53 * width
             seen = place < weight
             np.minimum.at(flat, (doc * registers + register)[seen], time[seen])
+            late = np.minimum(horizon, out.max(axis=1))  # no later point can be a register's first
         todo = np.isinf(out).any(axis=1)
         horizon[todo] *= 2
     return out
@@ -240,7 +244,7 @@ COMPARED = "star long, hub binary, key binary, linked boolean, n int, n_hub int,
 def compared(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``star``, ``hub``, ``key`` with ``linked``: is their weighted Jaccard similarity of shingles ``similarity`` or more?
 
-    Pairs of a star have the first elements of their difference too. A star is cut
+    Pairs of a star have the elements of their difference too, if any of them is looked up. A star is cut
     into parts of about ``STAR_ROWS`` pairs; each text goes to its star's part by itself
     and meets one copy of the hub's text there, so neither a star of very many
     texts nor a text of very many stars is one task's, and no row moves with two texts.
@@ -263,7 +267,7 @@ def compared(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
                     diff, n, n_hub = difference(own, other), int(own[1].sum()), int(other[1].sum())
                     n_by, n_for = prefixes(n, n_hub, len(diff), similarity)
                     n_by = 0 if linked else n_by
-                    out.append((star, hub, key, linked, n, n_hub, len(diff), n_by, n_for, diff[: max(n_by, n_for)].view(np.int64)))
+                    out.append((star, hub, key, linked, n, n_hub, len(diff), n_by, n_for, diff[: len(diff) if max(n_by, n_for) else 0].view(np.int64)))
                 elif linked:
                     out.append((None, hub, key, True, None, None, None, None, None, None))
             columns = list(zip(*out, strict=True)) or [()] * 10
@@ -278,10 +282,25 @@ def compared(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(verify, COMPARED)
 
 
+def placed_elements(seen: DataFrame) -> DataFrame:
+    """The first elements of each difference with their places ``at``: ``star``, ``key``, ``n``, ``d``, ``n_by``, ``n_for``, ``element``, ``at``.
+
+    A star's elements stand in the order of how many of its texts have them, then
+    of their hashes. Those of one text alone take the first places and get no row.
+    """
+    each = seen.where("size(elements) > 0").select("star", "key", "n", "d", "n_by", "n_for", F.explode("elements").alias("element"))
+    held = each.groupBy("star", "element").agg(F.count("*").alias("texts")).where("texts > 1")
+    shared = each.join(held, ["star", "element"])
+    text = Window.partitionBy("star", "key")
+    alone = F.col("d") - F.count("*").over(text)
+    shared = shared.withColumn("at", (alone + F.row_number().over(text.orderBy("texts", "element")) - 1).cast("int"))
+    return shared.where(F.col("at") < F.greatest("n_by", "n_for")).drop("texts")
+
+
 def late(seen: DataFrame, similarity: float, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """From the compared stars: pairs that may be linked though one of them is not linked to the hub, and crowded elements' stars."""
     c = (1 - similarity) / (1 + similarity)
-    rows = cut(seen.where("size(elements) > 0").select("star", "key", "n", "d", "n_by", "n_for", F.posexplode("elements").alias("at", "element")))
+    rows = cut(placed_elements(seen))
     by, for_ = F.col("at") < F.col("n_by"), F.col("at") < F.col("n_for")
     sizes = rows.groupBy("star", "element").agg(F.count_if(by).alias("all_by"), F.count_if(for_).alias("all_for"), F.count("*").alias("all"))
     groups = rows.join(sizes.where("all_by > 0 and all_for > 0 and all > 1"), ["star", "element"])

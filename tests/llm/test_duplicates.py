@@ -105,6 +105,24 @@ def test_no_link_is_lost_beside_the_hub():
                         assert by & for_ or not len(minhash.difference(bags[i], bags[j]))
 
 
+def test_apart_texts_meet_by_rare_elements(spark):
+    """A star of near copies of which many are not linked to the hub: few pairs beside the links are compared, and no link is lost."""
+    rows = falling(500, 120, 16, 9)
+    hasher = WordHasher()
+    docs = minhash.with_key(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    keyed = {bytes(r.key): minhash.shingles(r.text.encode(), hasher) for r in docs.collect()}
+    hub = minhash.shingles(rows[0][1].encode(), hasher)
+    hub_key = next(k for k, b in keyed.items() if np.array_equal(b[0], hub[0]) and np.array_equal(b[1], hub[1]))
+    others = sorted(set(keyed) - {hub_key})
+    pairs = spark.createDataFrame([(hub_key, k, 1) for k in others], "hub binary, key binary, star long")
+    close, more = minhash.late(minhash.cut(minhash.compared(docs, pairs, 0.8)), 0.8)
+    got = {(bytes(r.hub), bytes(r.key)) for r in close.collect()}
+    apart = {k for k in others if minhash.weighted_jaccard(keyed[k], hub) < 0.8}
+    want = {(x, y) for i, x in enumerate(others) for y in others[i + 1 :] if (x in apart or y in apart) and minhash.weighted_jaccard(keyed[x], keyed[y]) >= 0.8}
+    assert len(apart) > 100 and want and want <= got and more.isEmpty()
+    assert len(got) < 4 * len(want)
+
+
 def test_banding_follows_the_similarity():
     assert minhash.banding(0.8) == (32, 4) and minhash.banding(0.5) == (64, 2) and minhash.banding(0.2) == (128, 1)
     assert all((1 - s**r) ** b < 1e-6 for s in (0.3, 0.5, 0.7, 0.8, 0.9, 0.99) for b, r in [minhash.banding(s)])
