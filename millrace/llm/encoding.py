@@ -29,7 +29,7 @@ class ChunkEncoder:
 
     SEPARATOR = "<|startoftext|>"
 
-    def __init__(self, path: str, old: int = 200_000, young: int = 150_000) -> None:
+    def __init__(self, path: str, old: int = 400_000, young: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -123,11 +123,14 @@ class ChunkEncoder:
         # normaliser would not, unless a combining mark (their UTF-8 begins with
         # CC or CD) composes with the letter or a special token is spelt out.
         lists = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()).split() for t in texts]
-        missing = set().union(*lists).difference(self.known)
+        # each word is looked up once; only those not found are gathered and looked up again
+        found = [list(map(self.known.get, words)) for words in lists]
+        missing = {w for words, ids in zip(lists, found, strict=True) for w, i in zip(words, ids, strict=True) if i is None}
         if missing:
             self._learn(missing)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in lists]
+            known = self.known
+            found = [[known[w] if i is None else i for w, i in zip(words, ids, strict=True)] for words, ids in zip(lists, found, strict=True)]
+        out = [b"".join(ids) for ids in found]
         self._forget()
         return out
 

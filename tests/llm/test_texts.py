@@ -129,6 +129,18 @@ def test_repeated_rows_count_once(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_the_encoder_keeps_the_words_of_a_large_vocabulary():
+    """Words met again after 480,000 others are not encoded anew, and their ids stay."""
+    e, learned = encoding.ChunkEncoder(encoding.vocabulary()), []
+    learn = e._learn
+    e._learn = lambda missing: (learned.append(len(missing)), learn(missing))
+    texts = [" ".join(f"w{k}q" for k in range(a, a + 4000)).encode() for a in range(0, 480_000, 4000)]
+    first = [i for t in range(0, 120, 10) for i in e.ids(texts[t : t + 10])]
+    met = sum(learned)
+    assert met >= 480_000 and [i for t in range(0, 120, 10) for i in e.ids(texts[t : t + 10])] == first
+    assert sum(learned) == met
+
+
 def test_encoder_equals_library():
     import random
 
