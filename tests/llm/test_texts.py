@@ -538,6 +538,36 @@ def test_suffix_tree_has_every_context(spark):
     assert got == pytest.approx(want, rel=1e-6)
 
 
+def test_suffix_tree_drops_the_shuffles_of_its_steps(spark, monkeypatch):
+    """When the words over several buckets have their answers, only the last step's shuffles still lie on disk."""
+    from pathlib import Path
+
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name.split("_")[1] for d in found for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    lying = []
+    removed = suffix_tree.remove
+    monkeypatch.setattr(suffix_tree, "remove", lambda spark, path: (lying.append(shuffles()), removed(spark, path)))
+    texts = [(i, " ".join(f"the w{(i * j) % 50}" for j in range(60))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    before = shuffles()
+    assert suffix_tree.score_documents(df).count() == 60
+    assert 1 <= len(lying[0] - before) <= 3
+
+
+def test_suffix_tree_contexts_come_back_from_their_steps():
+    r = np.random.default_rng(2)
+    number = np.sort(r.choice(10_000, 60, replace=False)) + 1
+    for lengths in ((9, 200, 300), (0, 7, 3), (0, 0, 5), (4, 0, 0), (2, 0, 3)):
+        words = [np.unique(r.integers(0, 60, (n, k + 1)), axis=0) for k, n in enumerate(lengths)]
+        rows = np.concatenate([np.pad(w, ((0, 0), (0, 2 - k)), constant_values=-1) for k, w in enumerate(words)])
+        *steps, n = suffix_tree.context_steps(*rows.T, number)
+        assert all((x >= 0).all() for x in steps)
+        got = np.stack(suffix_tree.contexts_in(*steps, n), 1)
+        assert (got == np.where(rows >= 0, number[rows], 0)).all()
+
+
 def test_suffix_tree_beats_its_root_on_held_out_texts(spark):
     out = suffix_tree.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     n = sum(r.n_tokens for r in out)
