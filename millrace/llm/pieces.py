@@ -19,7 +19,10 @@ model whose scores are log probabilities keeps them (``scores="model"``).
 
 Documents travel as packed blocks of a scan batch. A block asks for its distinct
 segments, bucket by bucket, and gets their ids back in the same order; no word
-list is broadcast. Only the piece table, whose size is the model's, is.
+list is broadcast. Only the piece table, whose size is the model's, is. Texts are
+read and cut once: what a block holds and what it asks lie in one shuffle, which
+every later step reads. A bucket's segments are numbered in their order and travel
+in chunks; only numbers come back from the lattice.
 
 Defined results: a null text is empty and has no pieces; U+2581 in a text is a
 space, as in the model; repeated rows are encoded each; a null ``doc_id`` is
@@ -39,6 +42,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +51,8 @@ from .common import batches, columns_of, mix, pack, partitions, ranges, text_byt
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 LONG_SEGMENT = 256
+#: Segments that travel to the lattice in one row.
+CHUNK = 512
 #: What each piece of a merge model costs beside the logarithm of its rank.
 PIECE_COST = 5.0
 #: What an uncovered character costs below the least score of a piece.
@@ -180,7 +186,7 @@ def asked(words: list[list[bytes]], pieces: Pieces, buckets: int) -> tuple[dict[
     segment = np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
     bucket = np.empty(len(known), np.int64)
     bucket[segment] = (hashes % np.uint64(buckets)).astype(np.int64)
-    by_bucket = np.argsort(bucket, kind="stable")
+    by_bucket = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
     place = np.empty(len(known), np.int64)
     place[by_bucket] = np.arange(len(known))
     names = list(known)
@@ -211,46 +217,61 @@ def unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def blocks(docs: DataFrame, path: str, scores: str, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(``block``, ``docs``, ``words``) and (``bucket``, ``block``, ``asked``), packed."""
+BLOCKS = "key long, block long, docs binary, data binary"
+
+
+def blocks(docs: DataFrame, path: str, scores: str, buckets: int) -> DataFrame:
+    """``BLOCKS``, packed: what a block asks of each bucket (``key``), and what it holds by itself, under -1 - ``block``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def read(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes], list[list[bytes]]]]:
+    def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(batches(found, rows=4096, size=5 << 20)):
             texts = text_bytes(batch.column(1))
-            yield first + k, batch, texts, [words_of(t) for t in texts]
-
-    def hold(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch, texts, words in read(found):
-            distinct, _, n_segments, segment = asked(words, pieces_of(path, scores), buckets)
+            words = [words_of(t) for t in texts]
+            distinct, lists, n_segments, segment = asked(words, pieces_of(path, scores), buckets)
             digests = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
             rows = packed(pa.table([batch.column(0), digests], ["id", "digest"]))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([rows], pa.binary()), pa.array([held_words(words, distinct, n_segments, segment)], pa.binary())], ["block", "docs", "words"])
+            used = [b for b, some in enumerate(lists) if some]
+            data = [held_words(words, distinct, n_segments, segment), *(packed(pa.table([pa.array(lists[b], pa.string())], ["s"])) for b in used)]
+            columns = [pa.array([-1 - first - k, *used], pa.int64()), pa.array([first + k] * len(data), pa.int64()), pa.array([rows] + [None] * len(used), pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "block", "docs", "data"])
+
+    return docs.mapInArrow(read, BLOCKS)
 
-    def ask(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, words in read(found):
-            lists = asked(words, pieces_of(path, scores), buckets)[1]
-            used = [k for k, some in enumerate(lists) if some]
-            rows = [packed(pa.table([pa.array(lists[k], pa.string())], ["s"])) for k in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "block", "asked"])
 
-    return docs.mapInArrow(hold, "block long, docs binary, words binary"), docs.mapInArrow(ask, "bucket int, block long, asked binary")
+def numbered_segments(requests: pa.Table) -> tuple[pa.Array, pa.Array, list[np.ndarray]]:
+    """A bucket's blocks in order, its distinct segments by their numbers, and the numbers that each block asks for."""
+    requests = requests.sort_by("block")
+    lists = [unpacked(x).column("s").combine_chunks() for x in requests.column("data").to_pylist()]
+    every = pa.concat_arrays(lists).dictionary_encode()
+    order = pc.sort_indices(every.dictionary)
+    number = np.empty(len(order), np.int64)
+    number[order.to_numpy()] = np.arange(len(order))
+    ends = np.cumsum([len(x) for x in lists])
+    return requests.column("block"), every.dictionary.take(order), np.split(number[every.indices.to_numpy()], ends[:-1])
 
 
 def lattice_paths(segments: DataFrame, pieces: Pieces, pieces_df: DataFrame) -> DataFrame:
-    """``bucket``, ``segment``, ``ids`` for the distinct ``bucket``, ``segment``."""
-    parts = segments.select("bucket", "segment", F.explode(F.sequence(F.lit(1), F.length("segment"))).alias("e"))
-    parts = parts.select("bucket", "segment", "e", F.explode(F.sequence(F.lit(1), F.least("e", F.lit(pieces.longest)))).alias("n"))
-    parts = parts.select("bucket", "segment", "e", (F.col("e") - F.col("n")).alias("s"), F.substring("segment", F.col("e") - F.col("n") + 1, F.col("n")).alias("piece"))
-    edges = parts.join(F.broadcast(pieces_df), "piece", "left").where("id is not null or e - s = 1")
-    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
-    grouped = edges.groupBy("bucket", "segment").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    """``bucket``, ``number``, ``ids`` of the ``bucket``, ``chunk``, ``segments``, ``ids``; segments that have their ids keep them.
+
+    Groups are told by ``name`` first, which is different in each, so that sorting them compares one number.
+    """
+    one = segments.select("bucket", "chunk", F.posexplode(F.arrays_zip("segments", "ids")).alias("at", "x"))
+    number = F.col("chunk") * CHUNK + F.col("at")
+    one = one.select((F.shiftleft(F.col("bucket"), 32) + number).alias("name"), "bucket", "chunk", F.col("x.segments").alias("segment"), F.col("x.ids").alias("ids"))
+    keys = ["name", "bucket", "chunk"]
+    parts = one.select(*keys, "segment", "ids", F.explode_outer(F.when(F.col("ids").isNull(), F.sequence(F.lit(1), F.length("segment")))).alias("e"))
+    parts = parts.select(*keys, "segment", "ids", "e", F.explode_outer(F.when(F.col("e").isNotNull(), F.sequence(F.lit(1), F.least("e", F.lit(pieces.longest))))).alias("n"))
+    parts = parts.select(*keys, "ids", "e", (F.col("e") - F.col("n")).alias("s"), F.substring("segment", F.col("e") - F.col("n") + 1, F.col("n")).alias("piece"))
+    edges = parts.join(F.broadcast(pieces_df.withColumnRenamed("id", "piece_id")), "piece", "left").where("piece_id is not null or e is null or e - s = 1")
+    edge = F.struct("e", "s", F.coalesce("piece_id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"), F.when(F.col("piece_id").isNull(), F.col("piece")).alias("char"))
+    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), edge))).alias("edges"), F.first("ids").alias("ids"))
     state = F.struct(
-        F.array(F.lit(0.0)).alias("best"), F.array().cast("array<struct<s:int,id:int>>").alias("back"),
-        F.lit(1).alias("e"), F.lit(None).cast("double").alias("score"), F.struct(F.lit(0).alias("s"), F.lit(-1).alias("id")).alias("edge"),
+        F.array(F.lit(0.0)).alias("best"), F.array().cast("array<struct<s:int,id:int,char:string>>").alias("back"),
+        F.lit(1).alias("e"), F.lit(None).cast("double").alias("score"), F.struct(F.lit(0).alias("s"), F.lit(-1).alias("id"), F.lit(None).cast("string").alias("char")).alias("edge"),
     )
 
     def pushed(acc: Column) -> Column:
@@ -264,12 +285,12 @@ def lattice_paths(segments: DataFrame, pieces: Pieces, pieces_df: DataFrame) ->
 
         def better(a: Column) -> Column:
             score = F.get(a["best"], x["s"]) + x["score"]
-            taken = F.struct(a["best"].alias("best"), a["back"].alias("back"), a["e"].alias("e"), score.alias("score"), F.struct(x["s"].alias("s"), x["id"].alias("id")).alias("edge"))
+            taken = F.struct(a["best"].alias("best"), a["back"].alias("back"), a["e"].alias("e"), score.alias("score"), F.struct(x["s"].alias("s"), x["id"].alias("id"), x["char"].alias("char")).alias("edge"))
             return F.when(a["score"].isNull() | (score > a["score"]), taken).otherwise(a)
 
         return F.get(F.transform(F.array(moved), better), F.lit(0))
 
-    folded = grouped.select("bucket", "segment", F.aggregate("edges", state, step, lambda acc: F.concat(acc["back"], F.array(acc["edge"]))).alias("back"))
+    folded = grouped.select("bucket", (F.col("name") - F.shiftleft(F.col("bucket"), 32)).alias("number"), "ids", F.when(F.col("ids").isNull(), F.aggregate("edges", state, step, lambda acc: F.concat(acc["back"], F.array(acc["edge"])))).alias("back"))
     spelt = F.create_map(*[x for b, i in sorted(pieces.bytes.items()) for x in (F.lit(f"{b:02X}"), F.lit(i))])
 
     def as_bytes(c: Column) -> Column:
@@ -278,11 +299,11 @@ def lattice_paths(segments: DataFrame, pieces: Pieces, pieces_df: DataFrame) ->
 
     def trace(acc: Column, _: Column) -> Column:
         edge = F.get("back", acc["at"] - 1)
-        ids = F.when(edge["id"] < 0, as_bytes(F.substring("segment", acc["at"], F.lit(1)))).otherwise(F.array(edge["id"]))
+        ids = F.when(edge["id"] < 0, as_bytes(edge["char"])).otherwise(F.array(edge["id"]))
         return F.when(acc["at"] == 0, acc).otherwise(F.struct(edge["s"].alias("at"), F.concat(ids, acc["ids"]).alias("ids")))
 
     begin = F.struct(F.size("back").alias("at"), F.array().cast("array<int>").alias("ids"))
-    return folded.select("bucket", "segment", F.aggregate("back", begin, trace, lambda acc: acc["ids"]).alias("ids"))
+    return folded.select("bucket", "number", F.coalesce("ids", F.aggregate("back", begin, trace, lambda acc: acc["ids"])).alias("ids"))
 
 
 @dataclass
@@ -302,39 +323,51 @@ def encoded(docs: DataFrame, finish: Callable[[Encoded], pa.Table], schema: str,
     path = model or model_path()
     pieces = Pieces(path, scores)
     buckets = partitions(spark)
-    held, requests = blocks(docs, path, scores, buckets)
+    long = LONG_SEGMENT
+    held = blocks(docs, path, scores, buckets)
 
     def distinct_segments(key: tuple, table: pa.Table) -> pa.Table:
-        found = sorted(set().union(*(unpacked(x).column("s").to_pylist() for x in table.column("asked").to_pylist())))
-        return pa.table([pa.array([key[0].as_py()] * len(found), pa.int32()), pa.array(found, pa.string())], ["bucket", "segment"])
-
-    segments = requests.groupBy("bucket").applyInArrow(distinct_segments, "bucket int, segment string").repartition(buckets, "segment")
-    table = spark.createDataFrame(pieces.plain, PIECE_SCHEMA)
-    short = lattice_paths(segments.where(F.length("segment") < LONG_SEGMENT), pieces, table)
-
-    def fold_long(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces_of(path, scores)
+        bucket = key[0].as_py()
+        found = numbered_segments(table)[1] if bucket >= 0 else pa.array([], pa.string())
+        ids = [pieces_of(path, scores).viterbi(x.as_py()) if n >= long else None for x, n in zip(found, pc.utf8_length(found).to_pylist(), strict=True)]
+        starts = pa.array(np.append(np.arange(0, len(found), CHUNK), len(found)), pa.int32())
+        n = len(starts) - 1
+        columns = [pa.array(np.full(n, bucket)), pa.array(np.arange(n), pa.int32()), pa.ListArray.from_arrays(starts, found), pa.ListArray.from_arrays(starts, pa.array(ids, pa.list_(pa.int32())))]
+        return pa.table(columns, ["bucket", "chunk", "segments", "ids"])
+
+    segments = held.groupBy("key").applyInArrow(distinct_segments, "bucket long, chunk int, segments array<string>, ids array<array<int>>")
+    paths = lattice_paths(segments.repartition(buckets, "bucket", "chunk"), pieces, spark.createDataFrame(pieces.plain, PIECE_SCHEMA))
+
+    def pack_paths(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            ids = [own.viterbi(s) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["bucket", "segment", "ids"])
+            bucket, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((number, bucket))
+            bucket, number, ids = bucket[order], number[order], batch.column(2).take(pa.array(order))
+            cuts = np.flatnonzero(np.append(np.diff(bucket, prepend=-1), 1))
+            lists = [ids.slice(a, b - a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            rows = [pack(number[a : a + len(x)], x.value_lengths().to_numpy(), x.flatten().to_numpy()) for a, x in zip(cuts.tolist(), lists, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(rows, pa.binary())], ["bucket", "paths"])
 
-    long = segments.where(F.length("segment") >= LONG_SEGMENT).mapInArrow(fold_long, "bucket int, segment string, ids array<int>")
-    paths = short.unionByName(long)
+    paths = paths.mapInArrow(pack_paths, "bucket long, paths binary")
 
     def give(key: tuple, wanted: pa.Table, known: pa.Table) -> pa.Table:
-        order = {s: i for i, s in enumerate(known.column("segment").to_pylist())}
-        ids = known.column("ids").combine_chunks()
-        rows = []
-        for x in wanted.column("asked").to_pylist():
-            lists = ids.take(pa.array([order[s] for s in unpacked(x).column("s").to_pylist()], pa.int32()))
-            rows.append(pack(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
-        return pa.table([wanted.column("block"), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["block", "bucket", "ids"])
+        if key[0].as_py() < 0:  # what a block holds
+            return pa.table([[], [], []], pa.schema([("key", pa.int64()), ("bucket", pa.int64()), ("ids", pa.binary())]))
+        blocks_, _, numbers = numbered_segments(wanted)
+        number, lengths, ids = (np.concatenate(c) for c in zip(*map(columns_of, known.column("paths").to_pylist()), strict=True))
+        order = np.argsort(number)
+        starts, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        rows = [pack(lengths[x], ids[ranges(starts[x], lengths[x])]) for x in numbers]
+        return pa.table([pa.array(-1 - blocks_.to_numpy()), pa.array([key[0].as_py()] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["key", "bucket", "ids"])
 
-    answers = requests.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(give, "block long, bucket int, ids binary")
+    answers = held.groupBy("key").cogroup(paths.groupBy("bucket")).applyInArrow(give, "key long, bucket long, ids binary")
 
     def assemble(key: tuple, mine: pa.Table, answered: pa.Table) -> pa.Table:
+        if key[0].as_py() >= 0:  # requests
+            none = np.zeros(0, np.int64)
+            return finish(Encoded(pa.array(none), pa.array(none), pa.array([], pa.binary()), none, np.zeros(1, np.int64)))
         docs_ = unpacked(mine.column("docs")[0].as_py())
-        n_words, word, n_segments, segment = columns_of(mine.column("words")[0].as_py())
+        n_words, word, n_segments, segment = columns_of(mine.column("data")[0].as_py())
         told = answered.column("ids").to_pylist()
         lists = [columns_of(told[i]) for i in np.argsort(answered.column("bucket").to_numpy())]
         lengths, flat = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in lists)]) for k in (0, 1))
@@ -347,7 +380,7 @@ def encoded(docs: DataFrame, finish: Callable[[Encoded], pa.Table], schema: str,
         offsets = np.concatenate([[0], np.cumsum(sizes[word])])[np.concatenate([[0], np.cumsum(n_words)])]
         return finish(Encoded(docs_.column("id"), pa.array(n_words), docs_.column("digest"), every, offsets))
 
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, schema)
+    return held.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(assemble, schema)
 
 
 def encode_ids(docs: DataFrame, model: str | None = None, scores: str = "ranks") -> DataFrame:

@@ -283,6 +283,20 @@ def test_pieces_round_trip(docs, plain):
     assert Counter((r.doc_id, r.decoded_sha256, r.round_trip) for r in out) == Counter((d, sha(t), True) for d, t in plain)
 
 
+def test_pieces_read_the_texts_once(spark, tmp_path):
+    from pathlib import Path
+    from uuid import uuid4
+
+    def counted(found):
+        (Path(tmp_path) / uuid4().hex).touch()
+        yield from found
+
+    texts = [(i, " ".join(f"word{i * j % 7} and {j}" for j in range(20))) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).mapInArrow(counted, "doc_id long, text string")
+    assert len(pieces.report(docs).collect()) == 20
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_long_segments_have_the_same_ids(spark, monkeypatch):
     texts = ["x" * 900 + " tail", "ab" * 300, "the  cat sat—on 中 mats ", " two  spaces", "a\u2581b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
