@@ -17,9 +17,12 @@ for its distinct (context, symbol) entries, which it sends with their training
 counts. Entries are dealt out by the context's newest word, so that a context,
 its suffixes and all their symbols meet in one bucket, which builds that part of
 the tree and tells each block the probabilities. The entries of a word too
-frequent for one bucket are dealt out by the symbol too; their contexts' sums
-and gains are added up by context in between. Nothing that grows with the corpus
-reaches the driver.
+frequent for one bucket are dealt out by the context's second word too, those of
+a pair too frequent by its third, so that all longer contexts are whole in their
+bucket. Only the word itself (the pair) is not: its symbols' counts, added up in
+each bucket first, are dealt out by word and symbol, and their probabilities come
+back before the bucket answers. The driver gets three numbers for each word and
+pair over several buckets, of which there are at most four a bucket.
 
 Defined results: a null text is empty and has the end token only; tokens are
 words with A-Z lower-cased; a null ``doc_id`` trains; repeated rows are counted
@@ -29,6 +32,7 @@ and scored each; an empty table gives no rows; further columns are left out.
 from __future__ import annotations
 
 import gc
+import math
 import time
 import zlib
 from collections.abc import Iterator
@@ -63,9 +67,16 @@ HASHER: list[WordHasher] = []
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, a place of each, and which one stands at each place; several times faster than ``np.unique``."""
-    order = np.argsort(values)
-    ordered = values[order]
-    new = changes(ordered)
+    bits = len(values).bit_length()
+    if len(values) and values.dtype == np.int64 and 0 <= values.min() and values.max() < 1 << (63 - bits):  # to sort numbers takes a fifth of the time that their places take
+        ordered = np.sort(values << bits | np.arange(len(values)))
+        order = ordered & ((1 << bits) - 1)
+        ordered >>= bits
+    else:
+        order = np.argsort(values)
+        ordered = values[order]
+    new = np.ones(len(order), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
     at = np.empty(len(order), np.int64)
     at[order] = np.cumsum(new) - 1
     return ordered[new], order[new], at
@@ -149,9 +160,10 @@ def pairs_of(t: Tokens, number: np.ndarray, count: np.ndarray, buckets: int, lea
     last = np.zeros(len(t.token), bool)
     last[t.offsets[1:] - 1] = True  # nothing follows an end token
     ends = np.flatnonzero((t.place[1:] >= 1) & ~last[1:] & often[1:] & often[:-1]) + 1
-    codes, _, at = distinct(t.token[ends] << 32 | t.token[ends - 1])
+    bits = len(number).bit_length()
+    codes, _, at = distinct(t.token[ends] << bits | t.token[ends - 1])
     seen = np.bincount(at[t.train[ends]], minlength=len(codes))
-    newer, older = codes >> 32, codes & 0xFFFFFFFF
+    newer, older = codes >> bits, codes & ((1 << bits) - 1)
     bucket = (context_hash(number[newer], number[older]) % np.uint64(buckets)).astype(np.int64)
     pair = np.full(len(t.token), -1, np.int64)
     pair[ends] = at
@@ -178,21 +190,31 @@ class Entries:
     at: np.ndarray  # each token's entry, or -1
 
 
-def entries_of(t: Tokens, number: np.ndarray, count: np.ndarray, pairs: Pairs, frequent: np.ndarray, buckets: int, least: int, n_tokens: int) -> Entries:
-    """Buckets from ``buckets`` on take the words that are dealt out by symbol too."""
-    n, words, is_pair = len(t.token), len(count), np.zeros(len(pairs.newer) + 1, bool)
-    is_pair[pairs.order] = frequent  # the last stands for no pair
+def shares_of(count: np.ndarray, buckets: int, n_tokens: int) -> np.ndarray:
+    """Buckets over which the entries of a context seen so often are dealt out; under 2: they stay together."""
+    return count * 4 * buckets // max(n_tokens, 1)
+
+
+def entries_of(t: Tokens, number: np.ndarray, count: np.ndarray, pairs: Pairs, pairs_told: np.ndarray, buckets: int, least: int, n_tokens: int) -> Entries:
+    """``pairs_told``: 0 for pairs that are no candidates, else 1 and their shares.
+
+    Buckets from ``buckets`` on take words over several buckets, from twice that on pairs over several.
+    """
+    n, words, pair_shares = len(t.token), len(count), np.zeros(len(pairs.newer) + 1, np.int64)
+    pair_shares[pairs.order] = pairs_told  # the last stands for no pair
+    is_pair = pair_shares > 0
     one = np.flatnonzero((t.place >= 1) & (count >= least)[np.roll(t.token, 1)])
     before = np.roll(pairs.at, 1)  # the pair before each token
     two = np.flatnonzero((t.place >= 2) & is_pair[before])
     three = np.flatnonzero((t.place >= 3) & is_pair[before] & is_pair[np.roll(pairs.at, 2)])
-    triples, _, triple = distinct(before[three] << 32 | t.token[three - 3])
-    pair = triples >> 32
+    bits = words.bit_length()
+    triples, _, triple = distinct(before[three] << bits | t.token[three - 3])
+    pair = triples >> bits
     none = np.full(words, -1)
     of = [
         np.concatenate([np.arange(words), pairs.newer, pairs.newer[pair]]),
         np.concatenate([none, pairs.older, pairs.older[pair]]),
-        np.concatenate([none, np.full(len(pairs.newer), -1), triples & 0xFFFFFFFF]),
+        np.concatenate([none, np.full(len(pairs.newer), -1), triples & ((1 << bits) - 1)]),
     ]
     # contexts are numbered by length, then in the order of their words, newest first
     longest = np.full(n, -1, np.int64)  # wherever a context precedes a symbol its suffixes do, so these are told from it
@@ -200,15 +222,23 @@ def entries_of(t: Tokens, number: np.ndarray, count: np.ndarray, pairs: Pairs, f
     longest[two] = words + before[two]
     longest[three] = words + len(pairs.newer) + triple
     where = np.flatnonzero(longest >= 0)
-    codes, _, at = distinct(longest[where] << 32 | t.token[where])
+    codes, _, at = distinct(longest[where] << bits | t.token[where])
     seen = np.bincount(at[t.train[where]], minlength=len(codes))
-    context, symbol = codes >> 32, codes & 0xFFFFFFFF
-    newest = of[0][context]
-    shares = count[newest] * 4 * buckets // max(n_tokens, 1)
-    split = shares >= 2
-    part = np.where(split, (mix(number[symbol].astype(np.uint64)) % np.maximum(shares, 1).astype(np.uint64)).astype(np.int64) + 1, 0)
-    bucket = (context_hash(number[newest], part) % np.uint64(buckets)).astype(np.int64) + split * buckets
-    order, cuts = by_bucket(bucket, 2 * buckets)
+    context, symbol = codes >> bits, codes & ((1 << bits) - 1)
+    # where a context lies: by its newest word, or two, and the part that its next word gives (the symbol, if it has none)
+    shares = np.concatenate([shares_of(count, buckets, n_tokens), pair_shares[:-1] - 1, (pair_shares[:-1] - 1)[pair]])
+    shares[words:] = np.where(shares[words:] >= 2, shares[words:], shares[of[0][words:]])
+    depth = np.where(shares < 2, 0, 1)
+    depth[words:] += np.concatenate([pair_shares[:-1], pair_shares[:-1][pair]]) >= 3
+    second = np.where(depth == 2, np.where(of[1] >= 0, number[of[1]], 0), 0)
+    further = np.where(depth == 1, of[1], of[2])
+    shares, part = np.where(depth > 0, shares, 1).astype(np.uint64), np.where(further >= 0, mix(number[further].astype(np.uint64)), 0)
+    by_symbol = (depth > 0) & (further < 0)
+    base = context_hash(number[of[0]], second)
+    part = np.where(by_symbol[context], mix(number[symbol].astype(np.uint64)), part[context]) % shares[context] + np.uint64(1)
+    depth, base = depth[context], base[context]
+    bucket = (np.where(depth > 0, mix(base + part * np.uint64(0x9E3779B97F4A7C15)), base) % np.uint64(buckets)).astype(np.int64) + depth * buckets
+    order, cuts = by_bucket(bucket, 3 * buckets)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     entry = np.full(n, -1, np.int64)
@@ -224,7 +254,8 @@ def entry_messages(e: Entries, number: np.ndarray, count: np.ndarray) -> Iterato
         context, symbol = e.context[part], e.symbol[part]
         starts = np.flatnonzero(np.diff(context, prepend=-1))
         sizes = np.diff(np.append(starts, len(context)))
-        symbols = np.flatnonzero(np.bincount(symbol))  # numbers ascend with places
+        symbols = np.sort(symbol)  # numbers ascend with places
+        symbols = symbols[np.diff(symbols, prepend=-1) > 0]
         place[symbols] = np.arange(len(symbols))
         packed_contexts = pack(*context_steps(*(w[context[starts]] for w in e.words), number), sizes)
         yield int(b), packed_contexts, pack(steps_in(place[symbol], starts), e.seen[part], np.diff(number[symbols], prepend=0), count[symbols])
@@ -260,7 +291,8 @@ def oldest_runs(newest: np.ndarray, middle: np.ndarray, n: np.ndarray) -> np.nda
 class Branches:
     """The part of the tree over the words of one bucket."""
 
-    def __init__(self, contexts: list[bytes], entries: list[bytes], root: tuple[float, float], sums: pa.Table | None = None, least: int = LEAST_COUNT) -> None:
+    def __init__(self, contexts: list[bytes], entries: list[bytes], root: tuple[float, float], sums: np.ndarray | None = None, least: int = LEAST_COUNT) -> None:
+        """``sums``: hashes of contexts, ascending, their kinds of symbols and totals, where not all symbols are here."""
         found = [columns_of(x) for x in contexts]
         sizes = [f[4] for f in found]
         newest, middle, oldest = (np.concatenate(c) for c in zip(*(contexts_in(*f[:4]) for f in found), strict=True))
@@ -273,22 +305,25 @@ class Branches:
         zero = np.zeros(n, np.int64)
         newest, middle, oldest = (np.concatenate(x)[first] for x in ((newest, newest, newest), (middle, middle, zero), (oldest, zero, zero)))
         self.depth = (middle > 0).astype(np.int64) + (oldest > 0)
-        self.ups = [every[2 * n + first % n], every[n + first % n]]  # suffixes of one and two words
+        self.newest, self.middle = newest, middle
         self.parent = np.where(self.depth == 2, row[n + first % n], np.where(self.depth == 1, row[2 * n + first % n], -1))
         # entries as (context, symbol), each symbol by its place among all that were sent
-        _, first, named = distinct(np.concatenate([np.cumsum(p[2]) for p in parts]))
+        self.number, first, named = distinct(np.concatenate([np.cumsum(p[2]) for p in parts]))
         count = np.concatenate([p[3] for p in parts])
+        self.count = count[first]
         behind = np.cumsum([0, *(len(p[2]) for p in parts)])
         place = np.concatenate([named[b + sums_in(p[0], k)] for p, k, b in zip(parts, sizes, behind[:-1], strict=True)])
         seen = np.concatenate([p[1] for p in parts])
-        own, _, at = distinct(np.repeat(row[:n], np.concatenate(sizes)) << 32 | place)
-        by_depth = [np.flatnonzero(self.depth[own >> 32] == d) for d in range(3)]
+        bits = len(self.number).bit_length()
+        own, _, at = distinct(np.repeat(row[:n], np.concatenate(sizes)) << bits | place)
+        depth = self.depth[own >> bits]
+        by_depth = [np.flatnonzero(depth == d) for d in range(3)]
         level, up, where = own[by_depth[2]], [], np.empty(len(own), np.int64)
         where[by_depth[2]] = np.arange(len(level))
         levels = [level]
         for d in (1, 0):  # the same symbols behind the suffixes
             mine = own[by_depth[d]]
-            level, _, found_at = distinct(np.concatenate([mine, self.parent[level >> 32] << 32 | level & 0xFFFFFFFF]))
+            level, _, found_at = distinct(np.concatenate([mine, self.parent[level >> bits] << bits | level & ((1 << bits) - 1)]))
             where[by_depth[d]] = found_at[: len(mine)]
             up.append(found_at[len(mine) :])
             levels.append(level)
@@ -299,7 +334,7 @@ class Branches:
         for d in range(3):
             where[by_depth[d]] += begins[d]
         self.at = where[at]
-        self.context, self.symbol = codes >> 32, codes & 0xFFFFFFFF
+        self.context, self.symbol = codes >> bits, codes & ((1 << bits) - 1)
         # the entry of the same symbol with the context's parent; none has none
         self.up = np.concatenate([np.full(len(levels[2]), -1), up[1], up[0] + begins[1]])
         n = len(self.hashes)
@@ -307,30 +342,36 @@ class Branches:
         for d in (2, 1):
             longer = self.levels[d]
             self.seen += np.bincount(self.up[longer], weights=self.seen[longer], minlength=len(codes))
-        self.base = (count[first] + 0.5) / (root[0] + 0.5 * (root[1] + 1))
+        self.base = (self.count + 0.5) / (root[0] + 0.5 * (root[1] + 1))
         self.kinds = np.bincount(self.context[self.seen > 0], minlength=n).astype(float)
         self.totals = np.bincount(self.context, weights=self.seen, minlength=n).astype(float)
         if sums is not None:
-            order = np.argsort(sums.column("context").to_numpy().view(np.uint64))  # the same contexts
-            self.kinds, self.totals = sums.column("kinds").to_numpy()[order], sums.column("total").to_numpy()[order]
+            at = np.searchsorted(sums["context"], self.hashes)
+            self.kinds, self.totals = sums["kinds"][at], sums["total"][at]
         self.candidate = self.totals >= least
 
-    def solve(self) -> None:
-        """``chance`` of each entry, and each context's ``gain`` from the entries here."""
+    def solve(self, told: list[np.ndarray] = ()) -> None:
+        """``chance`` of each entry, and each context's ``gain`` from the entries here; ``told``: the first depths' chances."""
         chance, under = np.zeros(len(self.context)), self.base[self.symbol]
         for depth, here in enumerate(self.levels):
             c = self.context[here]
             if depth:
                 under[here] = chance[self.up[here]]
+            if depth < len(told):
+                chance[here] = told[depth]
+                continue
             k, t = self.kinds[c], self.totals[c]
             chance[here] = np.where(t > 0, (self.seen[here] + k * under[here]) / np.maximum(t + k, 1), under[here])
+        self.chance, self.under = chance, under
         own = np.flatnonzero((self.seen > 0) & self.candidate[self.context])
         c, seen, under = self.context[own], self.seen[own], under[own]
         self.gain = np.bincount(c, weights=seen * np.log(chance[own] / under), minlength=len(self.hashes)).astype(float)  # of nothing it is integers
-        self.chance = chance
 
-    def retained(self, least_gain: float) -> np.ndarray:
+    def retained(self, least_gain: float, states: np.ndarray | None = None, split: int = 0) -> np.ndarray:
+        """Contexts of the ``split`` first depths, which are not whole here, are states if ``states`` has them."""
         out = self.candidate & (self.gain >= least_gain)
+        if split:
+            out = np.where(self.depth < split, np.isin(self.hashes, states), out)
         for depth in (2, 1):  # suffixes of states are states
             out[self.parent[out & (self.depth == depth)]] = True
         return out
@@ -347,8 +388,31 @@ class Branches:
         return [pack(chance[a:b].view(np.uint32)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def split_entries(b: Branches, split: int, buckets: int) -> tuple[Entries, np.ndarray, np.ndarray]:
+    """What a bucket asks about its contexts of ``split`` words, which others hold too: by bucket, in a fixed order; and the numbers and counts of words."""
+    here = b.levels[split - 1]
+    context, symbol = b.context[here], b.symbol[here]
+    of, _, at = distinct(context)
+    order = np.lexsort((b.middle[of], b.newest[of]))
+    rank = np.empty(len(of), np.int64)
+    rank[order] = np.arange(len(of))
+    number = np.unique(np.concatenate([b.number, b.newest[of], b.middle[of][b.middle[of] > 0]]))
+    count = np.zeros(len(number), np.int64)
+    places = np.searchsorted(number, b.number)
+    count[places] = b.count
+    slices = np.uint64(max(1, math.isqrt(buckets)))
+    asks = (context_hash(b.newest[context], (mix(b.number[symbol].astype(np.uint64)) % slices).astype(np.int64) + 1) % np.uint64(buckets)).astype(np.int64)
+    order_in = np.lexsort((places[symbol], rank[at], asks))
+    place = np.empty(len(order_in), np.int64)
+    place[order_in] = np.arange(len(order_in))
+    words = [np.searchsorted(number, b.newest[of][order]), np.where(b.middle[of][order] > 0, np.searchsorted(number, b.middle[of][order]), -1), np.full(len(of), -1)]
+    cuts = np.append(0, np.cumsum(np.bincount(asks, minlength=buckets)))
+    return Entries(rank[at][order_in], places[symbol][order_in], b.seen[here][order_in].astype(np.int64), words, cuts, place), number, count
+
+
 ASKED = "block long, bucket int, contexts binary, entries binary"
 TOLD = "block long, bucket int, data binary"
+DEALT = ["kind", "block", "bucket", "contexts", "entries", "data"]
 
 
 def told(blocks: pa.Array, bucket: int, data: list[bytes]) -> pa.Table:
@@ -447,9 +511,11 @@ def score_documents(docs: DataFrame, least_count: int = LEAST_COUNT, least_gain:
         sent = [columns_of(x) for x in asked.column("data").to_pylist()]
         newer, older, seen = (np.concatenate(c) for c in zip(*sent, strict=True))
         pairs, _, at = distinct(context_hash(newer, older))
-        often = (np.bincount(at, weights=seen, minlength=len(pairs)) >= least_count)[at]
+        seen = np.bincount(at, weights=seen, minlength=len(pairs)).astype(np.int64)
+        shares = shares_of(seen, buckets, n_tokens)
+        often = np.where(seen >= least_count, np.where(shares >= 2, 1 + shares, 1), 0)[at]  # candidates, and over how many buckets
         ends = np.cumsum([0, *(len(x[0]) for x in sent)])
-        return told(asked.column("block"), key[0].as_py(), [pack(often[a:b].astype(np.int64)) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        return told(asked.column("block"), key[0].as_py(), [pack(often[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
     # the first bucket number of answers on entries is 0 again, so those on pairs stand below
     pairs = cut(held.mapInArrow(send_pairs, TOLD).groupBy("bucket").applyInArrow(tell_pairs, TOLD).withColumn("bucket", F.col("bucket") - buckets))
@@ -459,7 +525,7 @@ def score_documents(docs: DataFrame, least_count: int = LEAST_COUNT, least_gain:
         docs_of, words_of, tokens = (mine.column(c)[0].as_py() for c in ("docs", "words", "tokens"))
         t, (number, count) = read_tokens(docs_of, tokens), numbered(words_of)
         p = pairs_of(t, number, count, buckets, least_count)
-        often = np.concatenate([np.zeros(0, bool), *(columns_of(x)[0] > 0 for x in frequent)])
+        often = np.concatenate([np.zeros(0, np.int64), *(columns_of(x)[0] for x in frequent)])
         return t, number, count, entries_of(t, number, count, p, often, buckets, least_count, n_tokens)
 
     def send_entries(key: tuple, mine: pa.Table, answers: pa.Table) -> pa.Table:
@@ -470,64 +536,94 @@ def score_documents(docs: DataFrame, least_count: int = LEAST_COUNT, least_gain:
 
     asked = held.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(send_entries, ASKED)
 
-    def branches(table: pa.Table, sums: pa.Table | None = None) -> Branches:
+    def branches(table: pa.Table, sums: np.ndarray | None = None) -> Branches:
         return Branches(table.column("contexts").to_pylist(), table.column("entries").to_pylist(), root, sums, least_count)
 
     def tell_whole(key: tuple, table: pa.Table) -> pa.Table:
-        """Answers of a bucket that holds its words whole; what words over several buckets have sent goes on."""
-        if key[0].as_py() >= buckets:
-            return table.append_column("data", pa.nulls(table.num_rows, pa.binary()))
-        b = branches(table)
-        b.solve()
-        out = told(table.column("block"), key[0].as_py(), b.answers(b.retained(least_gain)))
-        none = pa.nulls(out.num_rows, pa.binary())
-        return pa.table([out.column("block"), out.column("bucket"), none, none, out.column("data")], ["block", "bucket", "contexts", "entries", "data"])
+        """Answers of a bucket that holds its words whole; what others were sent goes on, and what they ask in turn."""
+        bucket, b = key[0].as_py(), branches(table)
+        if bucket < buckets:
+            b.solve()
+            out = told(table.column("block"), bucket, b.answers(b.retained(least_gain)))
+            none = pa.nulls(out.num_rows, pa.binary())
+            return pa.table([["whole"] * out.num_rows, out.column("block"), out.column("bucket"), none, none, out.column("data")], DEALT)
+        to, contexts, entries = zip(*entry_messages(*split_entries(b, bucket // buckets, buckets)), strict=True)
+        kinds = ["shared"] * table.num_rows + ["asked"] * len(to)
+        columns = [
+            pa.chunked_array([*table.column(c).chunks, pa.array(x, table.schema.field(c).type)]) for c, x in (("block", [bucket] * len(to)), ("bucket", to), ("contexts", contexts), ("entries", entries))
+        ]
+        return pa.table([pa.array(kinds), *columns, pa.nulls(len(kinds), pa.binary())], DEALT)
 
-    # entries are dealt out once and never written but for the words over several buckets:
-    # their contexts' sums, then their gains, are added up by context
+    # entries are dealt out once, and written only where a bucket has to ask before it can answer
     path = shared_dir(spark)
-    dealt = asked.groupBy("bucket").applyInArrow(tell_whole, f"{ASKED}, data binary")
-    dealt.withColumn("kind", F.when(F.col("data").isNull(), "shared").otherwise("whole")).write.partitionBy("kind").parquet(path)
+    dealt = asked.groupBy("bucket").applyInArrow(tell_whole, f"kind string, {ASKED}, data binary")
+    dealt.write.partitionBy("kind").parquet(path)
     del asked, dealt
     release(spark)
     dealt = spark.read.schema(f"{ASKED}, data binary, kind string").parquet(path)
-    whole, shared = dealt.where("kind = 'whole'").select("block", "bucket", "data"), dealt.where("kind = 'shared'").drop("data", "kind")
+    whole = dealt.where("kind = 'whole'").select("block", "bucket", "data")
+    shared, asks = (dealt.where(f"kind = '{k}'").drop("data", "kind") for k in ("shared", "asked"))
 
     def sum_contexts(key: tuple, table: pa.Table) -> pa.Table:
         b = branches(table)
-        n = len(b.hashes)
-        return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(b.hashes.view(np.int64)), pa.array(b.kinds), pa.array(b.totals)], ["bucket", "context", "kinds", "total"])
-
-    here = cut(shared.groupBy("bucket").applyInArrow(sum_contexts, "bucket int, context long, kinds double, total double"))
-    release(spark)  # each step sends the same entries again, so the shuffles of the one before must be gone
-    sums = here.groupBy("context").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"))
-    sums = cut(here.select("bucket", "context").join(sums, "context").select("bucket", "context", "kinds", "total"))
-    del here
-    release(spark)
+        return pa.table([pa.array(b.hashes.view(np.int64)), pa.array(b.kinds), pa.array(b.totals)], ["context", "kinds", "total"])
 
-    def gains(key: tuple, table: pa.Table, sums_of: pa.Table) -> pa.Table:
-        b = branches(table, sums_of)
-        b.solve()
-        some = np.flatnonzero(b.candidate)
-        return pa.table([pa.array(x[some].view(np.int64)) for x in (b.hashes, *b.ups)] + [pa.array(b.gain[some])], ["context", "one", "two", "gain"])
-
-    gained = shared.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(gains, "context long, one long, two long, gain double")
-    gained = gained.groupBy("context", "one", "two").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= least_gain)
-    states = gained.select(F.explode(F.array("context", "one", "two")).alias("context")).distinct().withColumn("state", F.lit(True))
-    sums = cut(sums.join(states, "context", "left").select("bucket", "context", "kinds", "total", F.coalesce("state", F.lit(False)).alias("state")))
-    del gained, states
+    # of contexts over several buckets, at most four a bucket
+    sums = asks.groupBy("bucket").applyInArrow(sum_contexts, "context long, kinds double, total double").groupBy("context").agg(F.sum("kinds"), F.sum("total")).collect()
+    sums = np.array([tuple(r) for r in sums], [("context", np.int64), ("kinds", float), ("total", float)]).astype([("context", np.uint64), ("kinds", float), ("total", float)])
+    sums.sort(order="context")
     release(spark)
 
-    def tell_shared(key: tuple, table: pa.Table, sums_of: pa.Table) -> pa.Table:
-        b = branches(table, sums_of)
+    def tell_split(key: tuple, table: pa.Table) -> pa.Table:
+        """Chances of what each bucket asks, and of the same symbols with the context's parent; the contexts' gains stand beside the first answer."""
+        b = branches(table, sums)
         b.solve()
-        order = np.argsort(sums_of.column("context").to_numpy().view(np.uint64))
-        retained = sums_of.column("state").to_numpy()[order]
-        return told(table.column("block"), key[0].as_py(), b.answers(retained))
+        chances, ends = np.stack([b.under[b.at], b.chance[b.at]]), np.cumsum([0, *b.lengths])
+        out = told(table.column("block"), key[0].as_py(), [np.ascontiguousarray(chances[:, i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)])
+        none = [None] * (out.num_rows - 1)
+        gained = pa.array([b.hashes.view(np.int64), *none], pa.list_(pa.int64())), pa.array([b.gain, *none], pa.list_(pa.float64()))
+        return out.append_column("contexts", gained[0]).append_column("gains", gained[1])
+
+    split = cut(asks.groupBy("bucket").applyInArrow(tell_split, f"{TOLD}, contexts array<long>, gains array<double>"))
+    gained = split.select(F.explode(F.arrays_zip("contexts", "gains")).alias("x")).groupBy("x.contexts").agg(F.sum("x.gains").alias("gain"))
+    states = np.array([r[0] for r in gained.where(F.col("gain") >= least_gain).collect()], np.int64).view(np.uint64)
+    split = split.select(F.col("block").cast("int").alias("block"), F.col("bucket").alias("slice"), "data")
+    release(spark)
 
-    over_several = cut(shared.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(tell_shared, TOLD))
+    def solved(bucket: int, table: pa.Table, answers: pa.Table) -> tuple[Branches, int]:
+        """A bucket's branches, with the chances of its contexts that others hold too; how many depths those have."""
+        b, depths = branches(table), bucket // buckets
+        e, _, _ = split_entries(b, depths, buckets)
+        data = answers.column("data").to_pylist()
+        data = [np.frombuffer(data[i], float).reshape(2, -1) for i in np.argsort(answers.column("slice").to_numpy())]
+        under, chance = np.concatenate(data, axis=1)[:, e.at]
+        if depths == 1:
+            b.solve([chance])
+        else:  # the parents' entries are those of the same symbols
+            parents = np.empty(b.levels[0].stop)
+            parents[b.up[b.levels[1]]] = under
+            b.solve([parents, chance])
+        return b, depths
+
+    def imply(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        """Contexts over several buckets that are suffixes of states."""
+        b, depths = solved(key[0].as_py(), table, answers)
+        return pa.table([pa.array(b.hashes[b.retained(least_gain, states, depths) & (b.depth < depths)].view(np.int64))], ["context"])
+
+    both = shared.groupBy("bucket").cogroup(split.groupBy("block"))
+    if len(states) < len(sums):  # some do not gain enough by themselves
+        implied = both.applyInArrow(imply, "context long").distinct().collect()
+        states = np.union1d(states, np.array([r[0] for r in implied], np.int64).view(np.uint64))
+        release(spark)
+
+    def tell_shared(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        b, depths = solved(key[0].as_py(), table, answers)
+        return told(table.column("block"), key[0].as_py(), b.answers(b.retained(least_gain, states, depths)))
+
+    over_several = cut(both.applyInArrow(tell_shared, TOLD))
+    del both, split, gained
     remove(spark, f"{path}/kind=shared")
-    del sums
+    remove(spark, f"{path}/kind=asked")
     release(spark)
 
     def score(key: tuple, mine: pa.Table, answers: pa.Table) -> pa.Table:

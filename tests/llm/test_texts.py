@@ -552,6 +552,50 @@ def test_suffix_tree_has_every_context(spark):
     assert got == pytest.approx(want, rel=1e-6)
 
 
+def test_suffix_tree_sends_no_row_for_each_context(spark, monkeypatch):
+    """Words and pairs over many buckets: the exact tree, and only packed rows, one for each two of blocks and buckets, between its steps."""
+    r = np.random.default_rng(11)
+    texts = []
+    for i in range(150):
+        words = []
+        for _ in range(40):
+            words += [["of", "the", f"w{r.integers(0, 300)}"], [f"w{x}" for x in r.integers(0, 300, 2)], ["the", f"a{r.integers(0, 9)}", "of"], ["x", "y", f"w{r.integers(0, 300)}"]][int(r.integers(0, 4))]
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    want, states = brute_scores(texts, suffix_tree.LEAST_COUNT, suffix_tree.LEAST_GAIN)
+    rows, cut = [], suffix_tree.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "cut", counted)
+    monkeypatch.setattr(suffix_tree, "BUCKET_BYTES", 1 << 10)
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(df).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+    assert max(rows) < 300, rows  # there are some 7,000 contexts
+
+
+def test_suffix_tree_words_over_several_buckets_can_be_states_by_longer_ones(spark, monkeypatch):
+    """What follows z alone says little, what follows z and the word before it much."""
+    r = np.random.default_rng(13)
+    texts = []
+    for i in range(150):
+        words = ["a"]
+        for _ in range(60):
+            words += ["z", "abcd"["bcda".index(words[-1])]] if r.random() < 0.1 else ["abcd"[int(r.integers(0, 4))]]
+        texts.append((i, " ".join(words)))
+    texts.append((next(i for i in range(1000, 2000) if suffix_tree.held_out(i)), "q z a q z b"))  # z behind a word that no text has
+    _, few = brute_scores(texts, suffix_tree.LEAST_COUNT, 400.0)
+    want, some = brute_scores(texts, suffix_tree.LEAST_COUNT, 150.0)
+    assert not few and (b"z",) in some
+    monkeypatch.setattr(suffix_tree, "BUCKET_BYTES", 1 << 7)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(df, least_gain=150.0).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
 def test_suffix_tree_drops_the_shuffles_of_its_steps(spark, monkeypatch):
     """When the words over several buckets have their answers, only the last step's shuffles still lie on disk."""
     from pathlib import Path
