@@ -36,7 +36,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -105,20 +105,24 @@ class Pieces:
         at = np.concatenate([[0], np.cumsum(lengths)])[offsets].tolist()
         return [flat[a:b].removeprefix(b" ") for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def segments(self, words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def segments(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The segments of all words in a row, a hash of each, and where each word's begin (and the last's end)."""
-        text = "".join([SPACE + w.decode().replace(" ", SPACE) for w in words])
+        if not len(words):
+            return pa.array([], pa.string()), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        row = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        text = (SPACE + pc.binary_join(row, SPACE)[0].as_py()).replace(" ", SPACE)
         chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        lengths = np.array([len(w) if w.isascii() else len(w.decode()) for w in words], np.int64) + 1
-        begins = np.concatenate([[0], np.cumsum(lengths)]) if len(words) else np.zeros(1, np.int64)
+        begins = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy().astype(np.int64) + 1)])
         at = self.character[chars]
         cut = np.ones(len(chars) + 1, bool)
         cut[1:-1] = ~self.joined[at[:-1], at[1:]]
         cut[begins] = True
         ends = np.flatnonzero(cut)
         place = np.arange(len(chars)) - np.repeat(ends[:-1], np.diff(ends))
-        hashes = np.add.reduceat(mix(chars.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)), ends[:-1]) if len(words) else np.zeros(0, np.uint64)
-        return [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], mix(hashes), np.searchsorted(ends, begins)
+        hashes = np.add.reduceat(mix(chars.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)), ends[:-1])
+        in_bytes = np.concatenate([[0], np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000))])[ends]
+        found = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(in_bytes.astype(np.int32)), pa.py_buffer(text.encode()))
+        return found, mix(hashes), np.searchsorted(ends, begins)
 
     def viterbi(self, segment: str) -> list[int]:
         """The fold in Python, for very long segments."""
@@ -168,42 +172,57 @@ def pieces_of(path: str, scores: str = "ranks") -> Pieces:
     return PIECES[path, scores]
 
 
-def numbered(values: Iterable) -> dict:
-    """Distinct values in the order in which they come first, with their numbers."""
-    out = dict.fromkeys(values)
-    out.update(zip(list(out), range(len(out)), strict=True))
-    return out
-
-
-def asked(words: list[list[bytes]], pieces: Pieces, buckets: int) -> tuple[dict[bytes, int], list[list[str]], np.ndarray, np.ndarray]:
-    """Distinct words; their distinct segments by bucket, numbered in this order; how many each word has, and which, in a row.
+@dataclass
+class Words:
+    """The words of a batch of texts."""
+
+    distinct: pa.Array
+    n: np.ndarray  # of each text
+    word: np.ndarray  # which each one is, text by text
+
+
+def words_in(texts: pa.Array) -> Words:
+    """``words_of`` each text; those without two spaces in a row, or one at an end, are split by Arrow."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    odd = pc.equal(texts, "")
+    for some in (pc.match_substring(texts, "  "), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring(texts, SPACE)):
+        odd = pc.or_(odd, some)
+    plain, odd = pc.split_pattern(texts.filter(pc.invert(odd)), " "), odd.to_numpy(zero_copy_only=False)
+    lists = [words_of(t) for t in text_bytes(texts.filter(pa.array(odd)))]
+    every = pa.concat_arrays([plain.flatten(), pa.array(list(chain.from_iterable(lists)), pa.binary()).cast(pa.string())]).dictionary_encode()
+    n = np.empty(len(texts), np.int64)
+    n[~odd], n[odd] = plain.value_lengths().to_numpy(), [len(x) for x in lists]
+    order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+    starts = np.empty(len(texts), np.int64)
+    starts[order] = np.cumsum(n[order]) - n[order]
+    return Words(every.dictionary, n, every.indices.to_numpy().astype(np.int64)[ranges(starts, n)])
+
+
+def asked(words: pa.Array, pieces: Pieces, buckets: int) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """Distinct words' distinct segments by bucket, numbered in this order; how many each word has, and which, in a row.
 
     All orders follow the texts, so a block that is read again is numbered the same.
     """
-    distinct = numbered(chain.from_iterable(words))
-    segments, hashes, begins = pieces.segments(list(distinct))
-    known = numbered(segments)
-    segment = np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
-    bucket = np.empty(len(known), np.int64)
+    segments, hashes, begins = pieces.segments(words)
+    known = segments.dictionary_encode()
+    segment, names = known.indices.to_numpy().astype(np.int64), known.dictionary
+    bucket = np.empty(len(names), np.int64)
     bucket[segment] = (hashes % np.uint64(buckets)).astype(np.int64)
     by_bucket = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
-    place = np.empty(len(known), np.int64)
-    place[by_bucket] = np.arange(len(known))
-    names = list(known)
-    names = [names[i] for i in by_bucket.tolist()]
+    place = np.empty(len(names), np.int64)
+    place[by_bucket] = np.arange(len(names))
+    names = names.take(pa.array(by_bucket))
     cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1)).tolist()
-    return distinct, [names[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.diff(begins), place[segment]
+    return [names.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.diff(begins), place[segment]
 
 
-def held_words(words: list[list[bytes]], distinct: dict[bytes, int], n_segments: np.ndarray, segment: np.ndarray) -> bytes:
+def held_words(words: Words, n_segments: np.ndarray, segment: np.ndarray) -> bytes:
     """Packed: words of each text; number of each word, frequent ones have small numbers; segments of each number, and which."""
-    n_words = np.array([len(w) for w in words], np.int64)
-    word = np.fromiter(map(distinct.__getitem__, chain.from_iterable(words)), np.int64, n_words.sum())
-    order = np.argsort(-np.bincount(word, minlength=len(distinct)), kind="stable")
+    order = np.argsort(-np.bincount(words.word, minlength=len(words.distinct)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     starts = np.cumsum(n_segments) - n_segments
-    return pack(n_words, rank[word], n_segments[order], segment[ranges(starts[order], n_segments[order])])
+    return pack(words.n, rank[words.word], n_segments[order], segment[ranges(starts[order], n_segments[order])])
 
 
 def packed(table: pa.Table) -> bytes:
@@ -230,12 +249,12 @@ def blocks(docs: DataFrame, path: str, scores: str, buckets: int) -> DataFrame:
         first = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(batches(found, rows=4096, size=5 << 20)):
             texts = text_bytes(batch.column(1))
-            words = [words_of(t) for t in texts]
-            distinct, lists, n_segments, segment = asked(words, pieces_of(path, scores), buckets)
+            words = words_in(batch.column(1))
+            lists, n_segments, segment = asked(words.distinct, pieces_of(path, scores), buckets)
             digests = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
             rows = packed(pa.table([batch.column(0), digests], ["id", "digest"]))
-            used = [b for b, some in enumerate(lists) if some]
-            data = [held_words(words, distinct, n_segments, segment), *(packed(pa.table([pa.array(lists[b], pa.string())], ["s"])) for b in used)]
+            used = [b for b, some in enumerate(lists) if len(some)]
+            data = [held_words(words, n_segments, segment), *(packed(pa.table([lists[b]], ["s"])) for b in used)]
             columns = [pa.array([-1 - first - k, *used], pa.int64()), pa.array([first + k] * len(data), pa.int64()), pa.array([rows] + [None] * len(used), pa.binary()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "block", "docs", "data"])
 

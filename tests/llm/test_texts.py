@@ -283,6 +283,26 @@ def test_pieces_round_trip(docs, plain):
     assert Counter((r.doc_id, r.decoded_sha256, r.round_trip) for r in out) == Counter((d, sha(t), True) for d, t in plain)
 
 
+def test_words_of_a_batch_are_those_of_its_texts():
+    """Texts are split and their words and segments numbered in Arrow, whatever spaces they have."""
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice(["a", "b", " ", "  ", "\u2581", "é", "中\n", "\U0001f600"]) for _ in range(rnd.randrange(9))) for _ in range(2000)] + [None, "", " ", "  "]
+    found = pieces.words_in(pa.array(texts, pa.string()))
+    distinct, ends = found.distinct.to_pylist(), np.cumsum(found.n)
+    assert len(set(distinct)) == len(distinct)
+    got = [[distinct[k].encode() for k in found.word[e - n : e]] for e, n in zip(ends, found.n, strict=True)]
+    assert got == [pieces.words_of((t or "").encode()) for t in texts]
+    lists, n, segment = pieces.asked(found.distinct, pieces.pieces_of(pieces.model_path()), 3)
+    names = [x for part in lists for x in part.to_pylist()]
+    assert len(set(names)) == len(names)
+    ends = np.cumsum(n)
+    assert ["".join(names[k] for k in segment[e - k_ : e]) for e, k_ in zip(ends, n, strict=True)] == ["\u2581" + w.replace(" ", "\u2581") for w in distinct]
+
+
 def test_pieces_read_the_texts_once(spark, tmp_path):
     from pathlib import Path
     from uuid import uuid4
